@@ -20,16 +20,20 @@ def words_of(c: Column) -> Column:
     return F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seeds(words: Column) -> Column:
-    """array<array<bigint>>: for each window of ``SPAN`` words the hashes of what each mask lets through; null for shorter texts."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    at = lambda i, mask: F.xxhash64(F.lit(mask), *[F.element_at(hashed, i + k) for k, c in enumerate(mask) if c == "1"])
-    return F.when(F.size(words) >= SPAN, F.transform(F.sequence(F.lit(1), F.size(words) - SPAN + 1), lambda i: F.array(*[at(i, m) for m in MASKS])))
+def _windows(texts: DataFrame, key: str) -> DataFrame:
+    """(key, pos, seed) of (key, words): for each window of ``SPAN`` words the hash of what each mask lets through.
+
+    The hashes of the words go through ``explode`` as a value of their own:
+    written into the windows' expression they would be made again for each.
+    """
+    hashed = texts.where(F.size("words") >= SPAN).select(key, F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("h"))
+    at = lambda i, mask: F.xxhash64(F.lit(mask), *[F.element_at("h", i + k) for k, c in enumerate(mask) if c == "1"])
+    seeds = F.transform(F.sequence(F.lit(1), F.size("h") - SPAN + 1), lambda i: F.array(*[at(i, m) for m in MASKS]))
+    return hashed.select(key, F.posexplode(seeds).alias("pos", "s")).select(key, "pos", F.explode("s").alias("seed"))
 
 
-def _windows(texts: DataFrame, key: str) -> DataFrame:
-    """(key, pos, seed) of (key, words)."""
-    return texts.select(key, F.posexplode(seeds(F.col("words"))).alias("pos", "s")).select(key, "pos", F.explode("s").alias("seed"))
+def _worded(texts: DataFrame, key: str) -> DataFrame:
+    return texts.where(F.col(key).isNotNull()).select(key, F.explode(F.array(words_of(F.col("text")))).alias("words"))
 
 
 def overlaps(documents: DataFrame, items: DataFrame, broadcast_limit: int = 3_000_000) -> DataFrame:
@@ -46,15 +50,14 @@ def overlaps(documents: DataFrame, items: DataFrame, broadcast_limit: int = 3_00
     words themselves, along its alignment. Null ids are left out; null, empty
     and shorter texts share nothing; an item with repeated rows counts once.
     """
-    docs = documents.where("doc_id is not null").select("doc_id", words_of(F.col("text")).alias("words"))
-    held = items.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("words")).distinct()
+    docs, held = _worded(documents, "doc_id"), _worded(items, "item_id").distinct()
     own = _windows(held, "item_id").select("item_id", F.col("pos").alias("ipos"), "seed").distinct()
     if own.limit(broadcast_limit + 1).count() <= broadcast_limit:
         own = F.broadcast(own)
     hits = _windows(docs, "doc_id").join(own, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
     hits = hits.join(held.withColumnRenamed("words", "iw"), "item_id").join(docs, "doc_id")
     part = F.slice("words", F.greatest(F.lit(1), F.col("shift") + 1), F.size("iw") + F.least(F.lit(0), F.col("shift")))
-    aligned = hits.withColumn("dw", F.concat(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), -F.col("shift"))), lambda i: F.lit("")), part))
+    aligned = hits.select("doc_id", "item_id", "iw", F.explode(F.array(F.concat(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), -F.col("shift"))), lambda i: F.lit("")), part))).alias("dw"))
     # The first of the sequence stands for no word: sequence(0, k) has k + 1 members.
     equal = F.transform("iw", lambda w, i: F.coalesce(F.try_element_at("dw", i + 2) == w, F.lit(False)))
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("loose"), F.lit(0).alias("loosest"), F.lit(True).alias("miss"), F.lit(0).alias("same"))
