@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from skillet.operators import queries as data
+from skillet.plans import queries as plans
 
 
 def queries() -> dict:
-    return dict(data.QUERIES)
+    return {**data.QUERIES, **plans.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(data.SQL)
+    return {**data.SQL, **plans.SQL}
