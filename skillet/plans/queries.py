@@ -34,8 +34,8 @@ resolved AS (
 """
 _NUTRITION = _RESOLVED + """, nutrition AS (
   SELECT recipe_no, count(*) AS n_lines, count(*) FILTER (WHERE contributes) AS n_counted, sum(grams::DECIMAL(18,6)) FILTER (WHERE contributes)::DOUBLE AS g,
-    sum(kcal_per_100g::DECIMAL(10,4) * grams::DECIMAL(18,6)) FILTER (WHERE contributes)::DOUBLE / 100 AS kcal, sum(protein_g::DECIMAL(10,4) * grams::DECIMAL(18,6)) FILTER (WHERE contributes)::DOUBLE / 100 AS protein,
-    sum(fat_g::DECIMAL(10,4) * grams::DECIMAL(18,6)) FILTER (WHERE contributes)::DOUBLE / 100 AS fat, sum(carb_g::DECIMAL(10,4) * grams::DECIMAL(18,6)) FILTER (WHERE contributes)::DOUBLE / 100 AS carb, min(confidence) FILTER (WHERE contributes) AS c
+    sum(kcal_per_100g::DECIMAL(20,4) * grams::DECIMAL(18,6)) FILTER (WHERE contributes)::DOUBLE / 100 AS kcal, sum(protein_g::DECIMAL(20,4) * grams::DECIMAL(18,6)) FILTER (WHERE contributes)::DOUBLE / 100 AS protein,
+    sum(fat_g::DECIMAL(20,4) * grams::DECIMAL(18,6)) FILTER (WHERE contributes)::DOUBLE / 100 AS fat, sum(carb_g::DECIMAL(20,4) * grams::DECIMAL(18,6)) FILTER (WHERE contributes)::DOUBLE / 100 AS carb, min(confidence) FILTER (WHERE contributes) AS c
   FROM resolved GROUP BY 1
 ), rolled AS (
   SELECT recipe_no, n_lines, n_counted, g AS total_grams, kcal AS total_kcal, protein AS total_protein_g, fat AS total_fat_g, carb AS total_carb_g,
