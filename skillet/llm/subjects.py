@@ -211,26 +211,35 @@ def subjects(
     power = np.where(purity >= clear, purity * idf, 0.0)
     power[:, plain_terms] = 0.0
 
-    words_at: dict = {}
+    words_at: dict = {}  # number of each word
     first = np.array([words_at.setdefault(t.partition(" ")[0], len(words_at)) for t, _ in terms] or [0])
     second = np.array([words_at.setdefault(t.rpartition(" ")[2], len(words_at)) for t, _ in terms] or [0])
 
     def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         power, n = now.value, np.zeros((len(names) + 1, size))
         for b in batches:
-            for doc in b["main"]:
-                for m in doc:
-                    m = np.asarray(m, dtype=np.int64)
-                    if not len(m):
-                        continue
-                    # What the sentence says without the term, and without those that share a word with it.
-                    bears = power[:, m]
-                    x, y = first[m], second[m]
-                    near = (x[:, None] == x) | (x[:, None] == y) | (y[:, None] == x) | (y[:, None] == y)
-                    rest = bears.sum(axis=1, keepdims=True) - bears @ near
-                    order = np.sort(rest, axis=0)
-                    top = np.where(order[-1] > 2 * np.maximum(order[-2], 1e-6), rest.argmax(axis=0), np.where(order[-1] < 1e-6, len(names), -1))
-                    np.add.at(n, (top[top >= 0], m[top >= 0]), 1.0)
+            lists = [np.asarray(m, dtype=np.int64) for doc in b["main"] for m in doc if len(m)]
+            if not lists:
+                continue
+            sentence = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            term = np.concatenate(lists)
+            # What the sentence says without the term, and without those that share a word with it.
+            x, y = first[term], second[term]
+            pair = x != y
+            keys, inverse = np.unique(np.concatenate([sentence * len(words_at) + x, (sentence * len(words_at) + y)[pair]]), return_inverse=True)
+            at_x, at_y = inverse[: len(term)], np.zeros(len(term), dtype=np.int64)
+            at_y[pair] = inverse[len(term) :]
+            rest = np.empty((len(names), len(term)))
+            for k in range(len(names)):
+                bears = power[k, term]
+                by_word = np.bincount(at_x, bears, minlength=len(keys)) + np.bincount(at_y[pair], bears[pair], minlength=len(keys))
+                rest[k] = np.bincount(sentence, bears, minlength=len(lists))[sentence] - by_word[at_x] - np.where(pair, by_word[at_y] - bears, 0.0)
+            best = rest.argmax(axis=0)
+            most = rest[best, np.arange(len(term))]
+            rest[best, np.arange(len(term))] = -1.0
+            top = np.where(most > 2 * np.maximum(rest.max(axis=0), 1e-6), best, np.where(most < 1e-6, len(names), -1))
+            for k in range(len(n)):
+                n[k] += np.bincount(term[top == k], minlength=size)
         k = np.arange(len(n), dtype=np.int32)
         yield pd.DataFrame({"k": k, "num": list(n), "den": [np.zeros(1)] * len(n)})
 
