@@ -96,6 +96,17 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return where, np.asarray(fills, dtype=np.int64)
 
 
+def _merge(capacity: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Packs one shard of partly filled containers, the fullest first."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True], ignore_index=True)
+        where, fills = place(pdf["fill"].to_numpy(), capacity)
+        return pd.DataFrame({"bin": pdf["bin"], "into": where + (int(pdf["shard"].iloc[0]) << 32) + (level << 58), "filled": fills[where]})
+
+    return merge
+
+
 def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, per_shard: int = 50_000) -> DataFrame:
     """(doc_id, piece, start, n_tokens, container): where each document lies.
 
@@ -129,12 +140,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, per_shard:
         # Some shards of a level hold most of its room; a tenth of the shards, each of mixed origin, closes it.
         shards = max(1, shards // 10)
 
-        def merge(pdf: pd.DataFrame, level: int = level) -> pd.DataFrame:
-            pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True], ignore_index=True)
-            where, fills = place(pdf["fill"].to_numpy(), capacity)
-            return pd.DataFrame({"bin": pdf["bin"], "into": where + (int(pdf["shard"].iloc[0]) << 32) + (level << 58), "filled": fills[where]})
-
-        moved = durable(bins.withColumn("shard", F.pmod(F.xxhash64("bin"), F.lit(shards))).groupBy("shard").applyInPandas(merge, "bin bigint, into bigint, filled bigint"))
+        moved = durable(bins.withColumn("shard", F.pmod(F.xxhash64("bin"), F.lit(shards))).groupBy("shard").applyInPandas(_merge(capacity, level), "bin bigint, into bigint, filled bigint"))
         final = final.join(moved.select("bin", "into"), "bin", "left").select("doc_id", "piece", "n_tokens", F.coalesce("into", "bin").alias("bin"))
         bins = moved.where(F.col("filled") < c).select(F.col("into").alias("bin"), F.col("filled").alias("fill")).distinct()
         level += 1
