@@ -17,6 +17,8 @@ SENTENCE = r"(?<=[.!?])\s+|\n+"
 #: Words after which a sentence only compares or sets aside: a side remark begins.
 ASIDES = r"(?:,\s*)?\b(?:rather than|unlike|much like|just like|as with|instead of|apart from|not to mention|y no de|y ninguna|a diferencia de|en lugar de|anders als|statt|ähnlich wie)\b"
 SHINGLE = 6
+#: Documents whose terms lie in memory side by side.
+CHUNK = 1_000
 
 
 def sentence_terms(text, found=re.compile(r"[^\W\d_]{3,}")) -> list[list[str]]:
@@ -183,7 +185,7 @@ def subjects(
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h = now.value
         hh, num, den = h @ h.T, np.zeros_like(h), np.zeros((k_all, k_all))
-        for b in batches:
+        for b in (b.iloc[k : k + CHUNK] for b in batches for k in range(0, len(b), CHUNK)):
             lists = [np.concatenate([np.asarray(s, dtype=np.int64) for s in d]) if len(d) else np.zeros(0, np.int64) for d in b["main"]]
             row, term, v = _rows(lists, idf, size)
             w = solve(_times(row, term, v, h, len(lists)), hh, steps)
@@ -217,7 +219,7 @@ def subjects(
 
     def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         power, n = now.value, np.zeros((len(names) + 1, size))
-        for b in batches:
+        for b in (b.iloc[k : k + CHUNK] for b in batches for k in range(0, len(b), CHUNK)):
             lists = [np.asarray(m, dtype=np.int64) for doc in b["main"] for m in doc if len(m)]
             if not lists:
                 continue
