@@ -159,6 +159,19 @@ def subjects(
     for r in seen:
         if (r.subject, r.lang) in at:
             h[at[r.subject, r.lang], r.term] += r.n * idf[r.term]
+    # Terms that labelled documents of one language give to one subject for the greater part belong to its anchor alone.
+    n_marked = {(r["subject"], r["lang"]): r["count"] for r in known.groupBy("subject", "lang").count().collect()}
+    pure = {}
+    for g in tongues:
+        given = h[[at[s, g] for s in names]]
+        given = given / np.maximum(given.sum(axis=1, keepdims=True), 1e-9)
+        pure[g] = given.max(axis=0, initial=0.0) >= 0.9 * np.maximum(given.sum(axis=0), 1e-12)
+        # ... if at least a tenth of the documents labelled with that subject hold them.
+        held_by = np.zeros(size)
+        for r in seen:
+            if r.lang == g:
+                held_by[r.term] = max(held_by[r.term], r.n / n_marked[r.subject, r.lang] if r.n > 1 else 0.0)
+        pure[g] &= held_by >= 0.1
     # What all subjects of a language have is no seed of any: a term counts by what it has above the mean.
     for g in tongues:
         rows = [at[s, g] for s in names]
@@ -179,6 +192,8 @@ def subjects(
     plain_terms = [r.term for r in heard if r.n > max(10.0, frame_share * n_heard[r.lang])]
     h[: len(parts), plain_terms] = 0.0
     h[len(parts) :] *= rng.uniform(0.5, 1.5, (free, size))
+    for k, g in enumerate(tongues):
+        h[len(parts) + k * background : len(parts) + (k + 1) * background, pure[g]] = 0.0
     h /= np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-9)
     k_all = len(h)
 
