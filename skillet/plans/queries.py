@@ -56,7 +56,7 @@ def _nutrition(s, d):
 
 
 def nutrition_rollup(s: SparkSession, d: str) -> DataFrame:
-    return _nutrition(s, d).select("recipe_no", "n_lines", "n_counted", "coverage", "trust", "total_grams", "total_kcal", "kcal_per_100g")
+    return _nutrition(s, d).select("recipe_no", "n_lines", "n_counted", "coverage", "trust", "total_grams", F.round("total_kcal", 1).alias("total_kcal"), "kcal_per_100g")
 
 
 def canonical_dim(s: SparkSession, d: str) -> DataFrame:
@@ -351,7 +351,7 @@ _FACETS = "list_filter(list_transform(string_split(regexp_replace(description_ra
 
 SQL = {
     "lines_resolved": _RESOLVED + "SELECT recipe_no, line_index, fdc_no, confidence, flagged, abstained, grams, contributes FROM resolved",
-    "nutrition_rollup": _NUTRITION + "SELECT recipe_no, n_lines, n_counted, coverage, trust, total_grams, total_kcal, kcal_per_100g FROM rolled",
+    "nutrition_rollup": _NUTRITION + "SELECT recipe_no, n_lines, n_counted, coverage, trust, total_grams, round(total_kcal, 1) AS total_kcal, kcal_per_100g FROM rolled",
     "canonical_dim": f"SELECT {_F} AS fdc_no, description_raw, canonical_name, category, kcal_per_100g, protein_g, fat_g, carb_g, food_category FROM usda_foods LEFT JOIN (SELECT {_F} AS no, max(nullif(trim(food_category), '')) AS food_category FROM usda_food_categories GROUP BY 1) c ON c.no = {_NO.format('usda_foods.fdc_id')}",
     "recipe_meta_clean": f"WITH {_META} SELECT recipe_no, nullif(trim(title), '') AS title, lower(nullif(trim(directions), '')) AS directions FROM meta",
     "category_nullif": f"SELECT {_F} AS fdc_no, max(nullif(trim(food_category), '')) AS food_category FROM usda_food_categories WHERE {_F} IS NOT NULL GROUP BY 1",
