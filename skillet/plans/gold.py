@@ -63,7 +63,7 @@ def nutrition(lines: DataFrame) -> DataFrame:
     coverage = F.try_divide(F.col("n_counted").cast("double"), F.col("n_lines"))
     per = [F.when(F.col("total_grams") > 0, F.round(F.col(f"total_{x}") / F.col("total_grams") * 100, 4)).alias(f"{x}_per_100g") for x in ("kcal", "protein_g", "fat_g", "carb_g")]
     totals = [F.col(c) for c in ("total_grams", "total_kcal", "total_protein_g", "total_fat_g", "total_carb_g")]
-    return agg.select("recipe_no", "n_lines", "n_counted", *totals, *per, F.round(coverage, 6).alias("coverage"), F.round(F.coalesce("min_confidence", F.lit(0.0)) * coverage, 6).alias("trust"))
+    return agg.select("recipe_no", "n_lines", "n_counted", *totals, *per, coverage.alias("coverage"), (F.coalesce("min_confidence", F.lit(0.0)) * coverage).alias("trust"))
 
 
 def distinct_strings(lines: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ _NUTRITION = _RESOLVED + """, nutrition AS (
   SELECT recipe_no, n_lines, n_counted, g AS total_grams, kcal AS total_kcal, protein AS total_protein_g, fat AS total_fat_g, carb AS total_carb_g,
     CASE WHEN g > 0 THEN round(kcal / g * 100, 4) END AS kcal_per_100g, CASE WHEN g > 0 THEN round(protein / g * 100, 4) END AS protein_g_per_100g,
     CASE WHEN g > 0 THEN round(fat / g * 100, 4) END AS fat_g_per_100g, CASE WHEN g > 0 THEN round(carb / g * 100, 4) END AS carb_g_per_100g,
-    round(n_counted::DOUBLE / n_lines, 6) AS coverage, round(coalesce(c, 0) * (n_counted::DOUBLE / n_lines), 6) AS trust
+    n_counted::DOUBLE / n_lines AS coverage, coalesce(c, 0) * (n_counted::DOUBLE / n_lines) AS trust
   FROM nutrition
 )
 """
