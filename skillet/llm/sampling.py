@@ -40,22 +40,54 @@ def rake(cells: dict[tuple, float], targets: list[dict], rounds: int = 200, tole
     return w
 
 
-def allot(weights: dict[tuple, float], cells: dict[tuple, float], total: int, minimum: int, margin: int = 0) -> dict[tuple, int]:
-    """Whole numbers of items per cell: largest remainders of ``total`` times the weights, at most what a cell holds,
-    then repaired so that each category of ``margin`` has ``minimum`` items if it holds as many. Categories that
-    can't be filled don't pass their share on: the shares are asked for, not the sum."""
-    wish = {c: min(total * w, cells[c]) for c, w in weights.items()}
-    got = {c: min(math.floor(x + 1e-9), int(cells[c])) for c, x in wish.items()}
-    spare = round(sum(wish.values())) - sum(got.values())
+def _whole(wish: dict, room: dict, n: int) -> dict:
+    """Whole numbers that sum to ``n``: largest remainders of ``wish``, at most ``room``."""
+    got = {c: min(math.floor(x + 1e-9), int(room[c])) for c, x in wish.items()}
+    spare = n - sum(got.values())
     for c in sorted(wish, key=lambda c: (got[c] - wish[c], str(c))):
-        if spare > 0 and got[c] < cells[c] and wish[c] > got[c]:
+        if spare > 0 and got[c] < room[c]:
             got[c] += 1
             spare -= 1
-    for category in {c[margin] for c in cells}:
-        inside = sorted((c for c in cells if c[margin] == category), key=lambda c: (-(cells[c] - got[c]), str(c)))
-        short = min(minimum, sum(cells[c] for c in inside)) - sum(got[c] for c in inside)
-        for c in inside:
-            more = max(0, min(short, cells[c] - got[c]))
+    return got
+
+
+def _fill(weights: dict[tuple, float], cells: dict[tuple, float], goal: float) -> dict[tuple, float]:
+    """``goal`` items over cells in proportion to their weights; what a cell lacks goes to those that have room.
+
+    Cells without weight come last, in proportion to what they hold. Only if all cells are used up less than ``goal`` comes out.
+    """
+    out = dict.fromkeys(cells, 0.0)
+    for by in (weights, cells):
+        while goal - sum(out.values()) > 1e-9:
+            free = {c: by.get(c, 0.0) for c in cells if out[c] < cells[c] and by.get(c, 0.0) > 0}
+            if not free:
+                break
+            left, whole = goal - sum(out[c] for c in cells if c not in free), sum(free.values())
+            for c, w in free.items():
+                out[c] = min(max(out[c], left * w / whole), cells[c])
+            if all(out[c] < cells[c] for c in free):
+                break
+    return out
+
+
+def allot(weights: dict[tuple, float], cells: dict[tuple, float], total: int, minimum: int, margin: int = 0, shares: dict | None = None) -> dict[tuple, int]:
+    """Whole numbers of items per cell: each category of ``margin`` gets its share of ``total`` or all that it holds,
+    spread over its cells by their weights; what a cell lacks is taken from the category's cells that have room. Then
+    repaired so that each category has ``minimum`` items if it holds as many. Categories that can't be filled don't
+    pass their share on: the shares are asked for, not the sum. Without ``shares`` the weights' sums stand for them."""
+    inside = {k: {c: n for c, n in cells.items() if c[margin] == k} for k in sorted({c[margin] for c in cells}, key=str)}
+    if shares is None:
+        shares = {k: sum(weights.get(c, 0.0) for c in of) for k, of in inside.items()}
+    asked = sum(shares.values()) or 1.0
+    holds = {k: sum(of.values()) for k, of in inside.items()}
+    goal = {k: min(max(0.0, total * shares.get(k, 0.0) / asked), holds[k]) for k in inside}
+    whole = _whole(goal, holds, round(sum(goal.values())))
+    got: dict = {}
+    for k, of in inside.items():
+        got |= _whole(_fill(weights, of, whole[k]), of, whole[k])
+        short = min(minimum, holds[k]) - whole[k]
+        for c in sorted(of, key=lambda c: (-(of[c] - got[c]), str(c))):
+            more = max(0, min(short, of[c] - got[c]))
             got[c] += int(more)
             short -= int(more)
     return got
@@ -100,7 +132,9 @@ def draw(
     and targets (a dict of shares per margin; the minimum holds for the first).
 
     The cells' weights are raked on the driver from the cell counts (at most
-    ``max_cells`` cells, a number of categories, not of rows). Within a cell all
+    ``max_cells`` cells, a number of categories, not of rows). Where a cell holds
+    less than its weight asks for, the cells of the same first category make up
+    for it, at the cost of the other margins. Within a cell all
     weights are equal, so weighted exponential keys -ln(u)/w order its items as
     u = hash(seed, item) does; the cell's allotment of smallest keys is drawn.
     A histogram of the keys tells the bucket in which the allotment ends: whole
@@ -116,7 +150,7 @@ def draw(
     plan, residuals = [], []
     for m in manifest_rows:
         weights = rake(cells, m["targets"]) if cells else {}
-        got = allot(weights, cells, m["total"], m["minimum"]) if cells else {}
+        got = allot(weights, cells, m["total"], m["minimum"], shares=m["targets"][0]) if cells else {}
         plan += [(m["id"], int(m["seed"]), *c, int(n)) for c, n in got.items() if n > 0]
         for k, shares in enumerate(m["targets"]):
             for category in shares:

@@ -40,6 +40,21 @@ def test_rake_meets_both_margins():
     assert sampling.rake({}, []) == {}
 
 
+def test_allot_hands_a_cells_shortage_to_its_stratum():
+    cells = {("a", "x"): 5, ("a", "y"): 200, ("b", "x"): 300, ("b", "y"): 40}
+    shares = {"a": 0.5, "b": 0.5}
+    weights = sampling.rake(cells, [shares, {"x": 0.5, "y": 0.5}])
+    for w in (weights, {("a", "x"): 0.4, ("a", "y"): 0.1, ("b", "x"): 0.5, ("b", "y"): 0.0}):
+        got = sampling.allot(w, cells, 201, 0, shares=shares)
+        drawn = {k: sum(n for c, n in got.items() if c[0] == k) for k in "ab"}
+        assert sum(drawn.values()) in (200, 201) and min(drawn.values()) == 100 and all(got[c] <= cells[c] for c in cells)
+    # A stratum that is used up passes nothing on, and one without strings leaves the others their shares.
+    got = sampling.allot(weights, cells, 600, 0, shares=shares)
+    assert got[("a", "x")] + got[("a", "y")] == 205 and got[("b", "x")] + got[("b", "y")] == 300
+    only = {("a", "x"): 50, ("a", "y"): 50}
+    assert sum(sampling.allot(sampling.rake(only, [shares, {"x": 0.5, "y": 0.5}]), only, 40, 0, shares=shares).values()) == 20
+
+
 def test_draw_and_gaps(spark):
     strings = spark.createDataFrame([(f"s{k}", 1, [" Head", "mid", "TAIL ", None][k % 4] if k else None) for k in range(400)] + [("s1", 1, "mid"), (None, 1, "mid")], "normalized_text string, occurrence_count long, frequency_stratum string")
     schema = "manifest_id string, seed long, total long, per_stratum struct<head double, mid double, tail double>, min_per_stratum long"
