@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from skillet.llm.mapping import plain
 
-#: Which words of a window count for a seed: each mask overlooks two words, so that a replaced word there doesn't hide the window.
-MASKS = ("1101110111", "1011101111", "1111011011")
 SPAN = 10
 
+#: Which words of a window count for a seed. Any window whose first word is equal and in which no two words in a row
+#: differ meets at least one of these, and fewer masks of five words don't suffice.
+MASKS = ("1010101010", "1010100101", "1010010110", "1001010101", "1001011010", "1101010100", "1101101000")
+
 
 def words_of(c: Column) -> Column:
     """The words of a text, in order: lower case, without accents, markup, punctuation and invisible characters."""
@@ -41,8 +43,12 @@ def overlaps(documents: DataFrame, items: DataFrame, broadcast_limit: int = 3_00
 
     ``longest`` is the longest run of equal words, ``tolerant`` the longest run
     in which no two words in a row differ, ``same`` the number of equal words
-    along that alignment; of several alignments the one with the longest equal
-    run counts. Pairs come out if ``tolerant`` is at least ten words.
+    along that alignment; of several alignments with ``tolerant`` of at least ten
+    words the one with the longest equal run counts. Pairs without any don't
+    come out; all others do, as such a run begins with an equal word and each
+    way in which the next nine can differ meets a mask. Unseen remain passages
+    that keep fewer words, so that two in a row differ at least every ten words,
+    and those cut up so by words put in or left out.
 
     Every window of ten words is hashed under each mask. The items' seeds meet
     those of the documents in an equi-join; they are broadcast only if a count
@@ -68,8 +74,8 @@ def overlaps(documents: DataFrame, items: DataFrame, broadcast_limit: int = 3_00
         return F.struct(run.alias("run"), F.greatest(a["best"], run).alias("best"), loose.alias("loose"), F.greatest(a["loosest"], loose).alias("loosest"), (~e).alias("miss"), (a["same"] + e.cast("int")).alias("same"))
 
     got = aligned.select("doc_id", "item_id", F.aggregate(equal, start, step).alias("r")).select("doc_id", "item_id", F.col("r.best").alias("longest"), F.col("r.loosest").alias("tolerant"), F.col("r.same").alias("same"))
-    best = got.groupBy("doc_id", "item_id").agg(F.max(F.struct("longest", "tolerant", "same")).alias("m")).select("doc_id", "item_id", "m.*")
-    return best.where(F.col("tolerant") >= SPAN)
+    got = got.where(F.col("tolerant") >= SPAN).groupBy("doc_id", "item_id")
+    return got.agg(F.max(F.struct("longest", "tolerant", "same")).alias("m")).select("doc_id", "item_id", "m.*")
 
 
 def leaked(documents: DataFrame, items: DataFrame, least: int = SPAN) -> DataFrame:

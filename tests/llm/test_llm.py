@@ -191,6 +191,47 @@ def test_leaks_against_brute_force(spark):
     assert want <= slack and len(slack) > len(want)
 
 
+def _tolerant(a, b):
+    """Longest run in which no two words in a row differ, over all alignments, word by word."""
+    best = 0
+    for shift in range(1 - len(a), len(b)):
+        run, miss = 0, True
+        for i, w in enumerate(a):
+            same = 0 <= i + shift < len(b) and b[i + shift] == w
+            run = run + 1 if same or not miss else 0
+            miss = not same
+            best = max(best, run)
+    return best
+
+
+def test_masks_meet_every_window_without_two_misses_in_a_row():
+    for m in range(2**9):
+        w = "1" + format(m, "09b")
+        assert "00" in w or any(all(x <= y for x, y in zip(mask, w)) for mask in leakage.MASKS), w
+
+
+def test_overlaps_against_brute_force(spark):
+    rng = random.Random(8)
+    items = {k: [f"i{k}w{j}" for j in range(n)] for k, n in enumerate([120, 120, 10, 10, 14, 30])}
+    docs = {}
+    for i, w in items.items():
+        for step in range(2, 12):
+            docs[len(docs)] = [x if (j + 1) % step else f"r{j}" for j, x in enumerate(w)]
+        for at in range(len(w) if len(w) == 10 else 0):
+            docs[len(docs)] = ["before"] + [x if j != at else "other" for j, x in enumerate(w)] + ["after"]
+        for _ in range(25):
+            docs[len(docs)] = [x if rng.random() < 0.7 else "other" for x in w]
+    # The alignment with the longest equal run is too short, the other is not.
+    items[9] = "a b c d e f g h x1 x2 x3 k1 k2 k3 k4 k5 k6 k7 k8 k9 k10 k11".split()
+    docs[len(docs)] = "a b c d e f g h y1 y2 y3 y4 y5 y6 k1 k2 z k4 k5 z k7 k8 z k10 k11".split()
+    dd = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    ii = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    want = {(d, i, n) for d, x in docs.items() for i, w in items.items() if (n := _tolerant(w, x)) >= 10}
+    got = {(r.doc_id, r.item_id, r.tolerant) for r in leakage.overlaps(dd, ii).collect()}
+    assert {x[:2] for x in got} == {x[:2] for x in want} and all(t <= n for d, i, n in want for e, j, t in got if (d, i) == (e, j))
+    assert len(want) > 60
+
+
 def test_subjects_on_planted_topics(spark):
     rng = random.Random(6)
     # Words of a subject stand in fewer documents than frame_share; those of the frames in more.
