@@ -32,7 +32,8 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.gaps(table(spark, d, "distinct_ingredient_strings"), table(spark, d, "manifest"), STRATA).select("manifest_id", "stratum")
+    sample, residuals = _drawn(spark, d)
+    return sampling.unmet(sample, residuals, table(spark, d, "distinct_ingredient_strings"), table(spark, d, "manifest"), STRATA).select("manifest_id", "stratum")
 
 
 def _drawn(spark: SparkSession, d: str):

@@ -173,6 +173,18 @@ def draw(
     return whole.select(*columns).unionByName(edge.select(*columns)), residuals
 
 
+def unmet(sample: DataFrame, residuals: list[dict], strings: DataFrame, manifest: DataFrame, strata: tuple[str, ...] = ("head", "mid", "tail")) -> DataFrame:
+    """(manifest_id, stratum, asked, drawn) of the strata, as the first margin of ``draw``, that its sample leaves short.
+
+    Whole numbers may leave a stratum less than one item short of what it could have; ``gaps`` counts, as an exact check, whether it holds enough.
+    """
+    wish = [(r["manifest_id"], r["category"], r["asked"]) for r in residuals if r["margin"] == 0]
+    asked = sample.sparkSession.createDataFrame(wish, "manifest_id string, stratum string, asked double")
+    drawn = sample.groupBy("manifest_id", F.col("_m0").alias("stratum")).agg(F.count("*").alias("drawn"))
+    short = asked.join(drawn, ["manifest_id", "stratum"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).where("drawn < asked")
+    return short.join(gaps(strings, manifest, strata), ["manifest_id", "stratum"], "left_semi")
+
+
 def manifest_rows(manifest: DataFrame, strata: tuple[str, ...], others: list[dict] = (), limit: int = 10_000) -> list[dict]:
     """The manifests as ``draw`` takes them; ``others`` are the targets of further margins. At most ``limit`` manifests."""
     rows = demands(manifest, strata).limit(limit * len(strata) + 1).collect()

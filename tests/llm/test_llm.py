@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skillet.llm import labels, leakage, mapping, packing, sampling, subjects, topn
+from skillet.llm import labels, leakage, mapping, packing, queries, sampling, subjects, topn
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -70,6 +70,20 @@ def test_draw_and_gaps(spark):
     assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_p4_found_comes_from_the_draw(spark, tmp_path, monkeypatch):
+    rows = [(" ".join(["w"] * (1 + k % 6)) + f"x{k}", 1, ["head", " Mid", "tail", None][k % 4]) for k in range(200)]
+    spark.createDataFrame(rows, "normalized_text string, occurrence_count long, frequency_stratum string").write.parquet(f"{tmp_path}/distinct_ingredient_strings.parquet")
+    schema = "manifest_id string, seed long, total long, per_stratum struct<head double, mid double, tail double>, min_per_stratum long"
+    wishes = [("m1", 7, 61, (1.0, 1.0, 1.0), 5), ("m2", 8, 140, (None, 50.0, 20.0), 0), ("m3", 9, 10, (None, None, None), 51), ("m4", 9, 101, (1.0, 1.0, 0.0), None)]
+    spark.createDataFrame(wishes, schema).write.parquet(f"{tmp_path}/manifest.parquet")
+    found = lambda: {tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()}
+    want = {("m2", "mid"), ("m3", "head"), ("m3", "mid"), ("m3", "tail"), ("m4", "head"), ("m4", "mid")}
+    assert found() == want
+    draw = sampling.draw
+    monkeypatch.setattr(sampling, "draw", lambda *a: (draw(*a)[0], [r for r in draw(*a)[1] if r["manifest_id"] != "m2"]))
+    assert found() == {w for w in want if w[0] != "m2"}
+
+
 def test_consensus_recovers_planted_labels(spark):
     rng = np.random.default_rng(5)
     skill = {f"r{k}": p for k, p in enumerate([0.95, 0.9, 0.85, 0.8, 0.3, 0.3])}
