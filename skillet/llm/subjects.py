@@ -44,14 +44,11 @@ def made_of(sentence: str, runs: set) -> bool:
     if not runs:
         return False
     w = re.findall(r"\w+", sentence)
-    k, covered = 0, 0
-    while k + SHINGLE <= len(w):
+    inside = [False] * len(w)
+    for k in range(len(w) - SHINGLE + 1):
         if tuple(w[k : k + SHINGLE]) in runs:
-            covered += SHINGLE
-            k += SHINGLE
-        else:
-            k += 1
-    return covered > 0 and covered * 2 >= len(w)
+            inside[k : k + SHINGLE] = [True] * SHINGLE
+    return any(inside) and sum(inside) * 2 >= len(w)
 
 
 def vocabulary(docs: DataFrame, least_share: float, most_share: float, least: int = 3) -> list[tuple[str, int]]:

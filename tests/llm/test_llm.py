@@ -246,6 +246,13 @@ def test_overlaps_against_brute_force(spark):
     assert len(want) > 60
 
 
+def test_made_of_counts_every_word_of_a_run():
+    runs = subjects.runs_of(["a b c d e f g h i j k"])
+    assert subjects.made_of("a b c d e f g h i j k and four more words", runs)
+    assert not subjects.made_of("a b c d e f g and eight more words than these few here", runs)
+    assert not subjects.made_of("a b c d e", runs) and not subjects.made_of("", runs)
+
+
 def test_subjects_on_planted_topics(spark):
     rng = random.Random(6)
     # Words of a subject stand in fewer documents than frame_share; those of the frames in more.
