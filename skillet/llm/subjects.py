@@ -3,63 +3,69 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skillet.llm.mapping import plain
 from skillet.session import durable
 
 SENTENCE = r"(?<=[.!?])\s+|\n+"
-#: Words after which a sentence only compares or sets aside: a side remark begins.
-ASIDES = r"(?:,\s*)?\b(?:rather than|unlike|much like|just like|as with|instead of|apart from|not to mention|y no de|y ninguna|a diferencia de|en lugar de|anders als|statt|ähnlich wie)\b"
+#: Words in a row that make a passage of a held-out item.
 SHINGLE = 6
-#: Documents whose terms lie in memory side by side.
-CHUNK = 1_000
-
-
-def sentence_terms(text, found=re.compile(r"[^\W\d_]{3,}")) -> list[list[str]]:
-    """Terms of each sentence of a text in plain lower case: words of three letters or more and pairs of neighbours."""
-    out = []
-    for s in re.split(SENTENCE, text):
-        words = found.findall(s)
-        out.append(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
-    return out
-
-
-def runs_of(texts: list[str]) -> set[tuple[str, ...]]:
-    """All runs of ``SHINGLE`` words of the texts."""
-    out = set()
-    for t in texts:
-        w = re.findall(r"\w+", t)
-        out.update(tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1))
-    return out
-
-
-def made_of(sentence: str, runs: set) -> bool:
-    """Whether at least half of a sentence's words lie in ``runs``."""
-    if not runs:
-        return False
-    w = re.findall(r"\w+", sentence)
-    inside = [False] * len(w)
-    for k in range(len(w) - SHINGLE + 1):
-        if tuple(w[k : k + SHINGLE]) in runs:
-            inside[k : k + SHINGLE] = [True] * SHINGLE
-    return any(inside) and sum(inside) * 2 >= len(w)
-
-
-def vocabulary(docs: DataFrame, least_share: float, most_share: float, least: int = 3) -> list[tuple[str, int]]:
-    """(term, document frequency) of terms in a share of all documents; at most mean terms per document / least_share of them."""
-    n = docs.count()
-    low, high = max(least, least_share * n), most_share * n
-    split = F.split("t", SENTENCE)
-    words = F.transform(split, lambda s: F.regexp_extract_all(s, F.lit(r"([\p{L}]{3,})"), F.lit(1)))
-    pairs = F.transform(words, lambda w: F.concat(w, F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.element_at(w, i + 2)))))
-    rows = docs.select(F.explode(F.array_distinct(F.flatten(pairs))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= low) & (F.col("df") <= high))
-    return [(r.term, r.df) for r in rows.collect()]
+#: Terms whose sums travel together, and documents whose terms lie in memory side by side.
+BLOCK, CHUNK = 1_024, 2_000
+
+_TOKEN = re.compile(r"\w+")
+_SUMS = pa.schema([("k", pa.int32()), ("block", pa.int32()), ("num", pa.list_(pa.float64()))])
+_CODED = pa.schema([("doc_id", pa.int64()), ("lang", pa.int32()), ("terms", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
+
+
+def terms_of(c: Column) -> Column:
+    """The distinct terms of a plain text: its words of three letters or more."""
+    return F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike(r"^\p{L}{3,}$")))
+
+
+def _mix(codes: np.ndarray, width: int) -> np.ndarray:
+    """One number for each run of ``width`` codes; 0 where a code of the run is 0."""
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(width):
+        part = codes[k : k + n]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        whole &= part > 0
+    return np.where(whole, h | np.uint64(1), np.uint64(0))
+
+
+class Runs:
+    """The runs of ``SHINGLE`` words of some texts, and which words of a sentence lie in any of them."""
+
+    def __init__(self, texts: list[str]):
+        self.code: dict[str, int] = {}
+        found = []
+        for t in texts:
+            found.append(_mix(np.array([self.code.setdefault(w, len(self.code) + 1) for w in _TOKEN.findall(t)], dtype=np.int64), SHINGLE))
+        self.hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+    def made_of(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Per sentence whether at least half of its words lie in runs; ``codes`` of all sentences one after another."""
+        h = _mix(codes, SHINGLE)
+        hit = np.flatnonzero((h > 0) & np.isin(h, self.hashes))
+        if not len(hit):
+            return np.zeros(len(sizes), bool)
+        sentence = np.repeat(np.arange(len(sizes)), sizes)
+        hit = hit[sentence[hit] == sentence[hit + SHINGLE - 1]]
+        inside = np.zeros(len(codes), bool)
+        for k in range(SHINGLE):
+            inside[hit + k] = True
+        n = np.bincount(sentence[inside], minlength=len(sizes))
+        return (n > 0) & (2 * n >= sizes)
 
 
 def solve(xh: np.ndarray, hh: np.ndarray, steps: int) -> np.ndarray:
@@ -70,14 +76,13 @@ def solve(xh: np.ndarray, hh: np.ndarray, steps: int) -> np.ndarray:
     return w
 
 
-def _rows(lists: list[np.ndarray], idf: np.ndarray, size: int):
-    """(row, term, value): log-scaled counts times idf with rows of length 1."""
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    term = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    key, n = np.unique(row * size + term, return_counts=True)
+def _rows(row: np.ndarray, term: np.ndarray, weight: np.ndarray, idf: np.ndarray, size: int, n: int, log: bool):
+    """(row, term, value): summed weights, log-scaled on wish, times idf, with rows of length 1."""
+    key, inverse = np.unique(row * size + term, return_inverse=True)
+    v = np.bincount(inverse, weight, minlength=len(key))
     row, term = key // size, key % size
-    v = (1 + np.log(n)) * idf[term]
-    norm = np.sqrt(np.bincount(row, v * v, minlength=len(lists)))
+    v = ((1 + np.log(v)) if log else v) * idf[term]
+    norm = np.sqrt(np.bincount(row, v * v, minlength=n))
     return row, term, v / np.maximum(norm[row], 1e-9)
 
 
@@ -85,222 +90,254 @@ def _times(row, term, v, h: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(row, v * h[k, term], minlength=n) for k in range(len(h))], axis=1)
 
 
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list column."""
+    lengths = np.diff(column.offsets.to_numpy(zero_copy_only=False)).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, CHUNK):
+            yield b.slice(k, CHUNK)
+
+
+def _by_language(b: pa.RecordBatch, groups: int):
+    """(language, its documents' places in the batch, terms, sizes of documents) of a batch."""
+    terms, lengths = _lists(b.column("terms"))
+    lang = b.column("lang").to_numpy(zero_copy_only=False)
+    for g in range(groups):
+        own = np.flatnonzero(lang == g)
+        if len(own):
+            yield g, own, terms[np.repeat(lang == g, lengths)], lengths[own]
+
+
+def _sparse(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Sums per component as blocks of terms, without the blocks that hold nothing."""
+    k_out, b_out, v_out = [], [], []
+    for k, v in sums.items():
+        for at in range(0, len(v), BLOCK):
+            part = v[at : at + BLOCK]
+            if part.any():
+                k_out.append(k)
+                b_out.append(at // BLOCK)
+                v_out.append(part)
+    return pa.RecordBatch.from_arrays([pa.array(k_out, pa.int32()), pa.array(b_out, pa.int32()), pa.array(v_out, pa.list_(pa.float64()))], schema=_SUMS)
+
+
+def _gathered(rows: DataFrame, lengths: list[int]) -> list[np.ndarray]:
+    """The sums of ``_sparse`` rows: added per (component, block) where the shuffle puts them, then read into one array per component."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict = {}
+        for b in batches:
+            values, sizes = _lists_of_double(b.column("num"))
+            start = 0
+            for k, block, n in zip(b.column("k").to_pylist(), b.column("block").to_pylist(), sizes):
+                v = values[start : start + n]
+                start += n
+                at[k, block] = at[k, block] + v if (k, block) in at else v.copy()
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in at], pa.int32()), pa.array([b for _, b in at], pa.int32()), pa.array(list(at.values()), pa.list_(pa.float64()))], schema=_SUMS)
+
+    out = [np.zeros(n) for n in lengths]
+    for r in rows.repartition("k", "block").mapInArrow(add, "k int, block int, num array<double>").collect():
+        out[r.k][r.block * BLOCK : r.block * BLOCK + len(r.num)] = r.num
+    return out
+
+
+def _lists_of_double(column) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy(zero_copy_only=False))
+
+
 def subjects(
-    documents: DataFrame, labels: DataFrame, areas: DataFrame, held_out: DataFrame, share: float = 0.2, rounds: int = 8, background: int = 2,
-    least_share: float = 0.0005, most_share: float = 0.5, max_labels: int = 200_000, steps: int = 20, clear: float = 0.7, again: int = 2, frame_share: float = 0.35,
+    documents: DataFrame, labels: DataFrame, areas: DataFrame, held_out: DataFrame, share: float = 0.2, rounds: int = 6, least_share: float = 0.0005, buckets: int = 4_096,
+    max_labels: int = 200_000, steps: int = 20, sentence_steps: int = 30, lead: float = 0.5, clear: float = 0.25, strength: float = 0.05, spread: float = 0.02, described_in: str = "en",
 ) -> DataFrame:
     """(doc_id, subject, share): subjects that at least ``share`` of a document's subject-bearing sentences deal with.
 
-    The document-term matrix over all documents is factored by alternating
-    non-negative updates. The first components are anchored: one per subject
-    and language, seeded with the terms of the documents labelled so and with
-    the words of the subject's description; ``background`` free ones per
-    language take up what all subjects share. Each round goes over all rows
-    where they lie and sends only sums per component and term. Rows with a
-    label that disagrees weigh on no component by force, so wrong and missing
-    labels are outvoted.
-
-    A term's share in the anchored components tells which subject it bears; the
-    share is sharpened ``again`` times by counting the term in the sentences
-    that the components judge clearly without it. Terms of which no subject holds
-    ``clear``, or that more than ``frame_share`` of a language's documents hold, bear none. A sentence
-    deals with the subject of most weight before the first side remark, or
-    after it if there is none before; sentences without any and sentences made
-    of a held-out item's words don't count. Null ids are left out; null and
-    empty texts have no subject. Labels are at most ``max_labels`` rows, areas
-    and items are fixed tables; labels of unknown subjects don't count.
+    The document-term matrix of all documents of a language is factored as W H by alternating non-negative updates. One
+    component per subject is anchored: seeded with what the documents labelled so hold above the mean of the subjects and
+    with the words of the subject's description; one free component takes up what all share. ``spread`` of the mean row
+    is added to each anchor, as an update can't raise a zero. Each of the ``rounds`` goes over all rows where they lie and
+    sends only sums per component and block of terms. Labels that disagree with a row's words weigh on no component by
+    force, so wrong and missing ones are outvoted.
+
+    The subjects are read off W: the sentences are rows under the same H, a word counting up to ``lead`` less the later it
+    stands, since side remarks come last. A sentence deals with the subject of its largest mixture weight, if this is at
+    least ``strength`` and holds ``clear`` of the weight of all components; other sentences, and those of which half the
+    words lie in passages of ``SHINGLE`` words of held-out items, bear none.
+
+    Terms are words of three letters or more, counted over all documents. Those in less than ``least_share`` of them share
+    ``buckets`` hashed columns, so that none is dropped and the columns stay below mean terms per document / least_share +
+    buckets for each language. Languages are those with labelled documents; a document that names another or none belongs to the one whose
+    documents hold its words most often. Of more than ``max_labels`` labels those with the smallest hashes are taken;
+    labels of unknown subjects don't count. ``areas`` and ``held_out`` are fixed tables and read whole. Null ids are left
+    out; null and empty texts have no subject.
     """
     spark = documents.sparkSession
-    lang = F.lower(F.substring(F.trim(F.coalesce("lang", F.lit(""))), 1, 2))
-    docs = documents.where("doc_id is not null").select("doc_id", lang.alias("lang"), plain(F.coalesce("text", F.lit(""))).alias("t"))
-    names = [r[0] for r in areas.where("subject is not null").select("subject").distinct().orderBy("subject").limit(1_001).collect()]
-    words = {r[0]: [x for s in sentence_terms((r[1] or "").lower()) for x in s] for r in areas.select("subject", "description").collect() if r[0]}
-    items = [r[0] for r in held_out.select(plain(F.coalesce("text", F.lit("")))).limit(100_001).collect()]
-    marked = labels.where(F.col("subject").isin(*names)).select("doc_id", "subject").distinct()
-    if len(names) > 1_000 or len(items) > 100_000 or marked.limit(max_labels + 1).count() > max_labels:
-        raise ValueError("areas, items or labels beyond their bounds")
-    terms = sorted(vocabulary(docs, least_share, most_share))
-    n_docs, size = max(1, docs.count()), max(1, len(terms))
-    number = {t: k for k, (t, _) in enumerate(terms)}
-    idf = np.log(n_docs / np.array([d for _, d in terms] or [1])) + 0.1
-    shared = spark.sparkContext.broadcast((number, runs_of(items)))
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, runs = shared.value
-        aside = re.compile(ASIDES)
-        for b in batches:
-            main, side = [], []
-            for text in b["t"]:
-                m, s = [], []
-                for sentence in re.split(SENTENCE, text):
-                    if not sentence or made_of(sentence, runs):
-                        continue
-                    cut = aside.search(sentence)
-                    parts = (sentence[: cut.start()], sentence[cut.start() :]) if cut and cut.start() > 0 else (sentence, "")
-                    for out, part in zip((m, s), parts):
-                        out.append([number[x] for y in sentence_terms(part) for x in y if x in number])
-                main.append(m)
-                side.append(s)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "main": main, "side": side})
-
-    coded = durable(docs.mapInPandas(encode, "doc_id bigint, lang string, main array<array<int>>, side array<array<int>>"))
-    known = coded.join(marked, "doc_id")
-    # Seeds: terms of labelled documents per subject and language, counted once a document.
-    seen = known.select("subject", "lang", "doc_id", F.explode(F.array_distinct(F.flatten("main"))).alias("term")).groupBy("subject", "lang", "term").agg(F.countDistinct("doc_id").alias("n")).collect()
-    tongues = sorted({r.lang for r in seen if r.lang.isalpha() and r.lang != "un"}) or [""]
-    parts = [(s, g) for g in tongues for s in names]
-    at = {p: k for k, p in enumerate(parts)}
-    free = background * len(tongues)
-    rng = np.random.default_rng(7)
-    h = np.zeros((len(parts) + free, size))
-    for r in seen:
-        if (r.subject, r.lang) in at:
-            h[at[r.subject, r.lang], r.term] += r.n * idf[r.term]
-    # Terms that labelled documents of one language give to one subject for the greater part belong to its anchor alone.
-    n_marked = {(r["subject"], r["lang"]): r["count"] for r in known.groupBy("subject", "lang").count().collect()}
-    pure = {}
-    for g in tongues:
-        given = h[[at[s, g] for s in names]]
-        given = given / np.maximum(given.sum(axis=1, keepdims=True), 1e-9)
-        pure[g] = given.max(axis=0, initial=0.0) >= 0.9 * np.maximum(given.sum(axis=0), 1e-12)
-        # ... if at least a tenth of the documents labelled with that subject hold them.
-        held_by = np.zeros(size)
-        for r in seen:
-            if r.lang == g:
-                held_by[r.term] = max(held_by[r.term], r.n / n_marked[r.subject, r.lang] if r.n > 1 else 0.0)
-        pure[g] &= held_by >= 0.1
-    # What all subjects of a language have is no seed of any: a term counts by what it has above the mean.
-    for g in tongues:
-        rows = [at[s, g] for s in names]
-        block = h[rows] / np.maximum(h[rows].sum(axis=1, keepdims=True), 1e-9)
-        h[rows] = np.maximum(block - block.mean(axis=0), 0) + 1e-6 * (block > 0)
-    for (s, g), k in at.items():
-        if g == "en":
-            for x in words.get(s, ()):
-                if x in number:
-                    h[k, number[x]] += 0.02
-    # The free components of a language start from all of its documents.
-    heard = coded.where(F.col("lang").isin(*tongues)).select("lang", F.explode(F.array_distinct(F.flatten("main"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")).collect()
-    for r in heard:
-        k = len(parts) + tongues.index(r.lang) * background
-        h[k : k + background, r.term] = r.n * idf[r.term]
-    # A term that a good part of a language's documents hold bears no subject.
-    n_heard = {r["lang"]: r["count"] for r in coded.where(F.col("lang").isin(*tongues)).groupBy("lang").count().collect()}
-    plain_terms = [r.term for r in heard if r.n > max(10.0, frame_share * n_heard[r.lang])]
-    h[: len(parts), plain_terms] = 0.0
-    h[len(parts) :] *= rng.uniform(0.5, 1.5, (free, size))
-    for k, g in enumerate(tongues):
-        h[len(parts) + k * background : len(parts) + (k + 1) * background, pure[g]] = 0.0
-    h /= np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-9)
-    k_all = len(h)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = now.value
-        hh, num, den = h @ h.T, np.zeros_like(h), np.zeros((k_all, k_all))
-        for b in (b.iloc[k : k + CHUNK] for b in batches for k in range(0, len(b), CHUNK)):
-            lists = [np.concatenate([np.asarray(s, dtype=np.int64) for s in d]) if len(d) else np.zeros(0, np.int64) for d in b["main"]]
-            row, term, v = _rows(lists, idf, size)
-            w = solve(_times(row, term, v, h, len(lists)), hh, steps)
-            for k in range(k_all):
-                num[k] += np.bincount(term, v * w[row, k], minlength=size)
-            den += w.T @ w
-        yield pd.DataFrame({"k": np.arange(k_all, dtype=np.int32), "num": list(num), "den": list(den)})
-
-    for _ in range(rounds if terms else 0):
-        now = spark.sparkContext.broadcast(h)
-        parts_sum = coded.select("main").mapInPandas(sums, "k int, num array<double>, den array<double>")
-        num, den = np.zeros_like(h), np.zeros((k_all, k_all))
-        for r in _added(parts_sum).collect():
-            num[r.k], den[r.k] = r.num, r.den
-        now.unpersist()
-        h = h * num / (den @ h + 1e-9)
-        h /= np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-9)
-    # How much of a term's weight lies in each subject.
-    mass = h / np.maximum(h.sum(axis=1, keepdims=True), 1e-12)
-    bearing = np.zeros((len(names), size))
-    for (s, g), k in at.items():
-        bearing[names.index(s)] = np.maximum(bearing[names.index(s)], mass[k])
-    whole = bearing.sum(axis=0) + mass[len(parts) :].max(axis=0, initial=0.0) if free else bearing.sum(axis=0)
-    purity = bearing / np.maximum(whole, 1e-12)
-    power = np.where(purity >= clear, purity * idf, 0.0)
-    power[:, plain_terms] = 0.0
-
-    words_at: dict = {}  # number of each word
-    first = np.array([words_at.setdefault(t.partition(" ")[0], len(words_at)) for t, _ in terms] or [0])
-    second = np.array([words_at.setdefault(t.rpartition(" ")[2], len(words_at)) for t, _ in terms] or [0])
-
-    def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        power, n = now.value, np.zeros((len(names) + 1, size))
-        for b in (b.iloc[k : k + CHUNK] for b in batches for k in range(0, len(b), CHUNK)):
-            lists = [np.asarray(m, dtype=np.int64) for doc in b["main"] for m in doc if len(m)]
-            if not lists:
-                continue
-            sentence = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            term = np.concatenate(lists)
-            # What the sentence says without the term, and without those that share a word with it.
-            x, y = first[term], second[term]
-            pair = x != y
-            keys, inverse = np.unique(np.concatenate([sentence * len(words_at) + x, (sentence * len(words_at) + y)[pair]]), return_inverse=True)
-            at_x, at_y = inverse[: len(term)], np.zeros(len(term), dtype=np.int64)
-            at_y[pair] = inverse[len(term) :]
-            rest = np.empty((len(names), len(term)))
-            for k in range(len(names)):
-                bears = power[k, term]
-                by_word = np.bincount(at_x, bears, minlength=len(keys)) + np.bincount(at_y[pair], bears[pair], minlength=len(keys))
-                rest[k] = np.bincount(sentence, bears, minlength=len(lists))[sentence] - by_word[at_x] - np.where(pair, by_word[at_y] - bears, 0.0)
-            best = rest.argmax(axis=0)
-            most = rest[best, np.arange(len(term))]
-            rest[best, np.arange(len(term))] = -1.0
-            top = np.where(most > 2 * np.maximum(rest.max(axis=0), 1e-6), best, np.where(most < 1e-6, len(names), -1))
-            for k in range(len(n)):
-                n[k] += np.bincount(term[top == k], minlength=size)
-        k = np.arange(len(n), dtype=np.int32)
-        yield pd.DataFrame({"k": k, "num": list(n), "den": [np.zeros(1)] * len(n)})
-
-    for _ in range(again if terms else 0):
-        now = spark.sparkContext.broadcast(power)
-        n = np.zeros((len(names) + 1, size))
-        for r in _added(coded.select("main").mapInPandas(recount, "k int, num array<double>, den array<double>")).collect():
-            n[r.k] = r.num
-        now.unpersist()
-        purity = n[:-1] / np.maximum(n.sum(axis=0), 1.0)
-        power = np.where(purity >= clear, purity * idf, 0.0)
-        power[:, plain_terms] = 0.0
-    told = spark.sparkContext.broadcast(power)
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        power = told.value
-        for b in batches:
-            out = []
-            for doc, main, side in zip(b["doc_id"], b["main"], b["side"]):
-                tally = np.zeros(len(names))
-                for m, s in zip(main, side):
-                    score = power[:, np.asarray(m, dtype=np.int64)].sum(axis=1) if len(m) else np.zeros(len(names))
-                    if not score.any() and len(s):
-                        score = power[:, np.asarray(s, dtype=np.int64)].sum(axis=1)
-                    if score.any():
-                        tally[int(np.argmax(score))] += 1
-                total = tally.sum()
-                out += [(doc, names[k], tally[k] / total) for k in np.flatnonzero(tally) if tally[k] >= share * total - 1e-9]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "share"])
-
-    return coded.mapInPandas(judge, "doc_id bigint, subject string, share double")
-
-
-def _added(rows: DataFrame) -> DataFrame:
-    """Element-wise sums of the arrays per k, added where they lie before they travel."""
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        num, den = {}, {}
+    code = F.lower(F.substring(F.trim(F.coalesce("lang", F.lit(""))), 1, 2))
+    docs = documents.where("doc_id is not null").select("doc_id", F.when(code.rlike("^[a-z]{2}$") & (F.lower(F.trim("lang")) != "und"), code).otherwise("").alias("tongue"), plain(F.coalesce("text", F.lit(""))).alias("t"))
+    described = {r[0]: (r[1] or "").lower() for r in areas.where("subject is not null").select("subject", "description").orderBy("subject", "description").collect()}
+    names = sorted(described)
+    n_subjects = len(names)
+    runs = Runs([r[0] for r in held_out.select(plain(F.coalesce("text", F.lit("")))).collect()])
+    number = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "subject string, s int")
+    marked = labels.join(F.broadcast(number), "subject").select("doc_id", "s").where("doc_id is not null").distinct()
+    marked = durable(marked.orderBy(F.xxhash64("doc_id", "s"), "doc_id", "s").limit(max_labels))
+    # At most max_labels rows, so broadcast.
+    held = {(r.tongue, r.s): r.n for r in docs.join(F.broadcast(marked), "doc_id").groupBy("tongue", "s").agg(F.count("*").alias("n")).collect()}
+    tongues = sorted({g for g, _ in held if g}) or [""]
+
+    # Document frequencies per language, over all documents; rare terms count in hashed columns.
+    sizes = {r.tongue: r.n for r in docs.groupBy("tongue").agg(F.count("*").alias("n")).collect()}
+    n_docs = sum(sizes.values())
+    counts = docs.select("tongue", F.explode(terms_of(F.col("t"))).alias("term")).groupBy("term", "tongue").agg(F.count("*").alias("df"))
+    often = F.sum("df").over(Window.partitionBy("term")) >= max(2.0, least_share * n_docs)
+    column = F.when(often, F.col("term")).otherwise(F.concat(F.lit("#"), F.crc32(F.col("term").cast("binary")) % buckets))
+    table = counts.withColumn("term", column).groupBy("term", "tongue").agg(F.sum("df").alias("df")).collect()
+    place: dict[str, int] = {}
+    for t in sorted({r.term for r in table} | {f"#{k}" for k in range(buckets)}):
+        place[t] = len(place)
+    size = len(place)
+    df = np.zeros((len(tongues), size))
+    for r in table:
+        if r.tongue in tongues:
+            df[tongues.index(r.tongue), place[r.term]] = r.df
+    own = np.array([max(1, sizes.get(g, 0)) for g in tongues], dtype=float)
+    idf = np.maximum(np.log(own[:, None] / np.maximum(df, 1.0)), 0.0) + 0.02
+    evidence = df / own[:, None]
+    evidence = evidence / np.maximum(evidence.sum(axis=0), 1e-12)
+    # Words of terms and of held-out items by one lookup: the term's column, the item's code.
+    words = sorted(set(place) | set(runs.code))
+    column_of = np.array([place.get(w, -1) for w in words], dtype=np.int64)
+    code_of = np.array([runs.code.get(w, 0) for w in words], dtype=np.int64)
+    shared = spark.sparkContext.broadcast(({w: k for k, w in enumerate(words)}, {k: place[f"#{k}"] for k in range(buckets)}, runs))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bucket, runs = shared.value
+        split, find = re.compile(SENTENCE).split, _TOKEN.findall
         for b in batches:
-            for k, x, y in zip(b["k"], b["num"], b["den"]):
-                num[k] = num[k] + x if k in num else np.array(x)
-                den[k] = den[k] + y if k in den else np.array(y)
-        if num:
-            yield pd.DataFrame({"k": np.array(list(num), dtype=np.int32), "num": list(num.values()), "den": list(den.values())})
-
-    schema = "k int, num array<double>, den array<double>"
-    return rows.repartition("k").mapInPandas(add, schema)
+            flat, lengths, per_doc = [], [], []
+            for text in b.column("t").to_pylist():
+                n = 0
+                for s in split(text) if text else ():
+                    found = find(s)
+                    if found:
+                        flat += found
+                        lengths.append(len(found))
+                        n += 1
+                per_doc.append(n)
+            lengths = np.array(lengths, dtype=np.int64)
+            ids = np.array([known.get(w, -1) for w in flat], dtype=np.int64)
+            col = np.where(ids >= 0, column_of[ids], -1) if len(words) else ids
+            for k in np.flatnonzero(col < 0):
+                w = flat[k]
+                if len(w) >= 3 and w.isalpha():
+                    col[k] = bucket[zlib.crc32(w.encode()) % buckets]
+            out = runs.made_of(np.where(ids >= 0, code_of[ids], 0), lengths) if len(words) else np.zeros(len(lengths), bool)
+            sentence = np.repeat(np.arange(len(lengths)), lengths)
+            keep = (col >= 0) & ~out[sentence]
+            n_terms = np.bincount(sentence[keep], minlength=len(lengths))
+            doc_of = np.repeat(np.arange(b.num_rows), per_doc)
+            terms, filled = col[keep].astype(np.int32), n_terms > 0
+            # Languages that are named and known stay; others are found by their words.
+            lang = np.array([tongues.index(g) if g in tongues else -1 for g in b.column("tongue").to_pylist()], dtype=np.int64)
+            doc = doc_of[sentence[keep]]
+            by = np.stack([np.bincount(doc, evidence[g, terms], minlength=b.num_rows) for g in range(len(tongues))])
+            lang = np.where(lang < 0, by.argmax(axis=0), lang)
+            at = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id").cast(pa.int64()), pa.array(lang.astype(np.int32)),
+                pa.ListArray.from_arrays(at(np.bincount(doc, minlength=b.num_rows)), pa.array(terms)),
+                pa.ListArray.from_arrays(at(np.bincount(doc_of[filled], minlength=b.num_rows)), pa.array(n_terms[filled].astype(np.int32))),
+            ], schema=_CODED)
+
+    coded = durable(docs.mapInArrow(encode, "doc_id bigint, lang int, terms array<int>, sizes array<int>"))
+    k_all, n_tongues = n_subjects + 1, len(tongues)
+    every = [size] * (k_all * n_tongues)
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in _chunks(batches):
+            mark = b.column("s").to_numpy(zero_copy_only=False)
+            for g, own, terms, lengths in _by_language(b, n_tongues):
+                row, term, v = _rows(np.repeat(np.arange(len(own)), lengths), terms, np.ones(len(terms)), idf[g], size, len(own), True)
+                for s in np.unique(mark[own]):
+                    k = g * k_all + int(s)
+                    sums[k] = sums.get(k, 0.0) + np.bincount(term, v * (mark[own] == s)[row], minlength=size)
+        yield _sparse(sums)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, sums, extra = now.value, {}, {}
+        for b in _chunks(batches):
+            for g, own, terms, lengths in _by_language(b, n_tongues):
+                row, term, v = _rows(np.repeat(np.arange(len(own)), lengths), terms, np.ones(len(terms)), idf[g], size, len(own), True)
+                w = solve(_times(row, term, v, h[g], len(own)), h[g] @ h[g].T, steps) if h is not None else np.ones((len(own), 1))
+                for k in range(w.shape[1]):
+                    sums[g * k_all + k] = sums.get(g * k_all + k, 0.0) + np.bincount(term, v * w[row, k], minlength=size)
+                extra[g] = extra.get(g, 0.0) + w.T @ w
+        # W^T W of a language rides along as one more block of its components.
+        yield _sparse(sums)
+        yield _sparse({k_all * n_tongues + g: m.ravel() for g, m in extra.items()})
+
+    h = None
+    if n_subjects and n_docs:
+        now = spark.sparkContext.broadcast(None)
+        mean = _gathered(coded.mapInArrow(step, "k int, block int, num array<double>"), every + [1] * n_tongues)
+        given = _gathered(coded.join(F.broadcast(marked), "doc_id").select("lang", "terms", "s").mapInArrow(seeds, "k int, block int, num array<double>"), every)
+        h = np.zeros((n_tongues, k_all, size))
+        for g, tongue in enumerate(tongues):
+            for s in range(n_subjects):
+                v = given[g * k_all + s]
+                h[g, s] = v / max(1, held.get((tongue, s), 0))
+                if tongue in (described_in, ""):
+                    for w in _TOKEN.findall(described[names[s]]):
+                        if w in place:
+                            h[g, s, place[w]] += 0.02
+            base = h[g, :n_subjects].mean(axis=0)
+            whole = mean[g * k_all]
+            h[g, :n_subjects] = np.maximum(h[g, :n_subjects] - base, 0.0)
+            h[g, n_subjects] = np.minimum(whole / max(whole.sum(), 1e-9), base / max(base.sum(), 1e-9)) + 1e-6 * (whole > 0)
+            h[g] /= np.maximum(np.linalg.norm(h[g], axis=1, keepdims=True), 1e-9)
+            h[g, :n_subjects] += spread * whole / max(np.linalg.norm(whole), 1e-9)
+        for _ in range(rounds):
+            now = spark.sparkContext.broadcast(h)
+            got = _gathered(coded.mapInArrow(step, "k int, block int, num array<double>"), every + [k_all * k_all] * n_tongues)
+            now.unpersist()
+            for g in range(n_tongues):
+                num, den = np.stack(got[g * k_all : (g + 1) * k_all]), got[k_all * n_tongues + g].reshape(k_all, k_all)
+                h[g] = h[g] * num / (den @ h[g] + 1e-9)
+                h[g] /= np.maximum(np.linalg.norm(h[g], axis=1, keepdims=True), 1e-9)
+    told = spark.sparkContext.broadcast(h)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = told.value
+        schema = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("share", pa.float64())])
+        for b in _chunks(batches) if h is not None else ():
+            ids, lang = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("lang").to_numpy(zero_copy_only=False)
+            terms, _ = _lists(b.column("terms"))
+            sizes, n_sentences = _lists(b.column("sizes"))
+            doc = np.repeat(np.arange(b.num_rows), n_sentences)
+            sentence = np.repeat(np.arange(len(sizes)), sizes)
+            place_in = np.arange(len(terms)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            weight = 1.0 - lead * place_in / np.maximum(1, sizes[sentence])
+            mixture = np.zeros((len(sizes), k_all))
+            for g in np.unique(lang[doc]):
+                on = (lang[doc] == g)[sentence]
+                row, term, v = _rows(sentence[on], terms[on], weight[on], idf[g], size, len(sizes), False)
+                own = np.unique(row)
+                at = np.zeros(len(sizes), dtype=np.int64)
+                at[own] = np.arange(len(own))
+                mixture[own] = solve(_times(at[row], term, v, h[g], len(own)), h[g] @ h[g].T, sentence_steps)
+            best = mixture[:, :n_subjects].argmax(axis=1)
+            most = mixture[np.arange(len(sizes)), best]
+            bears = (most >= strength) & (most >= clear * mixture.sum(axis=1))
+            tally = np.bincount(doc[bears] * n_subjects + best[bears], minlength=b.num_rows * n_subjects).reshape(b.num_rows, n_subjects)
+            part = tally / np.maximum(tally.sum(axis=1, keepdims=True), 1)
+            d, s = np.nonzero((tally > 0) & (part >= share - 1e-9))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array([names[k] for k in s], pa.string()), pa.array(part[d, s])], schema=schema)
+
+    return coded.mapInArrow(judge, "doc_id bigint, subject string, share double")
 
 
 def corpus_shares(found: DataFrame) -> DataFrame:

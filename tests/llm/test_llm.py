@@ -246,11 +246,40 @@ def test_overlaps_against_brute_force(spark):
     assert len(want) > 60
 
 
+def _made_of(sentences, runs):
+    tokens = [re.findall(r"\w+", x) for x in sentences]
+    return list(runs.made_of(np.array([runs.code.get(w, 0) for t in tokens for w in t], dtype=np.int64), np.array([len(t) for t in tokens], dtype=np.int64)))
+
+
 def test_made_of_counts_every_word_of_a_run():
-    runs = subjects.runs_of(["a b c d e f g h i j k"])
-    assert subjects.made_of("a b c d e f g h i j k and four more words", runs)
-    assert not subjects.made_of("a b c d e f g and eight more words than these few here", runs)
-    assert not subjects.made_of("a b c d e", runs) and not subjects.made_of("", runs)
+    runs = subjects.Runs(["a b c d e f g h i j k"])
+    # The last two sentences hold a run only together.
+    got = _made_of(["a b c d e f g h i j k and four more words", "a b c d e f g and eight more words than these few here", "a b c d e", "", "x a b c", "d e f"], runs)
+    assert got == [True, False, False, False, False, False]
+    assert _made_of(["a b c"], subjects.Runs([])) == [False] and _made_of([], runs) == []
+
+
+def test_subjects_find_the_language_and_hash_rare_words(spark):
+    rng = random.Random(9)
+    own = {("law", "en"): "permit court statute appeal".split(), ("farm", "en"): "soil harvest tractor manure".split(), ("law", "es"): "tribunal licencia ordenanza multa".split(), ("farm", "es"): "campo cosecha semilla riego".split()}
+    docs, labs, truth = [], [], {}
+    for d in range(400):
+        s, g = list(own)[d % 4]
+        said = {"en": "the {} and the {} were told.", "es": "sin {} no hay {} aqui."}[g]
+        docs.append((d, " ".join(said.format(*rng.sample(own[s, g], 2)) for _ in range(4)) + f" rare{'abcdefghij'[d % 10]}{'klmnopqrst'[d // 10 % 10]}{'uvwxyz'[d % 6]}", g if d % 5 else [None, "und", "xx"][d % 3], 1))
+        truth[d] = s
+        if d < 80 and d % 5:
+            labs.append((d, s, "x"))
+    dd = spark.createDataFrame(docs, "doc_id long, text string, lang string, subject int")
+    ll = spark.createDataFrame(labs, "doc_id long, subject string, text string")
+    aa = spark.createDataFrame([("law", "permits and courts"), ("farm", None), (None, "x")], "subject string, description string")
+    ev = spark.createDataFrame([(1, None)], "item_id long, text string")
+    for share in (0.0005, 0.2):
+        by = {r.doc_id: r.subject for r in subjects.subjects(dd, ll, aa, ev, least_share=share, buckets=64).collect()}
+        assert np.mean([by.get(d) == s for d, s in truth.items()]) > (0.97 if share < 0.1 else 0.8)
+    # Without labels the descriptions alone anchor the components; without subjects nothing comes out.
+    assert {r.subject for r in subjects.subjects(dd, ll.limit(0), aa, ev).collect()} <= {"law", "farm"}
+    assert subjects.subjects(dd, ll, aa.limit(0), ev).count() == 0
 
 
 def test_subjects_on_planted_topics(spark):
