@@ -35,8 +35,8 @@ ACCENTED, PLAIN = _letters()
 
 
 def plain(c: Column) -> Column:
-    """Lower case without accents, combining marks and invisible characters."""
-    return F.translate(F.regexp_replace(F.lower(c), r"[\p{Mn}\p{Cf}]", ""), ACCENTED, PLAIN)
+    """Lower case without accents, combining marks and invisible characters. Texts whose characters are all one byte have none of them."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(F.regexp_replace(F.lower(c), r"[\p{Mn}\p{Cf}]", ""), ACCENTED, PLAIN))
 
 
 def tokens_of(c: Column) -> Column:

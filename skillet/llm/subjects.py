@@ -14,54 +14,69 @@ from pyspark.sql import functions as F
 from skillet.llm.mapping import plain
 from skillet.session import durable
 
-SENTENCE = r"(?<=[.!?])\s+|\n+"
+#: Words, and what ends a sentence: a closing mark before a blank, or a line break.
+TOKEN = r"\w+|[.!?](?=\s)|\n"
 #: Words in a row that make a passage of a held-out item.
 SHINGLE = 6
 #: Terms whose sums travel together, and documents whose terms lie in memory side by side.
 BLOCK, CHUNK = 1_024, 2_000
 
-_TOKEN = re.compile(r"\w+")
 _SUMS = pa.schema([("k", pa.int32()), ("block", pa.int32()), ("num", pa.list_(pa.float64()))])
 _CODED = pa.schema([("doc_id", pa.int64()), ("lang", pa.int32()), ("terms", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
 
 
-def terms_of(c: Column) -> Column:
-    """The distinct terms of a plain text: its words of three letters or more."""
-    return F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w.rlike(r"^\p{L}{3,}$")))
+class Codes(dict):
+    """Token -> twice its 32-bit hash, and one more if it is a term (a word of three letters or more); -1 for ends of sentences."""
 
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        v = -1 if w in ".!?\n" else zlib.crc32(w.encode("utf-8", "surrogatepass")) * 2 + (len(w) >= 3 and w.isalpha())
+        self[w] = v
+        return v
 
-def _mix(codes: np.ndarray, width: int) -> np.ndarray:
-    """One number for each run of ``width`` codes; 0 where a code of the run is 0."""
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h, whole = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(width):
-        part = codes[k : k + n]
-        h = h * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        whole &= part > 0
-    return np.where(whole, h | np.uint64(1), np.uint64(0))
+
+def tokens(texts: list[str], codes: Codes, find=re.compile(TOKEN).findall) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of all words, words per sentence, document of each sentence) of plain texts; empty sentences are left out."""
+    flat, ends = [], []
+    for t in texts:
+        if t:
+            flat += find(t)
+        flat.append("\n")
+        ends.append(len(flat))
+    ids = np.fromiter(map(codes.__getitem__, flat), np.int64, len(flat))
+    mark = ids < 0
+    sentence = (np.cumsum(mark) - mark)[~mark]
+    doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))[~mark]
+    first = np.flatnonzero(np.diff(sentence, prepend=-1))
+    return ids[~mark], np.diff(np.append(first, len(sentence))), doc[first]
+
+
+def _mix(words: np.ndarray) -> np.ndarray:
+    """One number for each run of ``SHINGLE`` words."""
+    n = max(0, len(words) - SHINGLE + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    return h
 
 
 class Runs:
-    """The runs of ``SHINGLE`` words of some texts, and which words of a sentence lie in any of them."""
+    """The runs of ``SHINGLE`` words of some texts, and which sentences consist of them."""
 
     def __init__(self, texts: list[str]):
-        self.code: dict[str, int] = {}
-        found = []
-        for t in texts:
-            found.append(_mix(np.array([self.code.setdefault(w, len(self.code) + 1) for w in _TOKEN.findall(t)], dtype=np.int64), SHINGLE))
+        codes = Codes()
+        found = [_mix(tokens([t], codes)[0]) for t in texts]
         self.hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
-    def made_of(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Per sentence whether at least half of its words lie in runs; ``codes`` of all sentences one after another."""
-        h = _mix(codes, SHINGLE)
-        hit = np.flatnonzero((h > 0) & np.isin(h, self.hashes))
+    def made_of(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Per sentence whether at least half of its words lie in runs; ``words`` of all sentences one after another."""
+        hit = np.flatnonzero(np.isin(_mix(words), self.hashes))
         if not len(hit):
             return np.zeros(len(sizes), bool)
         sentence = np.repeat(np.arange(len(sizes)), sizes)
         hit = hit[sentence[hit] == sentence[hit + SHINGLE - 1]]
-        inside = np.zeros(len(codes), bool)
+        inside = np.zeros(len(words), bool)
         for k in range(SHINGLE):
             inside[hit + k] = True
         n = np.bincount(sentence[inside], minlength=len(sizes))
@@ -102,14 +117,37 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(k, CHUNK)
 
 
-def _by_language(b: pa.RecordBatch, groups: int):
+class Columns:
+    """Where the hash of a term stands in the matrices: a column of its own, or one of ``buckets`` that rare terms share."""
+
+    def __init__(self, often: np.ndarray, buckets: int, evidence: np.ndarray | None = None):
+        self.often, self.buckets, self.evidence = np.sort(often), buckets, evidence
+        self.size = len(often) + buckets
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.often, terms)
+        own = self.often[np.minimum(at, max(0, len(self.often) - 1))] == terms if len(self.often) else np.zeros(len(terms), bool)
+        return np.where(own, at, len(self.often) + terms % self.buckets)
+
+    def languages(self, b: pa.RecordBatch, terms: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The language of each document of a batch; where none is known, the one whose documents hold its terms most often."""
+        lang = b.column("lang").to_numpy(zero_copy_only=False)
+        lost = np.repeat(lang < 0, lengths)
+        if lost.any():
+            doc = np.repeat(np.arange(len(lang)), lengths)[lost]
+            by = np.stack([np.bincount(doc, e[terms[lost]], minlength=len(lang)) for e in self.evidence])
+            lang = np.where(lang < 0, by.argmax(axis=0), lang)
+        return np.maximum(lang, 0)
+
+
+def _by_language(b: pa.RecordBatch, columns: Columns):
     """(language, its documents' places in the batch, terms, sizes of documents) of a batch."""
     terms, lengths = _lists(b.column("terms"))
-    lang = b.column("lang").to_numpy(zero_copy_only=False)
-    for g in range(groups):
+    terms = columns.of(terms)
+    lang = columns.languages(b, terms, lengths)
+    for g in np.unique(lang):
         own = np.flatnonzero(lang == g)
-        if len(own):
-            yield g, own, terms[np.repeat(lang == g, lengths)], lengths[own]
+        yield g, own, terms[np.repeat(lang == g, lengths)], lengths[own]
 
 
 def _sparse(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -167,9 +205,9 @@ def subjects(
     least ``strength`` and holds ``clear`` of the weight of all components; other sentences, and those of which half the
     words lie in passages of ``SHINGLE`` words of held-out items, bear none.
 
-    Terms are words of three letters or more, counted over all documents. Those in less than ``least_share`` of them share
-    ``buckets`` hashed columns, so that none is dropped and the columns stay below mean terms per document / least_share +
-    buckets for each language. Languages are those with labelled documents; a document that names another or none belongs to the one whose
+    Terms are words of three letters or more, told apart by 32 bits of hash and counted over all documents. Those in less
+    than ``least_share`` of them share ``buckets`` columns, so that none is dropped and there are at most mean terms per
+    document / least_share + buckets columns. Languages are those with labelled documents; a document that names another or none belongs to the one whose
     documents hold its words most often. Of more than ``max_labels`` labels those with the smallest hashes are taken;
     labels of unknown subjects don't count. ``areas`` and ``held_out`` are fixed tables and read whole. Null ids are left
     out; null and empty texts have no subject.
@@ -180,101 +218,78 @@ def subjects(
     described = {r[0]: (r[1] or "").lower() for r in areas.where("subject is not null").select("subject", "description").orderBy("subject", "description").collect()}
     names = sorted(described)
     n_subjects = len(names)
-    runs = Runs([r[0] for r in held_out.select(plain(F.coalesce("text", F.lit("")))).collect()])
+    runs = spark.sparkContext.broadcast(Runs([r[0] for r in held_out.select(plain(F.coalesce("text", F.lit("")))).collect()]))
     number = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "subject string, s int")
     marked = labels.join(F.broadcast(number), "subject").select("doc_id", "s").where("doc_id is not null").distinct()
-    marked = durable(marked.orderBy(F.xxhash64("doc_id", "s"), "doc_id", "s").limit(max_labels))
     # At most max_labels rows, so broadcast.
+    marked = durable(marked.orderBy(F.xxhash64("doc_id", "s"), "doc_id", "s").limit(max_labels))
     held = {(r.tongue, r.s): r.n for r in docs.join(F.broadcast(marked), "doc_id").groupBy("tongue", "s").agg(F.count("*").alias("n")).collect()}
     tongues = sorted({g for g, _ in held if g}) or [""]
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, at = Codes(), lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        for b in _chunks(batches):
+            words, sizes, doc = tokens(b.column("t").to_pylist(), codes)
+            sentence = np.repeat(np.arange(len(sizes)), sizes)
+            keep = (words % 2 == 1) & ~runs.value.made_of(words, sizes)[sentence]
+            n_terms = np.bincount(sentence[keep], minlength=len(sizes))
+            filled = n_terms > 0
+            lang = np.array([tongues.index(g) if g in tongues else -1 for g in b.column("tongue").to_pylist()], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id").cast(pa.int64()), pa.array(lang),
+                pa.ListArray.from_arrays(at(np.bincount(doc, n_terms, minlength=b.num_rows)), pa.array((words[keep] >> 1).astype(np.uint32).view(np.int32))),
+                pa.ListArray.from_arrays(at(np.bincount(doc[filled], minlength=b.num_rows)), pa.array(n_terms[filled].astype(np.int32))),
+            ], schema=_CODED)
+
+    coded = durable(docs.mapInArrow(encode, "doc_id bigint, lang int, terms array<int>, sizes array<int>"))
+
     # Document frequencies per language, over all documents; rare terms count in hashed columns.
-    sizes = {r.tongue: r.n for r in docs.groupBy("tongue").agg(F.count("*").alias("n")).collect()}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _chunks(batches):
+            terms, lengths = _lists(b.column("terms"))
+            lang = b.column("lang").to_numpy(zero_copy_only=False)
+            seen = np.unique((np.repeat(np.arange(len(lang)), lengths) << 32) + terms + 2**31)
+            key, n = np.unique((lang[seen >> 32].astype(np.int64) << 32) + (seen & (2**32 - 1)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array(((key & (2**32 - 1)) - 2**31).astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "term", "df"])
+
+    sizes = {r.lang: r.n for r in coded.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     n_docs = sum(sizes.values())
-    counts = docs.select("tongue", F.explode(terms_of(F.col("t"))).alias("term")).groupBy("term", "tongue").agg(F.count("*").alias("df"))
+    counts = coded.select("lang", "terms").mapInArrow(count, "lang int, term int, df bigint").groupBy("term", "lang").agg(F.sum("df").alias("df"))
     often = F.sum("df").over(Window.partitionBy("term")) >= max(2.0, least_share * n_docs)
-    column = F.when(often, F.col("term")).otherwise(F.concat(F.lit("#"), F.crc32(F.col("term").cast("binary")) % buckets))
-    table = counts.withColumn("term", column).groupBy("term", "tongue").agg(F.sum("df").alias("df")).collect()
-    place: dict[str, int] = {}
-    for t in sorted({r.term for r in table} | {f"#{k}" for k in range(buckets)}):
-        place[t] = len(place)
-    size = len(place)
+    column = F.when(often, F.col("term").cast("bigint")).otherwise(F.lit(2**32) + F.pmod("term", F.lit(buckets)))
+    table = counts.withColumn("term", column).groupBy("term", "lang").agg(F.sum("df").alias("df")).collect()
+    columns = Columns(np.array(sorted({r.term for r in table if r.term < 2**31}), dtype=np.int64), buckets)
+    size = columns.size
     df = np.zeros((len(tongues), size))
     for r in table:
-        if r.tongue in tongues:
-            df[tongues.index(r.tongue), place[r.term]] = r.df
-    own = np.array([max(1, sizes.get(g, 0)) for g in tongues], dtype=float)
+        if r.lang >= 0:
+            df[r.lang, int(columns.of(np.array([r.term]))[0]) if r.term < 2**31 else len(columns.often) + r.term - 2**32] += r.df
+    own = np.array([max(1, sizes.get(g, 0)) for g in range(len(tongues))], dtype=float)
     idf = np.maximum(np.log(own[:, None] / np.maximum(df, 1.0)), 0.0) + 0.02
-    evidence = df / own[:, None]
-    evidence = evidence / np.maximum(evidence.sum(axis=0), 1e-12)
-    # Words of terms and of held-out items by one lookup: the term's column, the item's code.
-    words = sorted(set(place) | set(runs.code))
-    column_of = np.array([place.get(w, -1) for w in words], dtype=np.int64)
-    code_of = np.array([runs.code.get(w, 0) for w in words], dtype=np.int64)
-    shared = spark.sparkContext.broadcast(({w: k for k, w in enumerate(words)}, {k: place[f"#{k}"] for k in range(buckets)}, runs))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bucket, runs = shared.value
-        split, find = re.compile(SENTENCE).split, _TOKEN.findall
-        for b in batches:
-            flat, lengths, per_doc = [], [], []
-            for text in b.column("t").to_pylist():
-                n = 0
-                for s in split(text) if text else ():
-                    found = find(s)
-                    if found:
-                        flat += found
-                        lengths.append(len(found))
-                        n += 1
-                per_doc.append(n)
-            lengths = np.array(lengths, dtype=np.int64)
-            ids = np.array([known.get(w, -1) for w in flat], dtype=np.int64)
-            col = np.where(ids >= 0, column_of[ids], -1) if len(words) else ids
-            for k in np.flatnonzero(col < 0):
-                w = flat[k]
-                if len(w) >= 3 and w.isalpha():
-                    col[k] = bucket[zlib.crc32(w.encode()) % buckets]
-            out = runs.made_of(np.where(ids >= 0, code_of[ids], 0), lengths) if len(words) else np.zeros(len(lengths), bool)
-            sentence = np.repeat(np.arange(len(lengths)), lengths)
-            keep = (col >= 0) & ~out[sentence]
-            n_terms = np.bincount(sentence[keep], minlength=len(lengths))
-            doc_of = np.repeat(np.arange(b.num_rows), per_doc)
-            terms, filled = col[keep].astype(np.int32), n_terms > 0
-            # Languages that are named and known stay; others are found by their words.
-            lang = np.array([tongues.index(g) if g in tongues else -1 for g in b.column("tongue").to_pylist()], dtype=np.int64)
-            doc = doc_of[sentence[keep]]
-            by = np.stack([np.bincount(doc, evidence[g, terms], minlength=b.num_rows) for g in range(len(tongues))])
-            lang = np.where(lang < 0, by.argmax(axis=0), lang)
-            at = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").cast(pa.int64()), pa.array(lang.astype(np.int32)),
-                pa.ListArray.from_arrays(at(np.bincount(doc, minlength=b.num_rows)), pa.array(terms)),
-                pa.ListArray.from_arrays(at(np.bincount(doc_of[filled], minlength=b.num_rows)), pa.array(n_terms[filled].astype(np.int32))),
-            ], schema=_CODED)
-
-    coded = durable(docs.mapInArrow(encode, "doc_id bigint, lang int, terms array<int>, sizes array<int>"))
+    columns.evidence = df / own[:, None] / np.maximum((df / own[:, None]).sum(axis=0), 1e-12)
+    shared = spark.sparkContext.broadcast((columns, idf))
     k_all, n_tongues = n_subjects + 1, len(tongues)
     every = [size] * (k_all * n_tongues)
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
+        (columns, idf), sums = shared.value, {}
         for b in _chunks(batches):
             mark = b.column("s").to_numpy(zero_copy_only=False)
-            for g, own, terms, lengths in _by_language(b, n_tongues):
-                row, term, v = _rows(np.repeat(np.arange(len(own)), lengths), terms, np.ones(len(terms)), idf[g], size, len(own), True)
+            for g, own, terms, lengths in _by_language(b, columns):
+                row, term, v = _rows(np.repeat(np.arange(len(own)), lengths), terms, np.ones(len(terms)), idf[g], columns.size, len(own), True)
                 for s in np.unique(mark[own]):
                     k = g * k_all + int(s)
-                    sums[k] = sums.get(k, 0.0) + np.bincount(term, v * (mark[own] == s)[row], minlength=size)
+                    sums[k] = sums.get(k, 0.0) + np.bincount(term, v * (mark[own] == s)[row], minlength=columns.size)
         yield _sparse(sums)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, sums, extra = now.value, {}, {}
+        (columns, idf), h, sums, extra = shared.value, now.value, {}, {}
         for b in _chunks(batches):
-            for g, own, terms, lengths in _by_language(b, n_tongues):
-                row, term, v = _rows(np.repeat(np.arange(len(own)), lengths), terms, np.ones(len(terms)), idf[g], size, len(own), True)
+            for g, own, terms, lengths in _by_language(b, columns):
+                row, term, v = _rows(np.repeat(np.arange(len(own)), lengths), terms, np.ones(len(terms)), idf[g], columns.size, len(own), True)
                 w = solve(_times(row, term, v, h[g], len(own)), h[g] @ h[g].T, steps) if h is not None else np.ones((len(own), 1))
                 for k in range(w.shape[1]):
-                    sums[g * k_all + k] = sums.get(g * k_all + k, 0.0) + np.bincount(term, v * w[row, k], minlength=size)
+                    sums[g * k_all + k] = sums.get(g * k_all + k, 0.0) + np.bincount(term, v * w[row, k], minlength=columns.size)
                 extra[g] = extra.get(g, 0.0) + w.T @ w
         # W^T W of a language rides along as one more block of its components.
         yield _sparse(sums)
@@ -291,9 +306,8 @@ def subjects(
                 v = given[g * k_all + s]
                 h[g, s] = v / max(1, held.get((tongue, s), 0))
                 if tongue in (described_in, ""):
-                    for w in _TOKEN.findall(described[names[s]]):
-                        if w in place:
-                            h[g, s, place[w]] += 0.02
+                    words = tokens([described[names[s]]], Codes())[0]
+                    h[g, s, np.unique(columns.of((words[words % 2 == 1] >> 1).astype(np.uint32).view(np.int32).astype(np.int64)))] += 0.02
             base = h[g, :n_subjects].mean(axis=0)
             whole = mean[g * k_all]
             h[g, :n_subjects] = np.maximum(h[g, :n_subjects] - base, 0.0)
@@ -311,11 +325,13 @@ def subjects(
     told = spark.sparkContext.broadcast(h)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = told.value
+        (columns, idf), h = shared.value, told.value
         schema = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("share", pa.float64())])
         for b in _chunks(batches) if h is not None else ():
-            ids, lang = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("lang").to_numpy(zero_copy_only=False)
-            terms, _ = _lists(b.column("terms"))
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            terms, lengths = _lists(b.column("terms"))
+            terms = columns.of(terms)
+            lang = columns.languages(b, terms, lengths)
             sizes, n_sentences = _lists(b.column("sizes"))
             doc = np.repeat(np.arange(b.num_rows), n_sentences)
             sentence = np.repeat(np.arange(len(sizes)), sizes)
@@ -324,7 +340,7 @@ def subjects(
             mixture = np.zeros((len(sizes), k_all))
             for g in np.unique(lang[doc]):
                 on = (lang[doc] == g)[sentence]
-                row, term, v = _rows(sentence[on], terms[on], weight[on], idf[g], size, len(sizes), False)
+                row, term, v = _rows(sentence[on], terms[on], weight[on], idf[g], columns.size, len(sizes), False)
                 own = np.unique(row)
                 at = np.zeros(len(sizes), dtype=np.int64)
                 at[own] = np.arange(len(own))

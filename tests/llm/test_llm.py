@@ -247,16 +247,18 @@ def test_overlaps_against_brute_force(spark):
 
 
 def _made_of(sentences, runs):
-    tokens = [re.findall(r"\w+", x) for x in sentences]
-    return list(runs.made_of(np.array([runs.code.get(w, 0) for t in tokens for w in t], dtype=np.int64), np.array([len(t) for t in tokens], dtype=np.int64)))
+    words, sizes, _ = subjects.tokens(["\n".join(sentences)], subjects.Codes())
+    return list(runs.made_of(words, sizes))
 
 
 def test_made_of_counts_every_word_of_a_run():
     runs = subjects.Runs(["a b c d e f g h i j k"])
     # The last two sentences hold a run only together.
     got = _made_of(["a b c d e f g h i j k and four more words", "a b c d e f g and eight more words than these few here", "a b c d e", "", "x a b c", "d e f"], runs)
-    assert got == [True, False, False, False, False, False]
+    assert got == [True, False, False, False, False]
     assert _made_of(["a b c"], subjects.Runs([])) == [False] and _made_of([], runs) == []
+    words, sizes, doc = subjects.tokens(["One two. three", "", "?! 3.5 kg\n\nx"], subjects.Codes())
+    assert len(words) == 7 and list(sizes) == [2, 1, 3, 1] and list(doc) == [0, 0, 2, 2] and list(words % 2) == [1, 1, 1, 0, 0, 0, 0]
 
 
 def test_subjects_find_the_language_and_hash_rare_words(spark):
