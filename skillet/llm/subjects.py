@@ -91,18 +91,31 @@ def solve(xh: np.ndarray, hh: np.ndarray, steps: int) -> np.ndarray:
     return w
 
 
-def _rows(row: np.ndarray, term: np.ndarray, weight: np.ndarray, idf: np.ndarray, size: int, n: int, log: bool):
-    """(row, term, value): summed weights, log-scaled on wish, times idf, with rows of length 1."""
-    key, inverse = np.unique(row * size + term, return_inverse=True)
-    v = np.bincount(inverse, weight, minlength=len(key))
-    row, term = key // size, key % size
-    v = ((1 + np.log(v)) if log else v) * idf[term]
+def _rows(row: np.ndarray, term: np.ndarray, idf: np.ndarray, size: int, n: int, weight: np.ndarray | None = None):
+    """(row, term, value), sorted by row: summed weights, or log-scaled counts without ``weight``, times idf, with rows of length 1."""
+    key = row * size + term
+    if weight is None:
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        v = 1 + np.log(np.diff(np.append(first, len(key))))
+        key = key[first]
+    else:
+        key, inverse = np.unique(key, return_inverse=True)
+        v = np.bincount(inverse, weight, minlength=len(key))
+    row = key // size
+    term = key - row * size
+    v = v * idf[term]
     norm = np.sqrt(np.bincount(row, v * v, minlength=n))
     return row, term, v / np.maximum(norm[row], 1e-9)
 
 
 def _times(row, term, v, h: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(row, v * h[k, term], minlength=n) for k in range(len(h))], axis=1)
+    """X H^T of rows sorted by ``row``."""
+    out = np.zeros((n, len(h)))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    if len(first):
+        out[row[first]] = np.add.reduceat(np.ascontiguousarray(h.T)[term] * v[:, None], first, axis=0)
+    return out
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +289,7 @@ def subjects(
         for b in _chunks(batches):
             mark = b.column("s").to_numpy(zero_copy_only=False)
             for g, own, terms, lengths in _by_language(b, columns):
-                row, term, v = _rows(np.repeat(np.arange(len(own)), lengths), terms, np.ones(len(terms)), idf[g], columns.size, len(own), True)
+                row, term, v = _rows(np.repeat(np.arange(len(own)), lengths), terms, idf[g], columns.size, len(own))
                 for s in np.unique(mark[own]):
                     k = g * k_all + int(s)
                     sums[k] = sums.get(k, 0.0) + np.bincount(term, v * (mark[own] == s)[row], minlength=columns.size)
@@ -286,7 +299,7 @@ def subjects(
         (columns, idf), h, sums, extra = shared.value, now.value, {}, {}
         for b in _chunks(batches):
             for g, own, terms, lengths in _by_language(b, columns):
-                row, term, v = _rows(np.repeat(np.arange(len(own)), lengths), terms, np.ones(len(terms)), idf[g], columns.size, len(own), True)
+                row, term, v = _rows(np.repeat(np.arange(len(own)), lengths), terms, idf[g], columns.size, len(own))
                 w = solve(_times(row, term, v, h[g], len(own)), h[g] @ h[g].T, steps) if h is not None else np.ones((len(own), 1))
                 for k in range(w.shape[1]):
                     sums[g * k_all + k] = sums.get(g * k_all + k, 0.0) + np.bincount(term, v * w[row, k], minlength=columns.size)
@@ -340,7 +353,7 @@ def subjects(
             mixture = np.zeros((len(sizes), k_all))
             for g in np.unique(lang[doc]):
                 on = (lang[doc] == g)[sentence]
-                row, term, v = _rows(sentence[on], terms[on], weight[on], idf[g], columns.size, len(sizes), False)
+                row, term, v = _rows(sentence[on], terms[on], idf[g], columns.size, len(sizes), weight[on])
                 own = np.unique(row)
                 at = np.zeros(len(sizes), dtype=np.int64)
                 at[own] = np.arange(len(own))
