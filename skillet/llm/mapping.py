@@ -2,8 +2,8 @@
 
 Tokens are repaired first: each distinct token of the names meets the tokens
 of the reference list by edit distance, through an equi-join on shared
-deletion variants. The repaired tokens of a name are then combined, and the
-reference entries that say the same are ranked by soft TF-IDF.
+deletion variants. The reference entries that hold a reading of a name's rarest
+token are then ranked by soft TF-IDF over all of the name's repaired tokens.
 """
 
 from __future__ import annotations
@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from skillet.session import durable
 
 
-# Short forms that share too few letters with their word.
-SHORT_FORMS = {"bbq": "barbecued", "choc": "chocolate", "tom": "tomato", "veg": "vegetable", "pot": "potato"}
-
-
 def _letters() -> tuple[str, str]:
     """Accented letters and the plain ones they are written with, from their Unicode decompositions."""
     pairs = []
@@ -56,14 +52,14 @@ def deletions(c: Column, most: int) -> Column:
 
 def skeleton(c: Column) -> Column:
     """A word without its vowels, but for the first letter: what is left of it in a shortened writing."""
-    return F.concat(F.substring(c, 1, 1), F.regexp_replace(F.substring(c, 2, 99), "[aeiou]", ""))
+    return F.concat(F.substring(c, 1, 1), F.regexp_replace(F.substring(c, F.lit(2), F.length(c)), "[aeiou]", ""))
 
 
-def sound(c: Column) -> Column:
-    """A rough key of how a word sounds: single letters for doubled ones and for common spellings of one sound."""
-    for pattern, to in (("ie$", "y"), ("ph", "f"), ("oo|ou", "u"), ("ea|ee", "i"), ("ck|c(?=[aoulr])|q", "k"), ("z|c(?=[eiy])", "s"), (r"(.)\1", "$1")):
+def sound(c: Column, doubled: bool = False) -> Column:
+    """A rough key of how a word sounds: one letter for common spellings of one sound and, unless ``doubled``, for doubled letters."""
+    for pattern, to in (("ie$", "y"), ("ph", "f"), ("oo|ou", "u"), ("ea|ee", "i"), ("ck|c(?=[aoulr])|q", "k"), ("z|c(?=[eiy])", "s")):
         c = F.regexp_replace(c, pattern, to)
-    return c
+    return c if doubled else F.regexp_replace(c, r"(.)\1", "$1")
 
 
 def allowed(length: Column) -> Column:
@@ -71,17 +67,24 @@ def allowed(length: Column) -> Column:
     return F.when(length <= 3, 0).when(length <= 5, 1).otherwise(2)
 
 
-def repairs(tokens: DataFrame, vocabulary: DataFrame, broadcast_limit: int = 20_000) -> DataFrame:
+def variants(c: Column) -> Column:
+    """``deletions`` of as many letters as a word of that length may have edits."""
+    n = allowed(F.length(c))
+    return F.when(n == 0, F.array(c)).when(n == 1, deletions(c, 1)).otherwise(deletions(c, 2))
+
+
+def repairs(tokens: DataFrame, vocabulary: DataFrame, margin: float = 0.0, broadcast_limit: int = 20_000) -> DataFrame:
     """(token, words array<string>, sim): what each token can stand for in the vocabulary.
 
     ``tokens``: distinct ``token``; ``vocabulary``: distinct ``word``. A token stands for a word
     - that it equals (sim 1), also but for a plural s (0.98);
     - whose skeleton it is, but for one letter, or the opening three letters or more of it, if the token has no vowel but the first letter (0.9);
+    - whose consonants it has in order, as they sound, but for two (0.85), if it has no vowel but the first letter;
     - that sounds alike (0.8);
     - within the allowed edits; a swap of two letters is one edit;
     - of which it is the opening three letters or more, but for a plural s (0.7);
     - or for two words written as one, each of which may hold an edit.
-    Only the repairs of the highest sim are kept, all of them on a tie.
+    Repairs within ``margin`` of the token's highest sim are kept.
     """
     # The reference list may be broadcast as far as a count allows; tables made of tokens grow with the names and are
     # never broadcast on an estimate, which knows nothing of how many rows explode makes.
@@ -90,17 +93,18 @@ def repairs(tokens: DataFrame, vocabulary: DataFrame, broadcast_limit: int = 20_
     words = vocabulary.select("word", F.length("word").alias("wl"))
     exact = tokens.join(side(words), F.col("token") == F.col("word")).select("token", F.array("word").alias("words"), F.lit(1.0).alias("sim"))
     # Of a single word.
-    by = words.select("word", "wl", F.explode(deletions(F.col("word"), 2)).alias("v"))
+    by = words.select("word", "wl", F.explode(variants(F.col("word"))).alias("v"))
     unknown = tokens.join(side(words), F.col("token") == F.col("word"), "left_anti")
     stem = F.regexp_replace("token", "s$", "")
-    near = unknown.select("token", F.explode(F.array_union(deletions(F.col("token"), 2), deletions(stem, 2))).alias("v")).join(side(by), "v").select("token", "word", "wl").distinct()
+    near = unknown.select("token", F.explode(F.array_union(variants(F.col("token")), variants(stem))).alias("v")).join(side(by), "v").select("token", "word", "wl").distinct()
     single = _edits(near, "token").select("token", F.array("word").alias("words"), "sim")
-    known_short = tokens.sparkSession.createDataFrame(sorted(SHORT_FORMS.items()), "token string, word string")
-    written = unknown.join(known_short, "token").join(words, "word").select("token", F.array("word").alias("words"), F.lit(0.95).alias("sim"))
-    short = unknown.where(~F.substring("token", 2, 99).rlike("[aeiou]") & (F.length("token") >= 3)).select("token", F.explode(F.array_distinct(F.array("token", F.regexp_replace("token", "s$", "")))).alias("k"))
+    short = unknown.where(~F.col("token").rlike("^.+[aeiou]") & (F.length("token") >= 3)).select("token", F.explode(F.array_distinct(F.array("token", F.regexp_replace("token", "s$", "")))).alias("k"))
     bones = words.select("word", F.explode(F.array_union(deletions(skeleton(F.col("word")), 1), F.array(F.regexp_replace(skeleton(F.col("word")), r"(.)\1", "$1")))).alias("b")).where("length(b) >= 4 or b = word or length(word) <= 4 and length(b) >= 3")
     bones = bones.select("word", F.explode(F.transform(F.sequence(F.lit(3), F.length("b")), lambda n: F.substring("b", F.lit(1), n))).alias("k")).distinct()
     bare = short.join(side(bones), "k").select("token", F.array("word").alias("words"), F.lit(0.9).alias("sim")).distinct()
+    heard = words.select("word", F.explode(deletions(skeleton(sound(F.col("word"), True)), 2)).alias("k")).where(F.substring("k", 1, 1) == F.substring("word", 1, 1))
+    short = short.where("length(k) >= 3").select("token", sound(F.col("k"), True).alias("k")).distinct()
+    bare = bare.unionByName(short.join(side(heard), "k").select("token", F.array("word").alias("words"), F.lit(0.85).alias("sim")).distinct())
     alike = unknown.withColumn("k", sound(F.col("token"))).join(side(words.withColumn("k", sound(F.col("word")))), "k").select("token", F.array("word").alias("words"), F.lit(0.8).alias("sim"))
     heads = words.where("wl >= 5").select("word", F.explode(F.transform(F.sequence(F.lit(3), F.col("wl") - 1), lambda n: F.substring("word", F.lit(1), n))).alias("k"))
     heads = unknown.select("token", F.explode(F.array_distinct(F.array("token", F.regexp_replace("token", "s$", "")))).alias("k")).join(side(heads), "k").select("token", F.array("word").alias("words"), F.lit(0.7).alias("sim"))
@@ -119,9 +123,9 @@ def repairs(tokens: DataFrame, vocabulary: DataFrame, broadcast_limit: int = 20_
     first = exact_a.join(fuzzy.select(F.col("h").alias("b"), F.col("word").alias("wb"), F.col("sim").alias("sb")).hint("merge"), "b").select("token", "wa", "wb", "sa", "sb")
     second = exact_b.join(fuzzy.select(F.col("h").alias("a"), F.col("word").alias("wa"), F.col("sim").alias("sa")).hint("merge"), "a").select("token", "wa", "wb", "sa", "sb")
     double = first.unionByName(second).select("token", F.array("wa", "wb").alias("words"), (F.col("sa") * F.col("sb") * 0.95).alias("sim")).distinct()
-    every = exact.unionByName(single).unionByName(written).unionByName(bare).unionByName(alike).unionByName(heads).unionByName(double)
+    every = exact.unionByName(single).unionByName(bare).unionByName(alike).unionByName(heads).unionByName(double)
     best = F.max("sim").over(Window.partitionBy("token"))
-    return every.withColumn("_best", best).where("sim >= _best - 1e-9").groupBy("token", "words").agg(F.max("sim").alias("sim"))
+    return every.withColumn("_best", best).where(F.col("sim") >= F.col("_best") - margin - 1e-9).groupBy("token", "words").agg(F.max("sim").alias("sim"))
 
 
 def _edits(pairs: DataFrame, token: str, most: int = 2, plural: bool = True) -> DataFrame:
@@ -135,59 +139,76 @@ def _edits(pairs: DataFrame, token: str, most: int = 2, plural: bool = True) ->
     return pairs.withColumn("_d", d).where(F.col("_d") < limit + 0.5).withColumn("sim", 1.0 - F.col("_d") / F.greatest(F.length(t), F.col("wl")))
 
 
-def common_words(tokens: DataFrame, strings: int, vocabulary: DataFrame, share: float, least: int = 3) -> DataFrame:
-    """Tokens in at least ``share`` of the strings (and ``least`` strings) that no reference entry has, shortened, in the
-    plural or not: words in their own right, not misspellings.
+def own_words(counts: DataFrame, table: DataFrame, ratio: float = 1.0, prior: float = 2.0) -> DataFrame:
+    """Tokens (``token``, ``df``) that are words in their own right and no misspellings of a reference word.
 
-    Their number is at most the mean tokens per string divided by ``share``,
-    however many strings there are.
+    A misspelling is rarer than its word: a token whose repairs all have a sim below 0.9 is one of its own if more than
+    ``ratio`` times as many names hold it as hold the words it could stand for, ``prior`` names being added to those. Tokens without any repair
+    are words of their own as well. The rule compares numbers of the same names, so it holds alike at any number of them.
     """
-    often = tokens.where(F.col("df") >= F.lit(max(float(least), share * strings)))
-    forms = vocabulary.select(F.explode(F.array(F.col("word"), F.concat("word", F.lit("s")), F.concat("word", F.lit("es")), skeleton(F.col("word")))).alias("token"))
-    often = often.where(~F.col("token").isin(*SHORT_FORMS))
-    return often.join(forms, "token", "left_anti").select("token")
+    seen = counts.withColumnRenamed("token", "word").withColumnRenamed("df", "wdf")
+    likely = table.select("token", "sim", F.explode("words").alias("word")).join(seen, "word", "left")
+    likely = likely.groupBy("token").agg(F.max("sim").alias("sim"), F.coalesce(F.max("wdf"), F.lit(0)).alias("wdf"))
+    rows = counts.join(likely, "token", "left")
+    return rows.where(F.col("sim").isNull() | (F.col("sim") < 0.9) & (F.col("df") > ratio * (F.col("wdf") + prior))).select("token", "df")
 
 
-def map_names(names: DataFrame, name: str, reference: DataFrame, key: str, entry: str, share: float = 0.002) -> DataFrame:
+def map_names(names: DataFrame, name: str, reference: DataFrame, key: str, entry: str, margin: float = 0.1, vague: float = 0.8) -> DataFrame:
     """(name, key, score): per distinct name the entry it names, with its soft TF-IDF; key is null where it names none.
 
-    Accents, case, order, plural s, joined words, brackets, misspellings and
-    words that no entry has (brands, remarks) don't matter; but an entry must
-    say all that the name's known words say and nothing else. Among entries of
-    equal score the one with the smaller key as text is taken. Null names are
-    left out; an empty name names nothing. Names with more known words than the
-    longest entry fit none, which bounds the combinations of repairs.
+    Each token of a name is repaired to words of the reference list. An entry's score is the cosine of the idf-weighted
+    word vectors of entry and name, each shared word counting by the similarity of the token that stands for it (soft
+    TF-IDF). Candidates are the entries that hold a reading of the name's rarest token; an entry that says all that the
+    name says is among them. They are ranked by score, the smaller key as text first on a tie, and the first that
+    is complete is taken: all of its words are said, and all known tokens say one of them. The first token may stay out if its best repair is
+    below ``vague``: it may be a brand that only resembles a word.
+
+    Accents, case, order, repeated words, plural s, joined words, brackets, misspellings and words that no entry has (brands, remarks) don't
+    matter. Null names are left out; an empty name names nothing. Null keys and empty entries aren't mapped to.
     """
-    entries = reference.select(F.col(key).cast("string").alias("_key"), F.array_distinct(tokens_of(F.col(entry))).alias("_w")).where("_key is not null and size(_w) > 0")
-    n_entries, longest = entries.agg(F.count("*"), F.max(F.size("_w"))).first()
+    words = F.array_distinct(tokens_of(F.col(entry)))
+    entries = durable(reference.select(F.col(key).cast("string").alias("_key"), words.alias("_w")).where("_key is not null and size(_w) > 0"))
+    n_entries = entries.count()
     vocabulary = durable(entries.select(F.explode("_w").alias("word")).groupBy("word").agg(F.log(F.lit(1.0) + F.lit(float(n_entries)) / F.count("*")).alias("idf")))
     distinct = names.select(F.col(name).alias("_name")).where("_name is not null").distinct()
-    longest = longest or 0
     strings = distinct.select("_name", F.posexplode(tokens_of(F.col("_name"))).alias("_pos", "token"))
-    counts = durable(strings.select("_name", "token").distinct().groupBy("token").agg(F.count("*").alias("df")))
-    total = distinct.count()
-    remarks = durable(common_words(counts, total, vocabulary, share))
-    unknown = counts.select("token").join(F.broadcast(remarks), "token", "left_anti")
-    table = durable(repairs(unknown, vocabulary.select("word")))
-    # Words that are written often, or now and then and like no word of the list, have meanings of their own; a token
-    # that comes closer to one of them than to any word of the list is a misspelling of it.
-    own = durable(common_words(counts.join(table.select("token").distinct().hint("merge"), "token", "left_anti"), total, vocabulary, share / 8).unionByName(remarks).distinct())
-    best = table.groupBy("token").agg(F.max("sim").alias("best")).where("best < 0.98")
-    forms = own.select(F.col("token").alias("word"), F.length("token").alias("wl"), F.explode(deletions(F.col("token"), 2)).alias("v"))
-    close = _edits(best.select("token", "best", F.explode(deletions(F.col("token"), 2)).alias("v")).join(F.broadcast(forms), "v").select("token", "best", "word", "wl").distinct(), "token", plural=False)
-    table = table.join(close.where("sim > best").select("token").distinct().hint("merge"), "token", "left_anti")
-    choices = table.groupBy("token").agg(F.collect_list(F.struct("words", "sim")).alias("choices"))
-    per_name = strings.join(choices.hint("merge"), "token").groupBy("_name").agg(F.array_sort(F.collect_list(F.struct("_pos", "choices"))).alias("_c"))
-    # A brand stands first; where it only resembles a known word, the name may also be read without it.
-    head, none = F.element_at("_c", 1), F.array(F.struct(F.array().cast("array<string>").alias("words"), F.lit(0.4).alias("sim")))
-    vague = F.array_max(F.transform(head["choices"], lambda c: c["sim"])) < 0.8
-    without = F.concat(F.array(F.struct(head["_pos"].alias("_pos"), F.concat(head["choices"], none).alias("choices"))), F.slice("_c", 2, longest + 1))
-    per_name = per_name.where(F.size("_c") <= longest + F.when(vague, 1).otherwise(0)).withColumn("_c", F.when(vague, without).otherwise(F.col("_c")))
-    one = F.array(F.struct(F.array().cast("array<string>").alias("words"), F.lit(1.0).alias("sim")))
-    step = lambda acc, x: F.flatten(F.transform(acc, lambda a: F.transform(x["choices"], lambda c: F.struct(F.array_union(a["words"], c["words"]).alias("words"), (a["sim"] * c["sim"]).alias("sim")))))
-    combos = per_name.select("_name", F.explode(F.aggregate("_c", one, step)).alias("_k")).select("_name", F.array_sort("_k.words").alias("_set"), F.col("_k.sim").alias("_sim"))
-    idf = entries.select("_key", F.explode("_w").alias("word")).join(vocabulary, "word").groupBy("_key").agg(F.array_sort(F.collect_list("word")).alias("_set"), F.sum(F.col("idf") * F.col("idf")).alias("_norm"))
-    scored = combos.join(idf, "_set").withColumn("score", F.col("_sim"))
-    place = Window.partitionBy("_name").orderBy(F.col("score").desc(), "_key")
-    best = scored.withColumn("_r", F.row_number().over(place)).where("_r = 1").select("_name", "_key", "score")
-    return distinct.join(best, "_name", "left").select(F.col("_name").alias(name), F.col("_key").alias(key), "score")
+    counts = durable(strings.groupBy("token").agg(F.countDistinct("_name").alias("df")))
+    table = durable(repairs(counts.select("token"), vocabulary.select("word"), margin))
+    own = durable(own_words(counts, table))
+    table = table.join(own.select("token").hint("merge"), "token", "left_anti")
+    # A token that comes closer to a more frequent word of its own than to any word of the list is a misspelling of that.
+    best = table.groupBy("token").agg(F.max("sim").alias("best")).where("best < 0.98").join(counts, "token")
+    forms = own.select(F.col("token").alias("word"), F.col("df").alias("odf"), F.length("token").alias("wl"), F.explode(variants(F.col("token"))).alias("v"))
+    near = best.select("token", "best", "df", F.explode(variants(F.col("token"))).alias("v")).join(forms.hint("merge"), "v").where("odf > 2 * df").select("token", "best", "word", "wl").distinct()
+    other = _edits(near, "token", plural=False).where("sim > best").select("token").distinct()
+    table = table.join(other.hint("merge"), "token", "left_anti")
+    # Soft TF-IDF over the candidates.
+    first, second = F.element_at("words", 1), F.try_element_at("words", F.lit(2))
+    weighed = table.join(vocabulary.select(F.col("word").alias("_a"), F.col("idf").alias("_ia")).hint("merge"), first == F.col("_a"))
+    weighed = weighed.join(vocabulary.select(F.col("word").alias("_b"), F.col("idf").alias("_ib")).hint("merge"), second == F.col("_b"), "left")
+    choices = weighed.groupBy("token").agg(F.max("sim").alias("top"), F.collect_list(F.struct("words", "sim", F.greatest("_ia", F.coalesce("_ib", F.lit(0.0))).alias("idf"))).alias("choices"))
+    choices = choices.withColumn("weight", F.array_min(F.transform("choices", lambda c: c["idf"])))
+    placed = strings.groupBy("_name", "token").agg(F.min("_pos").alias("_pos")).join(choices.hint("merge"), "token")
+    heads = F.min("_pos").over(Window.partitionBy("_name"))
+    placed = placed.withColumn("free", (F.col("_pos") == heads) & (F.col("top") < vague))
+    per_name = placed.groupBy("_name").agg(
+        F.collect_list(F.struct("choices", "free", "weight")).alias("_t"),
+        F.max(F.struct(~F.col("free"), "weight", "token", "choices")).alias("_rarest"),
+    )
+    asked = per_name.select("_name", "_t", F.explode(F.array_distinct(F.transform(F.col("_rarest.choices"), lambda c: F.element_at(c["words"], 1)))).alias("word"))
+    listed = entries.join(entries.select("_key", F.explode("_w").alias("word")).join(vocabulary, "word").groupBy("_key").agg(F.collect_list(F.struct("word", "idf")).alias("_e"), F.sum(F.col("idf") * F.col("idf")).alias("_norm")), "_key")
+    listed = listed.select("_key", "_w", "_e", "_norm", F.explode("_w").alias("word"))
+    fits = listed.limit(200_001).count() <= 200_000
+    pairs = asked.join(F.broadcast(listed) if fits else listed.hint("merge"), "word")
+    said = F.transform("_t", lambda t: F.struct(t["free"].alias("free"), t["weight"].alias("weight"), F.array_max(F.transform(F.filter(t["choices"], lambda c: F.size(F.array_except(c["words"], F.col("_w"))) == 0), lambda c: F.struct(c["sim"].alias("sim"), c["words"].alias("words")))).alias("as")))
+    # The array keeps the optimizer from working it out again for every use.
+    pairs = pairs.select("_name", "_key", "_w", "_e", "_norm", F.explode(F.array(said)).alias("_s"))
+    for_word = lambda w: F.coalesce(F.array_max(F.transform(F.filter("_s", lambda x: F.array_contains(x["as"]["words"], w["word"])), lambda x: x["as"]["sim"])), F.lit(0.0))
+    pairs = pairs.select("_name", "_key", "_norm", F.explode(F.array(F.transform("_e", lambda w: F.struct(w["idf"].alias("idf"), for_word(w).alias("sim"))))).alias("_m"), F.filter("_s", lambda x: x["as"].isNull()).alias("_left"))
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
+    dot = total("_m", lambda x: x["idf"] * x["idf"] * x["sim"])
+    norm = total("_m", lambda x: F.when(x["sim"] > 0, x["idf"] * x["idf"]).otherwise(0.0)) + total("_left", lambda x: x["weight"] * x["weight"])
+    complete = ~F.exists("_m", lambda x: x["sim"] <= 0) & ~F.exists("_left", lambda x: ~x["free"])
+    scored = pairs.select("_name", "_key", F.try_divide(dot, F.sqrt(norm * F.col("_norm"))).alias("score"), complete.alias("_whole")).where("_whole")
+    taken = scored.groupBy("_name").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("_key").alias("k"))).alias("m"))
+    return distinct.join(taken, "_name", "left").select(F.col("_name").alias(name), F.col("m.k").alias(key), (-F.col("m.s")).alias("score"))

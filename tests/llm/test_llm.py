@@ -114,14 +114,35 @@ def test_last_answers_and_agreement(spark):
     assert labels.krippendorff(a.limit(0)).first().alpha is None
 
 
-@pytest.mark.parametrize("name, want", [("store bought whipped vanilla curd", "1"), ("curd vanila whippd", "1"), ("whppd vanilla curds for garnish", "1"), ("vanilla-curd (whipped)", "1"), ("vanillacurd whipped", "1"), ("curd", None), ("", None), ("osthullum toothpicks", None), ("würzige vanilla cúrd whipped", "1"), ("smoked ham", "3")])
+@pytest.mark.parametrize("name, want", [("store bought whipped vanilla curd", "1"), ("curd vanila whippd", "1"), ("whppd vanilla curds for garnish", "1"), ("vanilla-curd (whipped)", "1"), ("vanillacurd whipped", "1"), ("curd", None), ("", None), ("osthullum toothpicks", None), ("würzige vanilla cúrd whipped", "1"), ("smoked ham", "3"), ("vanilla curd curd", "2"), ("curd vanilla vanila curd whipped vanilla curd whipped", "1"), ("bbq ham", "4"), ("barbecued ham smoked", None), ("osthullum", None)])
 def test_names(spark, name, want):
-    foods = spark.createDataFrame([("1", "curd whipped vanilla"), ("2", "curd vanilla"), ("3", "ham smoked"), (None, "x"), ("4", None)], "fdc_id string, canonical_name string")
+    foods = spark.createDataFrame([("1", "curd whipped vanilla"), ("2", "curd vanilla"), ("3", "ham smoked"), ("4", "ham barbecued"), (None, "x"), ("5", None)], "fdc_id string, canonical_name string")
     names = spark.createDataFrame([(name,), (name,), (None,)], "normalized_text string")
     got = mapping.map_names(names, "normalized_text", foods, "fdc_id", "canonical_name").collect()
     assert [(r.normalized_text, r.fdc_id) for r in got] == [(name, want)]
 
 
+def test_soft_tf_idf_ranks_the_readings(spark):
+    """A token that may be either of two words is read as the entry asks; of complete entries the one of higher score is taken."""
+    foods = spark.createDataFrame([("1", "bread corn"), ("2", "bread horn"), ("3", "horn"), ("4", "meal torn corn")], "fdc_id string, canonical_name string")
+    names = spark.createDataFrame([("bread corn",), ("bred corn",), ("xorn bread",), ("meal xorn corn",), ("bread",)], "normalized_text string")
+    got = {r.normalized_text: (r.fdc_id, r.score) for r in mapping.map_names(names, "normalized_text", foods, "fdc_id", "canonical_name").collect()}
+    assert got["bread corn"] == ("1", pytest.approx(1.0)) and got["bred corn"][0] == "1" and 0.8 < got["bred corn"][1] < 1
+    assert got["xorn bread"][0] in ("1", "2") and got["meal xorn corn"][0] == "4" and got["bread"] == (None, None)
+    assert mapping.map_names(names.limit(0), "normalized_text", foods, "fdc_id", "canonical_name").count() == 0
+    assert mapping.map_names(names, "normalized_text", foods.limit(0), "fdc_id", "canonical_name").where("fdc_id is null").count() == 5
+
+
+def test_words_of_their_own_hold_at_any_size(spark):
+    """A remark that looks like a word of the list is told by how many names hold it against how many hold the word."""
+    foods = spark.createDataFrame([("1", "curd stone"), ("2", "curd")], "fdc_id string, canonical_name string")
+    for times in (1, 7):
+        rows = [(f"store curd brand{'abcdefghijklmnop'[k % 16]}{'qrstuvwxyz'[k // 16]}",) for k in range(20 * times)] + [("stone curd",), ("stonne curd",), ("stroe curd",)]
+        names = spark.createDataFrame(rows, "normalized_text string")
+        got = {r.normalized_text: r.fdc_id for r in mapping.map_names(names, "normalized_text", foods, "fdc_id", "canonical_name").collect()}
+        assert all(got[r[0]] == "2" for r in rows[: 20 * times]) and got["stone curd"] == got["stonne curd"] == "1" and got["stroe curd"] == "2"
+
+
 def test_deletions_and_sound(spark):
     got = spark.range(1).select(mapping.deletions(F.lit("abc"), 2).alias("d")).first().d
     assert set(got) == {"abc", "bc", "ac", "ab", "a", "b", "c"}
