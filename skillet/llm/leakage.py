@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillet.llm.mapping import plain
+from skillet.session import durable
 
 SPAN = 10
 
@@ -38,7 +39,7 @@ def _worded(texts: DataFrame, key: str) -> DataFrame:
     return texts.where(F.col(key).isNotNull()).select(key, F.explode(F.array(words_of(F.col("text")))).alias("words"))
 
 
-def overlaps(documents: DataFrame, items: DataFrame, broadcast_limit: int = 3_000_000) -> DataFrame:
+def overlaps(documents: DataFrame, items: DataFrame, broadcast_limit: int = 3_000_000, salts: int = 16) -> DataFrame:
     """(doc_id, item_id, longest, tolerant, same): documents that share a passage with an item.
 
     ``longest`` is the longest run of equal words, ``tolerant`` the longest run
@@ -52,16 +53,26 @@ def overlaps(documents: DataFrame, items: DataFrame, broadcast_limit: int = 3_00
 
     Every window of ten words is hashed under each mask. The items' seeds meet
     those of the documents in an equi-join; they are broadcast only if a count
-    shows no more than ``broadcast_limit`` of them. Each hit is verified on the
-    words themselves, along its alignment. Null ids are left out; null, empty
-    and shorter texts share nothing; an item with repeated rows counts once.
+    shows no more than ``broadcast_limit`` of them. More items are met by a shuffle in which a seed is spread over
+    ``salts`` parts by the hash of the document, so that a passage which stands in a third of the documents isn't
+    gathered in one task. The hits, not the corpus, are then kept; the documents that have any are found by a
+    semi-join on their ids, and only these are cut into words again and verified, along each hit's alignment. Null ids are left
+    out; null, empty and shorter texts share nothing; an item with repeated rows counts once.
     """
-    docs, held = _worded(documents, "doc_id"), _worded(items, "item_id").distinct()
+    held = durable(_worded(items, "item_id").distinct())
     own = _windows(held, "item_id").select("item_id", F.col("pos").alias("ipos"), "seed").distinct()
-    if own.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        own = F.broadcast(own)
-    hits = _windows(docs, "doc_id").join(own, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
-    hits = hits.join(held.withColumnRenamed("words", "iw"), "item_id").join(docs, "doc_id")
+    fits = own.limit(broadcast_limit + 1).count() <= broadcast_limit
+    seeds = _windows(_worded(documents, "doc_id"), "doc_id")
+    if fits:
+        met = seeds.join(F.broadcast(own), "seed")
+    else:
+        spread = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = seeds.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["seed", "salt"])
+    hits = durable(met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).distinct())
+    ids = hits.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.limit(broadcast_limit + 1).count() <= broadcast_limit else ids.hint("merge")
+    docs = _worded(documents.join(ids, "doc_id", "left_semi"), "doc_id")
+    hits = hits.join(F.broadcast(held) if fits else held.hint("merge"), "item_id").withColumnRenamed("words", "iw").join(docs.hint("merge"), "doc_id")
     part = F.slice("words", F.greatest(F.lit(1), F.col("shift") + 1), F.size("iw") + F.least(F.lit(0), F.col("shift")))
     aligned = hits.select("doc_id", "item_id", "iw", F.explode(F.array(F.concat(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), -F.col("shift"))), lambda i: F.lit("")), part))).alias("dw"))
     # The first of the sequence stands for no word: sequence(0, k) has k + 1 members.

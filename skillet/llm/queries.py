@@ -37,20 +37,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drawn(spark: SparkSession, d: str):
-    strings = table(spark, d, "distinct_ingredient_strings")
-    items = sampling.strata_of(strings, STRATA).withColumn("words", F.size(F.split("item", " ")))
-    length = F.when(F.col("words") <= 2, "short").when(F.col("words") <= 4, "middle").otherwise("long")
-    rows = sampling.manifest_rows(table(spark, d, "manifest"), STRATA, others=[{"short": 1 / 3, "middle": 1 / 3, "long": 1 / 3}])
-    return sampling.draw(items, "item", [F.col("stratum"), length], rows)
+    items = sampling.strata_of(table(spark, d, "distinct_ingredient_strings"), STRATA)
+    return sampling.draw(items, "item", [F.col("stratum")], sampling.manifest_rows(table(spark, d, "manifest"), STRATA))
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The drawn strings of every manifest, raked to its strata and to three lengths of names."""
-    return _drawn(spark, d)[0].select("manifest_id", F.col("item").alias("normalized_text"), F.col("_m0").alias("stratum"), F.col("_m1").alias("length"))
+    """The drawn strings of every manifest."""
+    return _drawn(spark, d)[0].select("manifest_id", F.col("item").alias("normalized_text"), F.col("_m0").alias("stratum"))
 
 
 def p4_residuals(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(_drawn(spark, d)[1], "manifest_id string, margin int, category string, asked double, drawn bigint")
+    """What every manifest asks of each stratum and what it gets."""
+    return spark.createDataFrame(_drawn(spark, d)[1], "manifest_id string, margin int, category string, asked double, drawn bigint").select("manifest_id", "category", "asked", "drawn")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -126,6 +124,23 @@ WITH have AS (
   FROM manifest, LATERAL (VALUES ('head', per_stratum.head), ('mid', per_stratum.mid), ('tail', per_stratum.tail)) AS s(stratum, part)
 )
 SELECT manifest_id, wish.stratum FROM wish LEFT JOIN have ON have.stratum = wish.stratum WHERE coalesce(n, 0) < asked - 1e-9
+""",
+    "p4_residuals": """
+WITH have AS (
+  SELECT lower(trim(frequency_stratum)) AS stratum, count(DISTINCT normalized_text) AS n FROM distinct_ingredient_strings WHERE lower(trim(frequency_stratum)) IN ('head', 'mid', 'tail') GROUP BY 1
+), parts AS (
+  SELECT manifest_id, coalesce(total, 0) AS total, coalesce(min_per_stratum, 0) AS least, s.stratum, coalesce(s.part, 0) AS part, sum(coalesce(s.part, 0)) OVER (PARTITION BY manifest_id) AS whole
+  FROM manifest, LATERAL (VALUES ('head', per_stratum.head), ('mid', per_stratum.mid), ('tail', per_stratum.tail)) AS s(stratum, part)
+  WHERE manifest_id IS NOT NULL
+), wish AS (
+  SELECT manifest_id, parts.stratum, total * coalesce(part / nullif(whole, 0), 0) AS goal, least, coalesce(n, 0) AS holds, n IS NOT NULL AS known FROM parts LEFT JOIN have USING (stratum)
+), whole AS (
+  SELECT *, least(floor(least(goal, holds) + 1e-9), holds) AS base, least(goal, holds) AS capped FROM wish
+), spare AS (
+  SELECT *, floor(sum(capped) OVER (PARTITION BY manifest_id) + 0.5) - sum(base) OVER (PARTITION BY manifest_id) AS spare,
+    row_number() OVER (PARTITION BY manifest_id, base < holds ORDER BY base - capped, stratum) AS place FROM whole
+)
+SELECT manifest_id, stratum AS category, greatest(goal, least::DOUBLE) AS asked, CAST(greatest(base + CASE WHEN base < holds AND place <= spare THEN 1 ELSE 0 END, least(least, holds)) AS BIGINT) AS drawn FROM spare
 """,
     "p6_found": _TOP + "SELECT normalized_text, fdc_id FROM ranked WHERE place <= 5",
     "p6_top": _TOP + "SELECT normalized_text, fdc_id, cosine_search, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 5",

@@ -81,7 +81,7 @@ def allot(weights: dict[tuple, float], cells: dict[tuple, float], total: int, mi
     asked = sum(shares.values()) or 1.0
     holds = {k: sum(of.values()) for k, of in inside.items()}
     goal = {k: min(max(0.0, total * shares.get(k, 0.0) / asked), holds[k]) for k in inside}
-    whole = _whole(goal, holds, round(sum(goal.values())))
+    whole = _whole(goal, holds, math.floor(sum(goal.values()) + 0.5))
     got: dict = {}
     for k, of in inside.items():
         got |= _whole(_fill(weights, of, whole[k]), of, whole[k])
@@ -122,10 +122,8 @@ def gaps(strings: DataFrame, manifest: DataFrame, strata: tuple[str, ...] = ("he
     return rows.where(F.col("available") < F.col("asked") - 1e-9).select("manifest_id", "stratum", "asked", "available", (F.col("asked") - F.col("available")).alias("missing"))
 
 
-def draw(
-    items: DataFrame, key: str, margins: list[Column], manifest_rows: list[dict], buckets: int = 4096, max_cells: int = 10_000
-) -> tuple[DataFrame, list[dict]]:
-    """(sample, residuals) for manifests asking for shares of several category margins.
+def draw(items: DataFrame, key: str, margins: list[Column], manifest_rows: list[dict], slack: float = 6.0, max_cells: int = 10_000) -> tuple[DataFrame, list[dict]]:
+    """(sample, residuals) for manifests asking for shares of one or several category margins.
 
     ``items``: one row per item. ``margins``: a category column per margin; an
     item with a null category in any belongs to no cell. ``manifest_rows``: dicts with id, seed, total, minimum
@@ -134,12 +132,14 @@ def draw(
     The cells' weights are raked on the driver from the cell counts (at most
     ``max_cells`` cells, a number of categories, not of rows). Where a cell holds
     less than its weight asks for, the cells of the same first category make up
-    for it, at the cost of the other margins. Within a cell all
-    weights are equal, so weighted exponential keys -ln(u)/w order its items as
-    u = hash(seed, item) does; the cell's allotment of smallest keys is drawn.
-    A histogram of the keys tells the bucket in which the allotment ends: whole
-    buckets below it are taken and only that bucket is ranked, so no cell is
-    ever sorted in one task. One seed always draws the same items.
+    for it, at the cost of the other margins. Each item of a cell gets the weighted
+    exponential key -ln(u)/w, w being the cell's weight by its number of items and
+    u a hash of seed and item; the cell's allotment of smallest keys is drawn.
+
+    Of n out of N items the last key drawn lies, but for less than one case in a billion, between the keys that n -/+
+    ``slack`` * sqrt(n + 1) items are expected below. Items beyond the upper one are dropped where they are read, items
+    below the lower one are taken, and only those between are ranked, so a cell of any size is neither shuffled
+    nor sorted whole. A cell in which that guess fails is ranked whole. One seed always draws the same items.
     """
     names = [f"_m{k}" for k in range(len(margins))]
     base = items.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("item"), *[m.alias(n) for m, n in zip(margins, names)]).dropna(subset=names).distinct()
@@ -151,26 +151,38 @@ def draw(
     for m in manifest_rows:
         weights = rake(cells, m["targets"]) if cells else {}
         got = allot(weights, cells, m["total"], m["minimum"], shares=m["targets"][0]) if cells else {}
-        plan += [(m["id"], int(m["seed"]), *c, int(n)) for c, n in got.items() if n > 0]
+        for c, n in got.items():
+            if n > 0:
+                w = max(weights.get(c, 0.0), 1e-9) / cells[c]
+                low, high = [_key_below(n + side * slack * math.sqrt(n + 1), cells[c], w) for side in (-1, 1)]
+                plan.append((m["id"], int(m["seed"]), *c, int(n), w, low, high))
         for k, shares in enumerate(m["targets"]):
             for category in shares:
                 drawn = sum(n for c, n in got.items() if c[k] == category)
                 asked = m["total"] * shares[category] / (sum(shares.values()) or 1.0)
                 residuals.append({"manifest_id": m["id"], "margin": k, "category": category, "asked": float(max(asked, m["minimum"] if k == 0 else 0.0)), "drawn": drawn})
-    schema = "manifest_id string, seed bigint, " + ", ".join(f"{n} string" for n in names) + ", n bigint"
+    schema = "manifest_id string, seed bigint, " + ", ".join(f"{n} string" for n in names) + ", n bigint, w double, low double, high double"
+    # One row per manifest and cell, so broadcast.
     wanted = spark.createDataFrame(plan, schema)
-    # 63 bits of hash make u; its order is the order of the exponential keys.
-    u = F.shiftrightunsigned(F.xxhash64("seed", "item"), 1)
-    keyed = base.join(F.broadcast(wanted), names).withColumn("_u", u).withColumn("_bucket", F.shiftright("_u", 63 - int(math.log2(buckets))))
-    cell = ["manifest_id", *names]
-    below = Window.partitionBy(*cell).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    hist = keyed.groupBy(*cell, "n", "_bucket").agg(F.count("*").alias("_c")).withColumn("_below", F.coalesce(F.sum("_c").over(below), F.lit(0)))
-    hist = hist.where(F.col("_below") < F.col("n")).select(*cell, "_bucket", "_below", "_c")
-    kept = keyed.join(hist, [*cell, "_bucket"])
-    whole = kept.where(F.col("_below") + F.col("_c") <= F.col("n"))
-    edge = kept.where(F.col("_below") + F.col("_c") > F.col("n")).withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("_u", "item"))).where(F.col("_below") + F.col("_r") <= F.col("n"))
-    columns = ["manifest_id", "item", *names]
-    return whole.select(*columns).unionByName(edge.select(*columns)), residuals
+    # 53 bits of hash make u, which lies strictly between 0 and 1.
+    u = (F.shiftrightunsigned(F.xxhash64("seed", "item"), 11).cast("double") + 0.5) / F.lit(float(2**53))
+    keyed = base.join(F.broadcast(wanted), names).withColumn("_key", -F.log(u) / F.col("w"))
+    cell, columns = ["manifest_id", *names], ["manifest_id", "item", *names]
+    held = keyed.groupBy(*cell, "n").agg(F.count_if(F.col("_key") < F.col("low")).alias("_sure"), F.count_if(F.col("_key") < F.col("high")).alias("_near"))
+    held = held.withColumn("_missed", (F.col("_sure") > F.col("n")) | (F.col("_near") < F.col("n"))).drop("n")
+    rows = keyed.join(F.broadcast(held), cell)
+    sure = rows.where(~F.col("_missed") & (F.col("_key") < F.col("low")))
+    between = rows.where(F.col("_missed") | (F.col("_key") >= F.col("low")) & (F.col("_key") < F.col("high")))
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("_key", "item"))
+    edge = between.withColumn("_r", place).where(F.col("_r") <= F.col("n") - F.when(F.col("_missed"), 0).otherwise(F.col("_sure")))
+    return sure.select(*columns).unionByName(edge.select(*columns)), residuals
+
+
+def _key_below(n: float, of: float, w: float) -> float:
+    """The key -ln(u)/w below which ``n`` items of ``of`` are expected."""
+    if n <= 0:
+        return 0.0
+    return math.inf if n >= of else -math.log1p(-n / of) / w
 
 
 def unmet(sample: DataFrame, residuals: list[dict], strings: DataFrame, manifest: DataFrame, strata: tuple[str, ...] = ("head", "mid", "tail")) -> DataFrame:

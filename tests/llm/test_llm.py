@@ -62,13 +62,28 @@ def test_draw_and_gaps(spark):
     assert {(r.manifest_id, r.stratum) for r in sampling.gaps(strings, manifest).collect()} == {("m2", "mid"), ("m2", "tail")}
     items = sampling.strata_of(strings, ("head", "mid", "tail"))
     rows = sampling.manifest_rows(manifest, ("head", "mid", "tail"))
-    sample, rest = sampling.draw(items, "item", [F.col("stratum")], rows, buckets=16)
+    sample, rest = sampling.draw(items, "item", [F.col("stratum")], rows)
     n = {(r.manifest_id, r._m0): r["count"] for r in sample.groupBy("manifest_id", "_m0").count().collect()}
     assert n[("m1", "head")] == n[("m1", "mid")] == n[("m1", "tail")] == 20 and ("m2", "head") not in n
     assert sample.count() == sample.distinct().count() and any(r["drawn"] < r["asked"] for r in rest if r["manifest_id"] == "m2")
-    again, _ = sampling.draw(items, "item", [F.col("stratum")], rows, buckets=16)
+    again, _ = sampling.draw(items, "item", [F.col("stratum")], rows)
     assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, again.collect()))
-
+    # A guess that fails, too low or too high, changes nothing: the cell is ranked whole.
+    for slack in (-9.0, 0.0, 0.5, 60.0):
+        other, _ = sampling.draw(items, "item", [F.col("stratum")], rows, slack=slack)
+        assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, other.collect()))
+    assert sampling.draw(items.limit(0), "item", [F.col("stratum")], rows)[0].count() == 0
+
+
+def test_draw_over_two_margins_is_fair(spark):
+    items = spark.range(4000).select(F.col("id").alias("item"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("x"), F.when(F.col("id") % 3 == 0, "c").otherwise("d").alias("y"), F.lit("m").alias("manifest_id"))
+    wishes = [{"id": f"m{k}", "seed": k, "total": 400, "minimum": 10, "targets": [{"a": 0.5, "b": 0.5}, {"c": 0.7, "d": 0.3}]} for k in range(20)]
+    sample, rest = sampling.draw(items, "item", [F.col("x"), F.col("y")], wishes)
+    got = sample.toPandas()
+    assert got.groupby("manifest_id").item.nunique().eq(400).all() and all(abs(r["asked"] - r["drawn"]) <= 2 for r in rest)
+    # Items of one cell are drawn alike often: 20 draws of some 30 % of the 333 items of the smallest cell.
+    often = got[(got._m0 == "a") & (got._m1 == "c")].groupby("item").size().reindex([str(k) for k in range(0, 4000, 12)], fill_value=0)
+    assert abs(often.mean() - 20 * 140 / 334) < 0.5 and often.std() < 2.6
 
 def test_p4_found_comes_from_the_draw(spark, tmp_path, monkeypatch):
     rows = [(" ".join(["w"] * (1 + k % 6)) + f"x{k}", 1, ["head", " Mid", "tail", None][k % 4]) for k in range(200)]
@@ -239,6 +254,18 @@ def _tolerant(a, b):
     return best
 
 
+def test_overlaps_without_broadcast_and_with_a_hot_passage(spark):
+    rng = random.Random(2)
+    hot = " ".join(f"h{k}" for k in range(12))
+    items = [(1, hot), (2, " ".join(f"b{k}" for k in range(15))), (3, hot + " " + " ".join(f"c{k}" for k in range(9))), (None, hot), (4, None)]
+    docs = [(d, (hot if d % 3 == 0 else "") + " " + " ".join(f"r{rng.randrange(99)}" for _ in range(20))) for d in range(300)] + [(900, "x " + items[1][1]), (901, ""), (None, hot)]
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i) for d, t in docs if d is not None for i, x in items[:3] if " ".join(x.split()[:12]) in t}
+    for limit in (3_000_000, 0):
+        got = {(r.doc_id, r.item_id) for r in leakage.overlaps(dd, ii, broadcast_limit=limit).where("longest >= 10").collect()}
+        assert got == want and len(want) == 201
+
+
 def test_masks_meet_every_window_without_two_misses_in_a_row():
     for m in range(2**9):
         w = "1" + format(m, "09b")
