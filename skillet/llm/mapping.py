@@ -195,11 +195,13 @@ def map_names(names: DataFrame, name: str, reference: DataFrame, key: str, entry
         F.collect_list(F.struct("choices", "free", "weight")).alias("_t"),
         F.max(F.struct(~F.col("free"), "weight", "token", "choices")).alias("_rarest"),
     )
-    asked = per_name.select("_name", "_t", F.explode(F.array_distinct(F.transform(F.col("_rarest.choices"), lambda c: F.element_at(c["words"], 1)))).alias("word"))
+    every = F.array_distinct(F.flatten(F.flatten(F.transform("_t", lambda t: F.transform(t["choices"], lambda c: c["words"])))))
+    asked = per_name.select("_name", "_t", every.alias("_every"), F.explode(F.array_distinct(F.transform(F.col("_rarest.choices"), lambda c: F.element_at(c["words"], 1)))).alias("word"))
     listed = entries.join(entries.select("_key", F.explode("_w").alias("word")).join(vocabulary, "word").groupBy("_key").agg(F.collect_list(F.struct("word", "idf")).alias("_e"), F.sum(F.col("idf") * F.col("idf")).alias("_norm")), "_key")
     listed = listed.select("_key", "_w", "_e", "_norm", F.explode("_w").alias("word"))
     fits = listed.limit(200_001).count() <= 200_000
-    pairs = asked.join(F.broadcast(listed) if fits else listed.hint("merge"), "word")
+    # An entry that says a word which no token can stand for isn't complete.
+    pairs = asked.join(F.broadcast(listed) if fits else listed.hint("merge"), "word").where(F.size(F.array_except("_w", "_every")) == 0)
     said = F.transform("_t", lambda t: F.struct(t["free"].alias("free"), t["weight"].alias("weight"), F.array_max(F.transform(F.filter(t["choices"], lambda c: F.size(F.array_except(c["words"], F.col("_w"))) == 0), lambda c: F.struct(c["sim"].alias("sim"), c["words"].alias("words")))).alias("as")))
     # The array keeps the optimizer from working it out again for every use.
     pairs = pairs.select("_name", "_key", "_w", "_e", "_norm", F.explode(F.array(said)).alias("_s"))

@@ -223,6 +223,7 @@ def test_leaks_against_brute_force(spark):
             w[len(w) // 2 : len(w) // 2] = t
         docs[d] = " ".join(f"<b>{x.upper()}</b>" if rng.random() < 0.1 else x.replace("w", "w­") if rng.random() < 0.1 else x + rng.choice(["", "", ",", "!\n"]) for x in w)
     docs[500], docs[501] = "", None
+    docs[502], docs[503] = "word " * 30_000 + items[next(k for k, x in items.items() if len(x.split()) == 30)], "<b></b> . \u00ad"
     grams = {}
     for i, t in items.items():
         w = _words(t)
@@ -237,6 +238,7 @@ def test_leaks_against_brute_force(spark):
     ii = spark.createDataFrame(list(items.items()), "item_id long, text string")
     assert {tuple(r) for r in leakage.leaked(dd, ii).collect()} == want and want
     assert leakage.leaked(dd, ii.limit(0)).count() == 0 and leakage.leaked(dd.limit(0), ii).count() == 0
+    assert leakage.leaked(dd.where("doc_id in (500, 501, 503)"), ii).count() == 0
     slack = {(r.doc_id, r.item_id) for r in leakage.overlaps(dd, ii).collect()}
     assert want <= slack and len(slack) > len(want)
 
