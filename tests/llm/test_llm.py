@@ -120,6 +120,31 @@ def test_consensus_recovers_planted_labels(spark):
     assert empty_items.count() == 0 and empty_people.count() == 0
 
 
+def test_pairs_of_annotators_against_brute_force():
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(i), int(w)): int(rng.integers(0, 3)) for i, w in rng.integers(0, 12, (200, 2))}.items())
+    item, who, vote = np.array([r[0][0] for r in rows]), np.array([r[0][1] for r in rows]), np.array([r[1] for r in rows])
+    want = {}
+    for x in range(len(rows)):
+        for y in range(x + 1, len(rows)):
+            if item[x] == item[y]:
+                c = want.setdefault((min(who[x], who[y]), max(who[x], who[y])), [0, 0])
+                c[0] += 1
+                c[1] += vote[x] == vote[y]
+    for chunk in (1, 50, 10**6):
+        i, j, both, same = labels._summed([labels._together(item, who, vote, chunk)])
+        assert {(a, b): [c, d] for a, b, c, d in zip(i, j, both, same)} == want
+
+
+def test_items_with_few_answers_take_part(spark):
+    rows = [(f"i{k}", r, "7" if r != "r3" else "8") for k in range(30) for r in ("r1", "r2", "r3", "r4")] + [("two", "r1", "9"), ("two", "r3", "5"), ("one", "r5", "4")]
+    df = spark.createDataFrame(rows, "item string, annotator string, label string")
+    items, people = labels.consensus(df)
+    assert {r.item for r in items.collect()} == {f"i{k}" for k in range(30)}
+    assert {r.annotator: r.n_answers for r in people.collect()} == {"r1": 31, "r2": 30, "r3": 31, "r4": 30, "r5": 1}
+    assert {r.item: r.label for r in labels.consensus(df, least=1, broadcast_limit=0)[0].collect()}["two"] == "9"
+
+
 def test_last_answers_and_agreement(spark):
     rows = [("a", "R1", "007", "2024-01-02"), ("a", "r1 ", "8", "2024-01-01"), ("a", "r2", " 7", "2024-01-01"), ("a", "r3", "None ", None), ("b", "r1", "5", "2024-01-01"), ("b", "r1", "", "2024-02-01"), (None, "r1", "5", None), ("c", None, "5", None)]
     df = spark.createDataFrame(rows, "t string, who string, l string, at string").withColumn("at", F.col("at").cast("timestamp"))
