@@ -67,10 +67,19 @@ def _parsed(text):
 
 
 def _number(v):
-    if isinstance(v, bool) or v is None:
+    """The number that a key's digits make; None for none, and for one beyond a bigint."""
+    if isinstance(v, (bool, dict, list)) or v is None:
         return None
+    if isinstance(v, float) and v.is_integer():
+        v = int(v)
     digits = "".join(c for c in str(v) if c in "0123456789")
-    return int(digits) if digits and len(digits) < 19 else None
+    n = int(digits) if digits and len(digits) < 20 else -1
+    return n if 0 <= n < 2**63 else None
+
+
+def _fields(layout: Layout, kind: Kind) -> frozenset:
+    """The fields by which an object shows itself to be of a kind."""
+    return frozenset({kind.key} | {p.partition(".")[0] for p in kind.keep} | {k.field for k in layout.kinds if k.parent == kind.name})
 
 
 def _plain(node: dict, paths: tuple[str, ...]) -> dict:
@@ -86,8 +95,11 @@ def _plain(node: dict, paths: tuple[str, ...]) -> dict:
 
 
 def label(record: dict, layout: Layout, doc: int, with_body: bool, out: list) -> None:
-    """Append the nodes of one record to ``out`` (seven lists). The walk keeps its own stack, so depth has no limit."""
-    clock = [0, 0]
+    """Append the nodes of one record to ``out`` (seven lists). The walk keeps its own stack, so depth has no limit.
+
+    Every object of a kind is a node, with or without a readable key; ``pre`` names it within its record.
+    """
+    clock, shown = [0, 0], {k.name: _fields(layout, k) for k in layout.kinds}
 
     def enter(kind: str, key, level: int, node: dict, keep) -> int:
         at = len(out[0])
@@ -113,18 +125,12 @@ def label(record: dict, layout: Layout, doc: int, with_body: bool, out: list) ->
             continue
         at = -1
         if kind is not None:
-            if kind.name == layout.root:
-                key = doc
-            else:
-                key = _number(value.get(kind.key))
-                if kind.key not in value and value and all(isinstance(v, (dict, list)) for v in value.values()):
-                    # An object of objects stands for their list.
-                    stack.extend(("visit", v, inside, kind, level) for v in reversed(list(value.values())))
-                    continue
-            if key is not None:
-                at, inside = enter(kind.name, key, level, value, kind.keep), kind.name
-            else:
-                clock[0] += 1
+            if kind.name != layout.root and value and shown[kind.name].isdisjoint(value) and all(isinstance(v, (dict, list)) for v in value.values()):
+                # An object of objects stands for their list.
+                stack.extend(("visit", v, inside, kind, level) for v in reversed(list(value.values())))
+                continue
+            key = doc if kind.name == layout.root else _number(value.get(kind.key))
+            at, inside = enter(kind.name, key, level, value, kind.keep), kind.name
         else:
             clock[0] += 1
         stack.append(("leave", at, None, None, level))
@@ -170,7 +176,7 @@ def nodes(payloads: DataFrame, layout: Layout = FOODS, with_body: bool = True, b
 
 
 def link(labelled: DataFrame, layout: Layout = FOODS) -> DataFrame:
-    """Node rows but the roots, with ``parent``: the key of the closest enclosing node of the parent kind.
+    """Node rows but the roots, with ``parent`` and ``parent_pre``: key and pre-order number of the closest enclosing node of the parent kind.
 
     In pre-order the closest enclosing node of a kind is the last one of it
     before the node, provided that its interval holds the node's; a running
@@ -182,21 +188,24 @@ def link(labelled: DataFrame, layout: Layout = FOODS) -> DataFrame:
     rows = labelled.select("*", *[F.last(F.when(F.col("kind") == p, F.struct("key", "pre", "post")), ignorenulls=True).over(before).alias(f"_{p}") for p in parents])
     near = F.coalesce(*[F.when(F.col("kind") == k.name, F.col(f"_{k.parent}")) for k in layout.kinds])
     rows = rows.where(F.col("kind") != layout.root).withColumn("_near", near).where((F.col("_near.pre") < F.col("pre")) & (F.col("_near.post") > F.col("post")))
-    return rows.select("doc", "kind", F.col("_near.key").alias("parent"), "key", "pre", "post", "level", "body")
+    return rows.select("doc", "kind", F.col("_near.key").alias("parent"), F.col("_near.pre").alias("parent_pre"), "key", "pre", "post", "level", "body")
 
 
 def flat_table(linked: DataFrame, kind: str, layout: Layout = FOODS) -> DataFrame:
-    """The flat table of one kind: doc, parent, key, pre and its plain fields as strings."""
+    """The flat table of one kind: doc, parent, key, parent_pre, pre and its plain fields as strings.
+
+    (doc, pre) names a row and (doc, parent_pre) the row it belongs to, also where an object has no key.
+    """
     k = next(k for k in layout.kinds if k.name == kind)
     names = list(dict.fromkeys(p.rpartition(".")[2] if p.rpartition(".")[2] in ("number", "unitName") or p == "nutrient.name" else p.replace(".", "_") for p in k.keep))
     body = F.from_json("body", ", ".join(f"{n} string" for n in names))
-    return linked.where(F.col("kind") == kind).withColumn("_b", body).select("doc", "parent", "key", "pre", *[F.col(f"_b.{n}").alias(n) for n in names])
+    return linked.where(F.col("kind") == kind).withColumn("_b", body).select("doc", "parent", "key", "parent_pre", "pre", *[F.col(f"_b.{n}").alias(n) for n in names])
 
 
 def found(raw: DataFrame, layout: Layout = FOODS) -> DataFrame:
-    """(fdc_id, child_kind, parent_id, child_id), each once, of the last complete payload per fdc_id."""
+    """(fdc_id, child_kind, parent_id, child_id), each once, of the last complete payload per fdc_id; objects without a key, or within one, have no such row."""
     linked = link(nodes(latest_complete(raw, "fdc_id", "raw_payload", "ingested_at"), layout, with_body=False), layout)
-    return linked.select(F.col("doc").alias("fdc_id"), F.col("kind").alias("child_kind"), F.col("parent").alias("parent_id"), F.col("key").alias("child_id")).distinct()
+    return linked.where("key is not null and parent is not null").select(F.col("doc").alias("fdc_id"), F.col("kind").alias("child_kind"), F.col("parent").alias("parent_id"), F.col("key").alias("child_id")).distinct()
 
 
 def energy(nutrients: DataFrame, numbers: tuple[str, ...] = ("208", "958", "957")) -> DataFrame:
