@@ -38,12 +38,31 @@ UNIT_FORMS = {
     "stalk": ["stalk", "stalks"],
     "leaf": ["leaf", "leaves"],
 }
-# Words for packs, number words, fraction glyphs.
-PACKS = ["package", "packages", "pkg", "can", "cans", "jar", "jars", "box", "boxes", "bag", "bags", "bottle", "bottles", "carton", "cartons", "container", "containers", "envelope", "envelopes", "packet", "packets", "tin", "tins"]
+# Written forms of packs, and of units that only count, by canonical unit.
+PACK_FORMS = {
+    "package": ["package", "packages", "pkg", "pkgs"],
+    "can": ["can", "cans"],
+    "jar": ["jar", "jars"],
+    "box": ["box", "boxes"],
+    "bag": ["bag", "bags"],
+    "bottle": ["bottle", "bottles"],
+    "carton": ["carton", "cartons"],
+    "container": ["container", "containers"],
+    "envelope": ["envelope", "envelopes"],
+    "packet": ["packet", "packets"],
+    "tin": ["tin", "tins"],
+}
+COUNT_FORMS = {"dozen": ["doz", "dozen"], "drop": ["drop", "drops"]}
+# A capital T is a tablespoon, a small t a teaspoon.
+LETTER_UNITS = {"T": "tablespoon", "t": "teaspoon"}
+# Number words, fraction glyphs.
 NUMBER_WORDS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "dozen": 12, "half": 0.5, "quarter": 0.25}
 GLYPHS = {"½": "1/2", "⅓": "1/3", "⅔": "2/3", "¼": "1/4", "¾": "3/4", "⅕": "1/5", "⅖": "2/5", "⅗": "3/5", "⅘": "4/5", "⅙": "1/6", "⅚": "5/6", "⅐": "1/7", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8", "⅑": "1/9", "⅒": "1/10"}
 
 ALIASES = {form: unit for unit, forms in UNIT_FORMS.items() for form in forms}
+PACKS = [form for forms in PACK_FORMS.values() for form in forms]
+#: Single words that may stand as the unit of a line, with their canonical unit.
+UNIT_WORDS = {"tb": "tablespoon"} | {form: unit for table in (UNIT_FORMS, PACK_FORMS, COUNT_FORMS) for unit, forms in table.items() for form in forms if form.isalpha()}
 
 
 def _any_of(words) -> str:
@@ -75,6 +94,29 @@ def number_of(c: Column) -> Column:
     return F.when(c.rlike("^[a-z]"), word).when(c.rlike(_GLYPH), glyph).otherwise(_part(first) + F.coalesce(_part(second), F.lit(0.0)))
 
 
+#: A line opens with a percentage, or with groups: number, number word; a remark in brackets may follow.
+PERCENT = r"^\s*\d+(?:[.,]\d+)?\s*%"
+DIGITS = NUMBER.rpartition("|(?:")[0]
+OPENING = rf"(?i)^\s*(?:({DIGITS})(?:\s*(?:-|–|to|or)\s*(?:{DIGITS}))?|({_any_of(NUMBER_WORDS)})\b)?\s*(?:\([^)]*\)\s*)?"
+
+
+def parsed_line(line: Column, size_words: list[str]) -> Column:
+    """struct<quantity double, unit string, ingredient_text string> of a written line; null for null.
+
+    The line opens with an amount (of a range the first number; 0 is none) unless it is a percentage, then a remark in
+    brackets. Words of size may stand before the unit. A word is a unit only if something follows it. Use it behind
+    ``inline(array(...))``, so that it is worked out once.
+    """
+    opening = F.when(line.rlike(PERCENT), F.lit("")).otherwise(F.regexp_extract(line, OPENING, 0))
+    number = F.lower(F.coalesce(*[F.nullif(F.regexp_extract(opening, OPENING, k), F.lit("")) for k in (1, 2)]))
+    rest = F.trim(F.substring(line, F.length(opening) + 1, F.length(line)))
+    after = rf"(?is)^((?:(?:{_any_of(size_words)})\.?\s+)*)([a-z]+)(?:\.\s*|\s+)(\S.*)$"
+    word, follows = F.regexp_extract(rest, after, 2), F.regexp_extract(rest, after, 3)
+    known = lambda table, w: F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), w)
+    unit = F.coalesce(known(LETTER_UNITS, word), known(UNIT_WORDS, F.lower(word)))
+    return F.struct(F.nullif(number_of(number), F.lit(0.0)).alias("quantity"), unit.alias("unit"), F.when(unit.isNotNull(), F.trim(follows)).otherwise(rest).alias("ingredient_text"))
+
+
 def unit_form(c: Column) -> Column:
     """A written unit in the form that ``ALIASES`` has: lower case, single blanks, no closing dot, "fl oz"."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\s+", " "), r"\.+$", ""), r"^fl\.? ?oz", "fl oz")

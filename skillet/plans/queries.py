@@ -309,17 +309,6 @@ def portions_median(s: SparkSession, d: str) -> DataFrame:
     return l.join(g, ["recipe_id", "line_index"]).groupBy("normalized_text", "method").agg(F.round(F.median("grams"), 4).alias("grams"))
 
 
-def servings_parse(s: SparkSession, d: str) -> DataFrame:
-    o = T(s, d, "orders").select("o_orderkey", F.concat(F.lit("Mix well. Serves "), (F.col("o_orderkey") % 250).cast("string"), F.lit(" people.")).alias("t"))
-    return o.select("o_orderkey", text.servings(F.col("t")).alias("servings"))
-
-
-def normal_names(s: SparkSession, d: str) -> DataFrame:
-    """Normal forms of the food names written as "N c. NAME, chopped": the name in the singular comes back."""
-    f = T(s, d, "usda_foods").select("fdc_id", text.normal_name(F.concat(F.lit("cups of "), F.element_at(text.facets(F.col("description_raw")), 1), F.lit(" (fresh), chopped"))).alias("name"))
-    return f
-
-
 def events_windows(s: SparkSession, d: str) -> DataFrame:
     """Extension: events counted per hour and type."""
     e = T(s, d, "events")
@@ -334,10 +323,6 @@ def region_rollup(s: SparkSession, d: str) -> DataFrame:
     return j.rollup("r_name", "n_name").agg(F.round(money, 2).alias("revenue"), F.count("*").alias("n"))
 
 
-def _v(c: str) -> str:
-    return f"coalesce({c}, '')"
-
-
 _TOP1 = """best AS (SELECT normalized_text, fdc_id, cosine_search AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY normalized_text ORDER BY cosine_search DESC, fdc_id) AS r FROM ingredient_candidates WHERE cosine_search IS NOT NULL AND NOT isnan(cosine_search)) WHERE r = 1),
 joined AS (SELECT s.normalized_text, s.occurrence_count, b.fdc_id, b.cosine, f.description_raw, f.kcal_per_100g FROM (SELECT normalized_text, max(occurrence_count) AS occurrence_count FROM distinct_ingredient_strings WHERE normalized_text IS NOT NULL GROUP BY 1) s JOIN best b USING (normalized_text) JOIN usda_foods f USING (fdc_id))"""
 _UNION = """pairs AS (SELECT normalized_text, fdc_id, bool_or(from_embed_search) AS from_embed_search, bool_or(from_embed_desc) AS from_embed_desc, bool_or(from_token_head) AS from_token_head, max(CASE WHEN NOT isnan(cosine_search) THEN cosine_search END) AS cosine FROM ingredient_candidates GROUP BY 1, 2),
@@ -388,7 +373,6 @@ SQL = {
     "fingerprint": "SELECT sha256(string_agg(text, chr(10) ORDER BY text)) AS fingerprint FROM eval_items WHERE split = 'holdout'",
     "feature_vector": f"WITH {_TOP1}, w AS (SELECT normalized_text, cosine, list_distinct(string_split(normalized_text, ' ')) AS a, list_distinct(regexp_split_to_array(lower(regexp_replace(description_raw, '[,-]', ' ', 'g')), '\\s+')) AS b FROM joined) SELECT normalized_text, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS jaccard, cosine FROM w",
     "portions_median": "SELECT normalized_text, method, round(median(grams), 4) AS grams FROM (SELECT DISTINCT recipe_id, line_index, normalized_text FROM recipe_ingredient_lines WHERE recipe_id IS NOT NULL) JOIN (SELECT DISTINCT * FROM recipe_ingredient_grams) USING (recipe_id, line_index) GROUP BY 1, 2",
-    "servings_parse": "SELECT o_orderkey, CASE WHEN o_orderkey % 250 BETWEEN 1 AND 200 THEN CAST(o_orderkey % 250 AS INTEGER) END AS servings FROM orders",
     "planner_greedy": "WITH RECURSIVE p AS (SELECT o_orderkey AS recipe_no, o_custkey::DOUBLE AS kcal, o_totalprice AS cost, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS k FROM orders WHERE o_custkey <= 1200 AND o_totalprice <= 300000), g AS (SELECT 0::BIGINT AS k, 0 AS day, NULL::BIGINT AS recipe_no, NULL::DOUBLE AS cost, 300000.0::DOUBLE AS budget, false AS taken UNION ALL SELECT p.k, g.day + CASE WHEN p.cost <= g.budget THEN 1 ELSE 0 END, p.recipe_no, p.cost, g.budget - CASE WHEN p.cost <= g.budget THEN p.cost ELSE 0 END, p.cost <= g.budget FROM g JOIN p ON p.k = g.k + 1 WHERE g.day < 7 AND g.k < 400) SELECT CAST(day AS INTEGER) AS day, recipe_no, round(cost, 2) AS cost FROM g WHERE taken",
     "events_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "region_rollup": "SELECT r_name, n_name, round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))))::DOUBLE, 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
@@ -400,6 +384,6 @@ QUERIES = {
         resolve_top1, entity_map_join, candidate_union, head_noun_block, topk_cosine, majority_vote, recall_at_k, wilson_ci, stratified_rate, error_bands,
         ambiguity, abstain_sweep, retrieval_ranked, planner_greedy, guardrail_numbers, sentence_scope, dq_not_null, dq_unique, dq_unique_line,
         dq_relationships, dq_accepted_values, dq_accepted_range, drift_expectations, coverage_by_class, median_of_shares, jsonl_last_wins, hash_sample,
-        twin_groups, fingerprint, feature_vector, portions_median, servings_parse, normal_names, events_windows, region_rollup,
+        twin_groups, fingerprint, feature_vector, portions_median, events_windows, region_rollup,
     )
 }
