@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skillet.functions import text
+from skillet.functions.answers import last_answers, majority
 from skillet.functions.ids import number_in
 from skillet.plans import gold, quality, serving, stats
+from skillet.plans.evaluation import ANSWERS_SQL
 from skillet.session import table as T
 
 _NO = "try_cast(nullif(regexp_replace({}, '[^0-9]', '', 'g'), '') AS BIGINT)"
@@ -81,7 +83,10 @@ def facets_search_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def deprioritized(s: SparkSession, d: str) -> DataFrame:
-    return T(s, d, "usda_foods").where(text.is_deprioritized(F.col("description_raw"))).select("fdc_id")
+    """Whether a food is of a category that recipes hardly mean, or a brand; the catalogue's descriptions, and those of the raw records that name brands."""
+    raw = T(s, d, "raw_usda_foods").where("description is not null").select(F.col("description").alias("description_raw"))
+    rows = T(s, d, "usda_foods").select("description_raw").unionByName(raw).distinct()
+    return rows.select("description_raw", text.is_deprioritized(F.col("description_raw")).alias("is_deprioritized"))
 
 
 def resolve_top1(s: SparkSession, d: str) -> DataFrame:
@@ -93,9 +98,10 @@ def resolve_top1(s: SparkSession, d: str) -> DataFrame:
 
 
 def entity_map_join(s: SparkSession, d: str) -> DataFrame:
+    """Every string with its best candidate; one whose food the catalogue lacks stays, without a description. ``dq_unknown_foods`` reports these."""
     strings = T(s, d, "distinct_ingredient_strings").where("normalized_text is not null").groupBy("normalized_text").agg(F.max("occurrence_count").alias("occurrence_count"))
     foods = T(s, d, "usda_foods").select("fdc_id", "description_raw", "kcal_per_100g")
-    return strings.join(resolve_top1(s, d), "normalized_text").join(foods, "fdc_id")
+    return strings.join(resolve_top1(s, d), "normalized_text").join(foods, "fdc_id", "left")
 
 
 def candidate_union(s: SparkSession, d: str) -> DataFrame:
@@ -114,61 +120,66 @@ def head_noun_block(s: SparkSession, d: str) -> DataFrame:
     return tokens.withColumn("place", F.row_number().over(order)).where("place <= 50").select("token", "fdc_id", "place")
 
 
-def topk_cosine(s: SparkSession, d: str) -> DataFrame:
-    """The five nearest of all vectors for every twentieth one: exact, in blocks of one matrix product.
+def topk_cosine(s: SparkSession, d: str, block: int = 20_000) -> DataFrame:
+    """The five nearest of all vectors for every twentieth one: exact, in matrix products, ties by vec_id.
 
-    The queries go to every task as one matrix if a count shows that they fit; each task
-    keeps its five best per query before the shuffle.
+    The queries are asked in blocks of about ``block`` vectors, which bounds what is broadcast; each task
+    keeps its five best per query before the shuffle, and all that tie with the last of them.
     """
     import numpy as np
     import pandas as pd
 
-    v = T(s, d, "embeddings")
-    asked = v.where("vec_id % 20 = 0").select("vec_id", "embedding").orderBy("vec_id")
-    if asked.count() > 200_000:
-        raise ValueError("too many queries for one matrix; ask in parts")
-    q = asked.toPandas()
-    ids = q["vec_id"].to_numpy()
-    m = np.stack(q["embedding"].to_numpy()).astype(np.float64) if len(q) else np.zeros((0, 1))
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-    def run(batches):
-        for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            other = b["vec_id"].to_numpy()
-            for at in range(0, len(ids), 512):
-                sim = m[at : at + 512] @ x.T
-                sim[ids[at : at + 512, None] == other[None, :]] = -2.0
-                k = min(6, sim.shape[1])
-                top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(sim)), k)
-                yield pd.DataFrame({"query_id": ids[at + rows], "vec_id": other[top.ravel()], "cosine": sim[rows, top.ravel()]})
-
-    near = v.select("vec_id", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, cosine double").where("cosine > -2")
-    order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
+    v = T(s, d, "embeddings").where("embedding is not null")
+    asked = v.where("vec_id % 20 = 0").select("vec_id", "embedding")
+    blocks = max(1, -(-asked.count() // block))
+
+    def ask(k: int) -> DataFrame:
+        q = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).toPandas()
+        ids = q["vec_id"].to_numpy()
+        m = np.stack(q["embedding"].to_numpy()).astype(np.float64) if len(q) else np.zeros((0, 1))
+        sent = s.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)))
+
+        def run(batches):
+            ids, m = sent.value
+            for b in batches:
+                if not len(b) or not len(ids):
+                    continue
+                x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                other = b["vec_id"].to_numpy()
+                for at in range(0, len(ids), 512):
+                    sim = m[at : at + 512] @ x.T
+                    sim[ids[at : at + 512, None] == other[None, :]] = -2.0
+                    k = min(5, sim.shape[1])
+                    last = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+                    rows, cols = np.nonzero((sim >= last[:, None] - 1e-12) & (sim > -2))
+                    # Of exact copies only the five of smallest id can come first.
+                    order = np.lexsort((other[cols], -np.round(sim[rows, cols], 12), rows))
+                    rows, cols = rows[order], cols[order]
+                    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                    rows, cols = rows[rank < 5], cols[rank < 5]
+                    yield pd.DataFrame({"query_id": ids[at + rows], "vec_id": other[cols], "cosine": sim[rows, cols]})
+
+        return v.select("vec_id", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, cosine double")
+
+    near = ask(0)
+    for k in range(1, blocks):
+        near = near.unionByName(ask(k))
+    order = Window.partitionBy("query_id").orderBy(F.round("cosine", 12).desc(), "vec_id")
     return near.withColumn("place", F.row_number().over(order)).where("place <= 5").select("query_id", "vec_id", "place", F.round("cosine", 5).alias("cosine"))
 
 
-def _votes(s, d):
-    label = F.lower(F.trim("fdc_id"))
-    return T(s, d, "ensemble").where(F.col("fdc_id").isNotNull() & (label != "")).select("normalized_text", F.when(label == "none", "none").otherwise(number_in("fdc_id").cast("string")).alias("label"))
-
-
 def majority_vote(s: SparkSession, d: str) -> DataFrame:
-    """The answer with most votes per string; null on a tie."""
-    n = _votes(s, d).groupBy("normalized_text", "label").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("normalized_text").orderBy(F.col("n").desc())
-    top = n.withColumn("r", F.rank().over(w)).where("r = 1")
-    return top.groupBy("normalized_text").agg(F.when(F.count("*") == 1, F.max("label")).alias("winner"), F.max("n").alias("votes"))
+    """The answer with most votes per string, one vote per annotator; null on a tie."""
+    won = majority(last_answers(T(s, d, "ensemble"), "normalized_text", "annotator", "fdc_id", "judged_at"))
+    return won.select(F.col("item").alias("normalized_text"), F.col("label").alias("winner"), "votes")
 
 
 def recall_at_k(s: SparkSession, d: str) -> DataFrame:
     """Share of strings whose majority answer is among the first k candidates."""
     gold_id = majority_vote(s, d).where("winner is not null and winner <> 'none'").select("normalized_text", F.col("winner").alias("fdc_id"))
-    hit = gold_id.join(candidate_union(s, d).select("normalized_text", "fdc_id", "rank"), ["normalized_text", "fdc_id"], "left")
+    ranked = candidate_union(s, d).groupBy("normalized_text", number_in("fdc_id").cast("string").alias("fdc_id")).agg(F.min("rank").alias("rank"))
+    hit = gold_id.join(ranked, ["normalized_text", "fdc_id"], "left")
     return hit.select(F.explode(F.array(*[F.lit(k) for k in (5, 10, 25, 50)])).alias("k"), "rank").groupBy("k").agg(F.round(F.avg(F.coalesce((F.col("rank") < F.col("k")).cast("double"), F.lit(0.0))), 6).alias("recall"))
 
 
@@ -247,21 +258,44 @@ def dq_relationships(s, d):
     return quality.relationships(T(s, d, "ingredient_candidates").select("fdc_id").distinct(), "fdc_id", T(s, d, "usda_foods"), "fdc_id")
 
 
+def dq_unknown_foods(s, d):
+    """Best candidates that the catalogue lacks: a build of the entity map stops on any."""
+    return entity_map_join(s, d).where("description_raw is null").select("normalized_text", "fdc_id")
+
+
 def dq_accepted_values(s, d):
     return quality.accepted_values(T(s, d, "distinct_ingredient_strings"), "frequency_stratum", ["head", "mid", "tail"]).select("normalized_text", "frequency_stratum")
 
 
 def dq_accepted_range(s, d):
-    return quality.accepted_range(_nutrition(s, d), "kcal_per_100g", 0, 910).select("recipe_no")
+    return quality.accepted_range(T(s, d, "recipe_ingredient_grams"), "grams", 0.01, 5000).select("recipe_id", "line_index", "grams")
+
+
+# What the published tables are expected to hold.
+DRIFT = {
+    "mean kcal per 100 g": (150.0, 350.0), "median total grams": (300.0, 1500.0), "p99 total grams": (2000.0, 7000.0), "mean coverage": (0.45, 0.75),
+    "share with any nutrition": (0.85, 1.0), "mean trust": (0.20, 0.55), "share of complete recipes": (0.02, 0.15), "share of weighed lines": (0.55, 0.72), "hours since last line": (0.0, 720.0),
+}
 
 
 def drift_expectations(s: SparkSession, d: str) -> DataFrame:
-    """Scalars of the published table against the ranges they are expected in; a null value fails."""
-    n = _nutrition(s, d)
-    a = n.agg(F.avg("coverage").alias("mean coverage"), F.median("kcal_per_100g").alias("median kcal"), F.percentile("kcal_per_100g", 0.99).alias("p99 kcal"), F.try_divide(F.count_if(F.col("coverage") == 1).cast("double"), F.count("*")).alias("complete"), F.avg("n_lines").alias("mean lines"))
-    ranges = {"mean coverage": (0.1, 1.0), "median kcal": (100.0, 400.0), "p99 kcal": (200.0, 910.0), "complete": (0.0, 0.9), "mean lines": (3.0, 20.0)}
-    rows = F.array(*[F.struct(F.lit(k).alias("expectation"), F.round(F.col(f"`{k}`"), 4).alias("value"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for k, (lo, hi) in ranges.items()])
-    return a.select(F.inline(rows)).select("expectation", "value", F.coalesce((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")), F.lit(False)).alias("ok"))
+    """Nine scalars of the published tables against the ranges they are expected in; a null value fails.
+
+    Freshness is taken against the last time that any table knows, so that a run can be repeated.
+    """
+    lines = _resolved(s, d)
+    n = gold.nutrition(lines)
+    heavy = F.when(F.col("total_grams") > 0, F.col("total_grams"))
+    a = n.agg(
+        F.avg("kcal_per_100g"), F.median(heavy), F.percentile(heavy, 0.99), F.avg("coverage"), F.try_divide(F.count_if(F.col("coverage") > 0).cast("double"), F.count("*")),
+        F.avg("trust"), F.try_divide(F.count_if(F.col("coverage") == 1).cast("double"), F.count("*")),
+    )
+    weighed = lines.agg(F.try_divide(F.count("grams").cast("double"), F.count("*")))
+    last = T(s, d, "recipe_ingredient_lines").agg(F.max("ingested_at").alias("l")).crossJoin(T(s, d, "recipe_meta").agg(F.max("ingested_at").alias("m")))
+    hours = last.select((F.floor(F.unix_seconds(F.greatest("l", "m").cast("timestamp")) / 3600) - F.floor(F.unix_seconds(F.col("l").cast("timestamp")) / 3600)).cast("double"))
+    named = a.toDF(*list(DRIFT)[:7]).crossJoin(weighed.toDF(list(DRIFT)[7])).crossJoin(hours.toDF(list(DRIFT)[8]))
+    rows = F.array(*[F.struct(F.lit(k).alias("expectation"), F.round(F.col(f"`{k}`"), 4).alias("value"), F.lit(lo).alias("low"), F.lit(hi).alias("high")) for k, (lo, hi) in DRIFT.items()])
+    return named.select(F.inline(rows)).select("expectation", "value", F.coalesce((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")), F.lit(False)).alias("ok"))
 
 
 def coverage_by_class(s: SparkSession, d: str) -> DataFrame:
@@ -291,15 +325,9 @@ def twin_groups(s: SparkSession, d: str) -> DataFrame:
 
 
 def fingerprint(s: SparkSession, d: str) -> DataFrame:
-    t = T(s, d, "eval_items").where("split = 'holdout'")
-    return t.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("text")), "\n"), 256).alias("fingerprint"))
-
-
-def feature_vector(s: SparkSession, d: str) -> DataFrame:
-    """Word overlap of a string and its best candidate, and how far the candidate leads."""
-    best = entity_map_join(s, d)
-    a, b = F.array_distinct(F.split("normalized_text", " ")), F.array_distinct(F.split(F.lower(F.regexp_replace("description_raw", "[,-]", " ")), r"\s+"))
-    return best.select("normalized_text", F.round(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), 6).alias("jaccard"), "cosine")
+    """Number and summed hashes of the held-out texts: the same in any order, and no text leaves its task."""
+    h = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 12), 16, 10).cast("bigint")
+    return T(s, d, "eval_items").where("split = 'holdout'").agg(F.count("*").alias("n"), F.sum(h).alias("fingerprint"))
 
 
 def portions_median(s: SparkSession, d: str) -> DataFrame:
@@ -324,12 +352,9 @@ def region_rollup(s: SparkSession, d: str) -> DataFrame:
 
 
 _TOP1 = """best AS (SELECT normalized_text, fdc_id, cosine_search AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY normalized_text ORDER BY cosine_search DESC, fdc_id) AS r FROM ingredient_candidates WHERE cosine_search IS NOT NULL AND NOT isnan(cosine_search)) WHERE r = 1),
-joined AS (SELECT s.normalized_text, s.occurrence_count, b.fdc_id, b.cosine, f.description_raw, f.kcal_per_100g FROM (SELECT normalized_text, max(occurrence_count) AS occurrence_count FROM distinct_ingredient_strings WHERE normalized_text IS NOT NULL GROUP BY 1) s JOIN best b USING (normalized_text) JOIN usda_foods f USING (fdc_id))"""
+joined AS (SELECT s.normalized_text, s.occurrence_count, b.fdc_id, b.cosine, f.description_raw, f.kcal_per_100g FROM (SELECT normalized_text, max(occurrence_count) AS occurrence_count FROM distinct_ingredient_strings WHERE normalized_text IS NOT NULL GROUP BY 1) s JOIN best b USING (normalized_text) LEFT JOIN usda_foods f USING (fdc_id))"""
 _UNION = """pairs AS (SELECT normalized_text, fdc_id, bool_or(from_embed_search) AS from_embed_search, bool_or(from_embed_desc) AS from_embed_desc, bool_or(from_token_head) AS from_token_head, max(CASE WHEN NOT isnan(cosine_search) THEN cosine_search END) AS cosine FROM ingredient_candidates GROUP BY 1, 2),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY normalized_text ORDER BY cosine DESC NULLS LAST, fdc_id) - 1 AS INTEGER) AS rank FROM pairs)"""
-_VOTES = f"""votes AS (SELECT normalized_text, CASE WHEN lower(trim(fdc_id)) = 'none' THEN 'none' ELSE CAST({_F} AS VARCHAR) END AS label, count(*) AS n FROM ensemble WHERE fdc_id IS NOT NULL AND trim(fdc_id) <> '' GROUP BY 1, 2),
-tops AS (SELECT *, rank() OVER (PARTITION BY normalized_text ORDER BY n DESC) AS r FROM votes),
-winners AS (SELECT normalized_text, CASE WHEN count(*) = 1 THEN max(label) END AS winner, max(n) AS votes FROM tops WHERE r = 1 GROUP BY 1)"""
 _TERM = "regexp_matches(coalesce(normalized_text, ''), '(^|[^A-Za-z0-9_]){}s?($|[^A-Za-z0-9_])')"
 _META = f"""meta AS (SELECT recipe_no, m.title AS title, m.directions AS directions FROM (SELECT {_R} AS recipe_no, max({{'ingested_at': ingested_at, 'title': title, 'source_url': source_url, 'directions': directions}}) AS m FROM recipe_meta WHERE {_R} IS NOT NULL GROUP BY 1))"""
 _FACETS = "list_filter(list_transform(string_split(regexp_replace(description_raw, '\\s*\\([Ii]ncludes foods for [^)]*\\)', ''), ','), lambda x: trim(x)), lambda x: x <> '')"
@@ -342,14 +367,14 @@ SQL = {
     "category_nullif": f"SELECT {_F} AS fdc_no, max(nullif(trim(food_category), '')) AS food_category FROM usda_food_categories WHERE {_F} IS NOT NULL GROUP BY 1",
     "distinct_strings_strata": "SELECT normalized_text, count(*) AS occurrence_count, CASE WHEN count(*) >= 20 THEN 'head' WHEN count(*) >= 3 THEN 'mid' ELSE 'tail' END AS frequency_stratum FROM recipe_ingredient_lines WHERE normalized_text IS NOT NULL GROUP BY 1",
     "facets_search_text": f"SELECT fdc_id, lower(array_to_string({_FACETS}, ' ')) AS canonical_name, lower(array_to_string(list_reverse({_FACETS}), ' ')) AS search_text, coalesce(lower({_FACETS}[1]), '') AS category FROM usda_foods",
-    "deprioritized": f"SELECT fdc_id FROM usda_foods WHERE lower({_FACETS}[1]) IN ('babyfood', 'restaurant foods', 'fast foods', 'formula') OR regexp_matches(regexp_replace(description_raw, '\\s*\\([Ii]ncludes foods for [^)]*\\)', ''), '\\b[A-Z][A-Z''&.]{{3,}}\\b')",
+    "deprioritized": f"WITH d AS (SELECT description_raw FROM usda_foods UNION SELECT description FROM raw_usda_foods WHERE description IS NOT NULL) SELECT description_raw, coalesce(lower({_FACETS}[1]), '') IN ('babyfood', 'restaurant foods', 'fast foods', 'formula') OR regexp_matches(regexp_replace(description_raw, '\\s*\\([Ii]ncludes foods for [^)]*\\)', ''), '(^|[^A-Za-z0-9_])[A-Z][A-Z''&.]{{3,}}($|[^A-Za-z0-9_])') AS is_deprioritized FROM d",
     "resolve_top1": f"WITH {_TOP1} SELECT normalized_text, fdc_id, cosine, cosine < 0.40 AS flagged, cosine < 0.644 AS abstained FROM best",
     "entity_map_join": f"WITH {_TOP1} SELECT normalized_text, occurrence_count, fdc_id, cosine, cosine < 0.40 AS flagged, cosine < 0.644 AS abstained, description_raw, kcal_per_100g FROM joined",
     "candidate_union": f"WITH {_UNION} SELECT * FROM ranked",
     "head_noun_block": "WITH t AS (SELECT DISTINCT fdc_id, len(string_split(canonical_name, ' ')) AS n, unnest(string_split(canonical_name, ' ')) AS token FROM usda_foods), r AS (SELECT token, fdc_id, CAST(row_number() OVER (PARTITION BY token ORDER BY n, fdc_id) AS INTEGER) AS place FROM t) SELECT token, fdc_id, place FROM r WHERE place <= 50",
-    "topk_cosine": "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS INTEGER) AS place, round(c, 5) AS cosine FROM n) SELECT * FROM r WHERE place <= 5",
-    "majority_vote": f"WITH {_VOTES} SELECT normalized_text, winner, CAST(votes AS BIGINT) AS votes FROM winners",
-    "recall_at_k": f"WITH {_VOTES}, {_UNION} SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN rank < k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM winners LEFT JOIN ranked ON ranked.normalized_text = winners.normalized_text AND ranked.fdc_id = winners.winner, (VALUES (5), (10), (25), (50)) AS ks(k) WHERE winner IS NOT NULL AND winner <> 'none' GROUP BY 1",
+    "topk_cosine": "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, vec_id) AS INTEGER) AS place, round(c, 5) AS cosine FROM n) SELECT * FROM r WHERE place <= 5",
+    "majority_vote": f"WITH {ANSWERS_SQL} SELECT item AS normalized_text, label AS winner, CAST(votes AS BIGINT) AS votes FROM winners",
+    "recall_at_k": f"WITH {ANSWERS_SQL}, {_UNION}, best AS (SELECT normalized_text, CAST({_F} AS VARCHAR) AS fdc_id, min(rank) AS rank FROM ranked GROUP BY 1, 2) SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN rank < k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM winners LEFT JOIN best ON best.normalized_text = winners.item AND best.fdc_id = winners.label, (VALUES (5), (10), (25), (50)) AS ks(k) WHERE label IS NOT NULL AND label <> 'none' GROUP BY 1",
     "wilson_ci": "WITH a AS (SELECT frequency_stratum, count(*) AS n, count(*) FILTER (WHERE flagged) AS k FROM ingredient_entity_map WHERE frequency_stratum IS NOT NULL GROUP BY 1), b AS (SELECT *, n::DOUBLE AS m, k / n::DOUBLE AS p FROM a) SELECT frequency_stratum, n, k, round(greatest((p + 3.8416 / (2 * m)) / (1 + 3.8416 / m) - 1.96 * sqrt(p * (1 - p) / m + 3.8416 / (4 * m * m)) / (1 + 3.8416 / m), 0), 6) AS low, round(least((p + 3.8416 / (2 * m)) / (1 + 3.8416 / m) + 1.96 * sqrt(p * (1 - p) / m + 3.8416 / (4 * m * m)) / (1 + 3.8416 / m), 1), 6) AS high FROM b",
     "stratified_rate": "WITH t AS (SELECT lower(trim(frequency_stratum)) AS stratum, count(*) AS strings, sum(occurrence_count)::DOUBLE AS uses FROM distinct_ingredient_strings WHERE frequency_stratum IS NOT NULL GROUP BY 1), r AS (SELECT lower(trim(frequency_stratum)) AS stratum, avg(flagged::INT) AS rate, sum(flagged::INT * occurrence_count)::DOUBLE / sum(occurrence_count) AS use_rate FROM ingredient_entity_map WHERE frequency_stratum IS NOT NULL GROUP BY 1) SELECT round(sum(rate * strings) / sum(strings), 6) AS per_string, round(sum(use_rate * uses) / sum(uses), 6) AS per_use FROM t JOIN r USING (stratum)",
     "error_bands": f"WITH {_TOP1}, e AS (SELECT normalized_text, max(kcal_per_100g) AS a FROM ingredient_entity_map WHERE normalized_text IS NOT NULL GROUP BY 1), x AS (SELECT CASE WHEN abs(a - kcal_per_100g) <= 5 THEN 0 ELSE abs(a - kcal_per_100g) / greatest(abs(a), abs(kcal_per_100g)) END AS err FROM e JOIN joined USING (normalized_text) WHERE a IS NOT NULL AND kcal_per_100g IS NOT NULL) SELECT CASE WHEN err < 0.1 THEN 'under 0.10' WHEN err < 0.25 THEN 'under 0.25' WHEN err < 0.5 THEN 'under 0.50' ELSE 'beyond' END AS band, count(*) AS n FROM x GROUP BY 1",
@@ -362,16 +387,16 @@ SQL = {
     "dq_unique": "SELECT recipe_id, count(*) AS n FROM recipe_meta WHERE recipe_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "dq_unique_line": "SELECT recipe_id, line_index, count(*) AS n FROM recipe_ingredient_lines GROUP BY 1, 2 HAVING count(*) > 1",
     "dq_relationships": "SELECT DISTINCT fdc_id FROM ingredient_candidates WHERE fdc_id IS NOT NULL AND fdc_id NOT IN (SELECT fdc_id FROM usda_foods)",
+    "dq_unknown_foods": f"WITH {_TOP1} SELECT normalized_text, fdc_id FROM joined WHERE description_raw IS NULL",
     "dq_accepted_values": "SELECT normalized_text, frequency_stratum FROM distinct_ingredient_strings WHERE frequency_stratum NOT IN ('head', 'mid', 'tail')",
-    "dq_accepted_range": _NUTRITION + "SELECT recipe_no FROM rolled WHERE kcal_per_100g < 0 OR kcal_per_100g > 910",
-    "drift_expectations": _NUTRITION + ", a AS (SELECT avg(coverage) AS c, median(kcal_per_100g) AS m, quantile_cont(kcal_per_100g, 0.99) AS p, count(*) FILTER (WHERE coverage = 1)::DOUBLE / count(*) AS f, avg(n_lines) AS l FROM rolled), v AS (SELECT * FROM a, LATERAL (VALUES ('mean coverage', c, 0.1, 1.0), ('median kcal', m, 100.0, 400.0), ('p99 kcal', p, 200.0, 910.0), ('complete', f, 0.0, 0.9), ('mean lines', l, 3.0, 20.0)) AS x(expectation, value, low, high)) SELECT expectation, round(value, 4) AS value, coalesce(value BETWEEN low AND high, false) AS ok FROM v",
+    "dq_accepted_range": "SELECT recipe_id, line_index, grams FROM recipe_ingredient_grams WHERE grams < 0.01 OR grams > 5000",
+    "drift_expectations": _NUTRITION + ", a AS (SELECT avg(kcal_per_100g) AS a1, median(total_grams) FILTER (WHERE total_grams > 0) AS a2, quantile_cont(total_grams, 0.99) FILTER (WHERE total_grams > 0) AS a3, avg(coverage) AS a4, count(*) FILTER (WHERE coverage > 0)::DOUBLE / count(*) AS a5, avg(trust) AS a6, count(*) FILTER (WHERE coverage = 1)::DOUBLE / count(*) AS a7 FROM rolled), w AS (SELECT count(grams)::DOUBLE / count(*) AS a8 FROM resolved), t AS (SELECT floor(epoch(greatest((SELECT max(ingested_at) FROM recipe_ingredient_lines), (SELECT max(ingested_at) FROM recipe_meta))) / 3600) - floor(epoch((SELECT max(ingested_at) FROM recipe_ingredient_lines)) / 3600) AS a9), v AS (SELECT * FROM a, w, t, LATERAL (VALUES " + ", ".join(f"('{k}', a{n}, {lo}, {hi})" for n, (k, (lo, hi)) in enumerate(DRIFT.items(), 1)) + ") AS x(expectation, value, low, high)) SELECT expectation, round(value, 4) AS value, coalesce(value BETWEEN low AND high, false) AS ok FROM v",
     "coverage_by_class": "SELECT coalesce(method, 'none') AS method, count(*) AS n, count(*) FILTER (WHERE converted) AS n_converted FROM recipe_ingredient_grams GROUP BY 1",
     "median_of_shares": "SELECT round(median(share), 6) AS median_share, count(*) AS n_recipes FROM (SELECT recipe_id, avg(converted::INT) AS share FROM recipe_ingredient_grams GROUP BY 1)",
     "jsonl_last_wins": "SELECT normalized_text, annotator, m.f AS fdc_id FROM (SELECT normalized_text, annotator, max({'t': judged_at, 'f': coalesce(fdc_id, '')}) AS m FROM ensemble GROUP BY 1, 2)",
     "hash_sample": "SELECT DISTINCT normalized_text FROM distinct_ingredient_strings WHERE normalized_text IS NOT NULL AND ('0x' || substr(sha256('control:' || normalized_text), 1, 8))::BIGINT % 100 < 15",
     "twin_groups": "SELECT min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
-    "fingerprint": "SELECT sha256(string_agg(text, chr(10) ORDER BY text)) AS fingerprint FROM eval_items WHERE split = 'holdout'",
-    "feature_vector": f"WITH {_TOP1}, w AS (SELECT normalized_text, cosine, list_distinct(string_split(normalized_text, ' ')) AS a, list_distinct(regexp_split_to_array(lower(regexp_replace(description_raw, '[,-]', ' ', 'g')), '\\s+')) AS b FROM joined) SELECT normalized_text, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS jaccard, cosine FROM w",
+    "fingerprint": "SELECT count(*) AS n, CAST(sum(('0x' || substr(sha256(coalesce(text, '')), 1, 12))::BIGINT) AS BIGINT) AS fingerprint FROM eval_items WHERE split = 'holdout'",
     "portions_median": "SELECT normalized_text, method, round(median(grams), 4) AS grams FROM (SELECT DISTINCT recipe_id, line_index, normalized_text FROM recipe_ingredient_lines WHERE recipe_id IS NOT NULL) JOIN (SELECT DISTINCT * FROM recipe_ingredient_grams) USING (recipe_id, line_index) GROUP BY 1, 2",
     "planner_greedy": "WITH RECURSIVE p AS (SELECT o_orderkey AS recipe_no, o_custkey::DOUBLE AS kcal, o_totalprice AS cost, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS k FROM orders WHERE o_custkey <= 1200 AND o_totalprice <= 300000), g AS (SELECT 0::BIGINT AS k, 0 AS day, NULL::BIGINT AS recipe_no, NULL::DOUBLE AS cost, 300000.0::DOUBLE AS budget, false AS taken UNION ALL SELECT p.k, g.day + CASE WHEN p.cost <= g.budget THEN 1 ELSE 0 END, p.recipe_no, p.cost, g.budget - CASE WHEN p.cost <= g.budget THEN p.cost ELSE 0 END, p.cost <= g.budget FROM g JOIN p ON p.k = g.k + 1 WHERE g.day < 7 AND g.k < 400) SELECT CAST(day AS INTEGER) AS day, recipe_no, round(cost, 2) AS cost FROM g WHERE taken",
     "events_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
@@ -383,7 +408,7 @@ QUERIES = {
         lines_resolved, nutrition_rollup, canonical_dim, recipe_meta_clean, category_nullif, distinct_strings_strata, facets_search_text, deprioritized,
         resolve_top1, entity_map_join, candidate_union, head_noun_block, topk_cosine, majority_vote, recall_at_k, wilson_ci, stratified_rate, error_bands,
         ambiguity, abstain_sweep, retrieval_ranked, planner_greedy, guardrail_numbers, sentence_scope, dq_not_null, dq_unique, dq_unique_line,
-        dq_relationships, dq_accepted_values, dq_accepted_range, drift_expectations, coverage_by_class, median_of_shares, jsonl_last_wins, hash_sample,
-        twin_groups, fingerprint, feature_vector, portions_median, events_windows, region_rollup,
+        dq_relationships, dq_unknown_foods, dq_accepted_values, dq_accepted_range, drift_expectations, coverage_by_class, median_of_shares, jsonl_last_wins, hash_sample,
+        twin_groups, fingerprint, portions_median, events_windows, region_rollup,
     )
 }

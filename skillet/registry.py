@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from skillet.operators import queries as data
-from skillet.plans import lines
+from skillet.plans import evaluation, lines
 from skillet.plans import queries as plans
 
 
 def queries() -> dict:
-    return {**data.QUERIES, **plans.QUERIES, **lines.QUERIES}
+    return {**data.QUERIES, **plans.QUERIES, **lines.QUERIES, **evaluation.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**data.SQL, **plans.SQL, **lines.SQL}
+    return {**data.SQL, **plans.SQL, **lines.SQL, **evaluation.SQL}
