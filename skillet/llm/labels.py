@@ -9,25 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillet.functions.ids import number_in
+from skillet.functions.answers import last_answers  # noqa: F401
+from skillet.plans.stats import krippendorff  # noqa: F401
 from skillet.session import durable
 
 
-def last_answers(rows: DataFrame, item: str, annotator: str, label: str, at: str) -> DataFrame:
-    """(item, annotator, label): the last answer of each annotator to each item; blank ones are no answers.
-
-    Ids are plain numbers as text, whatever zeros and blanks stand around
-    them; ``none`` keeps its name in any case. Annotators are compared without
-    case and blanks. A null time counts as the earliest; of answers at one time the greatest as text counts. Rows with
-    a null item or annotator are left out.
-    """
-    text = F.lower(F.trim(label))
-    plain = F.when(text == "none", "none").when(text == "", F.lit(None)).otherwise(F.coalesce(number_in(label).cast("string"), text))
-    clean = rows.select(F.col(item).alias("item"), F.lower(F.trim(annotator)).alias("annotator"), plain.alias("label"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**62))).alias("at")).where("item is not null and annotator is not null")
-    last = clean.groupBy("item", "annotator").agg(F.max(F.struct("at", F.coalesce("label", F.lit("")).alias("label"))).alias("last"))
-    return last.select("item", "annotator", F.col("last.label").alias("label")).where("label <> ''")
-
-
 def _flat(pdf: pd.DataFrame):
     """Votes of a batch of items as arrays: item, annotator, and the number of the (item, label) pair they stand for."""
     sizes = pdf["who"].map(len).to_numpy()
@@ -176,17 +162,3 @@ def consensus(answers: DataFrame, rounds: int = 12, least: int = 3, wrong: float
     final = {r.i: r for r in (gathered() if m else []) if r.kind == "a"}
     people = [(n, float(ability[k]), float(final[k].z / final[k].n) if k in final and final[k].n else None, int(final[k].n) if k in final else 0, int((groups == groups[k]).sum() - 1)) for k, n in enumerate(names)]
     return items, spark.createDataFrame(people, "annotator string, ability double, reliability double, n_answers bigint, n_twins bigint")
-
-
-def krippendorff(answers: DataFrame) -> DataFrame:
-    """One row (alpha, n_items, n_answers): chance-corrected nominal agreement over the items with two answers or more.
-
-    1 where only one label occurs, null where no item has two answers.
-    """
-    counts = answers.groupBy("item", "label").agg(F.count("*").alias("c"))
-    per = counts.groupBy("item").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("n > 1")
-    observed = per.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / (F.col("n") - 1)).alias("differ"), F.sum("n").alias("n_answers"), F.count("*").alias("n_items"))
-    labels = counts.join(per.select("item"), "item").groupBy("label").agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("sq"))
-    n, differ = F.col("n_answers").cast("double"), F.col("differ")
-    chance = (n * n - F.col("sq")) / (n - 1)
-    return observed.crossJoin(labels).select(F.when(n.isNull(), None).when(chance == 0, 1.0).otherwise(1 - differ / F.nullif(chance, F.lit(0.0))).alias("alpha"), "n_items", F.coalesce("n_answers", F.lit(0)).alias("n_answers"))
