@@ -230,18 +230,6 @@ def planner_greedy(s: SparkSession, d: str) -> DataFrame:
     return serving.plan_week(o, 300_000.0, 1200.0, 7).select("day", "recipe_no", F.round("cost", 2).alias("cost"))
 
 
-def guardrail_numbers(s: SparkSession, d: str) -> DataFrame:
-    n = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    return T(s, d, "documents").select("doc_id", F.explode(n).alias("n")).groupBy("doc_id").agg(F.count("*").alias("n_numbers"), F.round(F.sum(F.col("n").cast("double")), 2).alias("total"))
-
-
-def sentence_scope(s: SparkSession, d: str) -> DataFrame:
-    """The last value named by a user's events, carried on to events that name none."""
-    e = T(s, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == F.lit("purchase"), F.col("event_id")).alias("named"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.last("named", ignorenulls=True).over(w).alias("scope"))
-
-
 def dq_not_null(s, d):
     return quality.not_null(T(s, d, "recipe_ingredient_lines"), "recipe_id").select("line_index", "line_raw")
 
@@ -381,8 +369,6 @@ SQL = {
     "ambiguity": "SELECT category, count(*) AS n, round((max(kcal_per_100g) - min(kcal_per_100g)) / max(kcal_per_100g), 6) AS spread FROM usda_foods WHERE kcal_per_100g IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
     "abstain_sweep": "WITH m AS (SELECT round(cosine, 2) AS score, fdc_id IS NULL AS empty FROM ingredient_entity_map WHERE cosine IS NOT NULL), b AS (SELECT score AS threshold, count(*) AS n, count(*) FILTER (WHERE empty) AS neg FROM m GROUP BY 1), c AS (SELECT threshold, coalesce(sum(n) OVER w, 0)::DOUBLE AS declined, coalesce(sum(neg) OVER w, 0)::DOUBLE AS right_, (SELECT count(*) FROM m WHERE empty)::DOUBLE AS every FROM b WINDOW w AS (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), p AS (SELECT threshold, right_ / declined AS p, right_ / nullif(every, 0) AS r FROM c WHERE declined > 0) SELECT threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(5 * p * r / nullif(4 * p + r, 0), 0), 6) AS f FROM p",
     "retrieval_ranked": _NUTRITION + f", {_META}, hits AS (SELECT recipe_no, array_to_string(list_sort(list(DISTINCT t)), ',') AS matched, count(DISTINCT t) AS n_matched, array_to_string(list_sort(list_filter(['salt', 'butter', 'garlic'], lambda x: NOT list_contains(list(DISTINCT t), x))), ',') AS missing FROM (SELECT recipe_no, unnest(list_filter([CASE WHEN {_TERM.format('salt')} THEN 'salt' END, CASE WHEN {_TERM.format('butter')} THEN 'butter' END, CASE WHEN {_TERM.format('garlic')} THEN 'garlic' END], lambda x: x IS NOT NULL)) AS t FROM resolved) GROUP BY 1) SELECT recipe_no, nullif(trim(title), '') AS title, matched, missing, n_matched, coverage, trust FROM rolled JOIN hits USING (recipe_no) LEFT JOIN meta USING (recipe_no) WHERE coverage >= 0.2 AND recipe_no NOT IN (SELECT recipe_no FROM resolved WHERE {_TERM.format('onion')}) ORDER BY n_matched DESC, trust DESC, recipe_no LIMIT 20",
-    "guardrail_numbers": "SELECT doc_id, count(*) AS n_numbers, round(sum(n::DOUBLE), 2) AS total FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\\.[0-9]+)?')) AS n FROM documents) GROUP BY 1",
-    "sentence_scope": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM events",
     "dq_not_null": "SELECT line_index, line_raw FROM recipe_ingredient_lines WHERE recipe_id IS NULL",
     "dq_unique": "SELECT recipe_id, count(*) AS n FROM recipe_meta WHERE recipe_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "dq_unique_line": "SELECT recipe_id, line_index, count(*) AS n FROM recipe_ingredient_lines GROUP BY 1, 2 HAVING count(*) > 1",
@@ -407,7 +393,7 @@ QUERIES = {
     for f in (
         lines_resolved, nutrition_rollup, canonical_dim, recipe_meta_clean, category_nullif, distinct_strings_strata, facets_search_text, deprioritized,
         resolve_top1, entity_map_join, candidate_union, head_noun_block, topk_cosine, majority_vote, recall_at_k, wilson_ci, stratified_rate, error_bands,
-        ambiguity, abstain_sweep, retrieval_ranked, planner_greedy, guardrail_numbers, sentence_scope, dq_not_null, dq_unique, dq_unique_line,
+        ambiguity, abstain_sweep, retrieval_ranked, planner_greedy, dq_not_null, dq_unique, dq_unique_line,
         dq_relationships, dq_unknown_foods, dq_accepted_values, dq_accepted_range, drift_expectations, coverage_by_class, median_of_shares, jsonl_last_wins, hash_sample,
         twin_groups, fingerprint, portions_median, events_windows, region_rollup,
     )
