@@ -10,10 +10,13 @@ from skillet.functions.text import stratum
 
 
 def clean_meta(meta: DataFrame) -> DataFrame:
-    """(recipe_no, title, source_url, directions): the last row of each recipe, blank texts as null, directions in lower case."""
+    """(recipe_no, title, source_url, directions): the last row of each recipe, blank texts as null, directions in lower case.
+
+    A recipe whose last row is marked as deleted is left out, and with it from all that is served.
+    """
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    last = meta.where(number_in("recipe_id").isNotNull()).groupBy(number_in("recipe_id").alias("recipe_no")).agg(F.max(F.struct("ingested_at", "title", "source_url", "directions")).alias("r"))
-    return last.select("recipe_no", blank("r.title").alias("title"), blank("r.source_url").alias("source_url"), F.lower(blank("r.directions")).alias("directions"))
+    last = meta.where(number_in("recipe_id").isNotNull()).groupBy(number_in("recipe_id").alias("recipe_no")).agg(F.max(F.struct("ingested_at", "title", "source_url", "directions", "deleted_at")).alias("r"))
+    return last.where("r.deleted_at is null").select("recipe_no", blank("r.title").alias("title"), blank("r.source_url").alias("source_url"), F.lower(blank("r.directions")).alias("directions"))
 
 
 def clean_categories(categories: DataFrame) -> DataFrame:

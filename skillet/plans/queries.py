@@ -10,6 +10,7 @@ from skillet.functions.answers import last_answers, majority
 from skillet.functions.ids import number_in
 from skillet.plans import gold, quality, serving, stats
 from skillet.plans.evaluation import ANSWERS_SQL
+from skillet.session import durable
 from skillet.session import table as T
 
 _NO = "try_cast(nullif(regexp_replace({}, '[^0-9]', '', 'g'), '') AS BIGINT)"
@@ -219,15 +220,28 @@ def abstain_sweep(s: SparkSession, d: str) -> DataFrame:
 PANTRY = serving.PantryQuery(pantry=("salt", "butter", "garlic"), exclude=("onion",), min_coverage=0.2, limit=20)
 
 
+_PUBLISHED: dict = {}
+
+
+def published(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, nutrition, meta) as the serving side reads them: built once per session and source, then read from where they were written."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _PUBLISHED:
+        lines = durable(_resolved(s, d).select("recipe_no", "normalized_text", "contributes", "confidence", "grams", "kcal_per_100g", "protein_g", "fat_g", "carb_g"))
+        _PUBLISHED[key] = (durable(lines.select("recipe_no", "normalized_text").distinct().coalesce(8)), durable(gold.nutrition(lines).coalesce(8)), durable(gold.clean_meta(T(s, d, "recipe_meta")).select("recipe_no", "title").coalesce(8)))
+    return _PUBLISHED[key]
+
+
 def retrieval_ranked(s: SparkSession, d: str) -> DataFrame:
-    lines = _resolved(s, d)
-    return serving.retrieve(PANTRY, lines, gold.nutrition(lines), gold.clean_meta(T(s, d, "recipe_meta"))).select("recipe_no", "title", "matched", "missing", "n_matched", "coverage", "trust")
+    """A pantry question asked of the published tables."""
+    return serving.retrieve(PANTRY, *published(s, d)).select("recipe_no", "title", "matched", "missing", "n_matched", "coverage", "trust")
 
 
 def planner_greedy(s: SparkSession, d: str) -> DataFrame:
-    """Orders stand for recipes: their price is the cost, the customer's number the energy."""
-    o = T(s, d, "orders").select(F.col("o_orderkey").alias("recipe_no"), F.col("o_custkey").cast("double").alias("total_kcal"), F.col("o_totalprice").alias("cost"))
-    return serving.plan_week(o, 300_000.0, 1200.0, 7).select("day", "recipe_no", F.round("cost", 2).alias("cost"))
+    """A week of recipes under 2,000 kcal whose weight together stays within nine kilograms."""
+    _, n, _ = published(s, d)
+    rows = n.where("coverage >= 0.5").select("recipe_no", F.bround("total_kcal", 0).alias("total_kcal"), F.bround("total_grams", 0).alias("cost"))
+    return serving.plan_week(rows, 9_000.0, 2_000.0, 7).select("day", "recipe_no", "total_kcal", "cost")
 
 
 def dq_not_null(s, d):
@@ -344,7 +358,7 @@ joined AS (SELECT s.normalized_text, s.occurrence_count, b.fdc_id, b.cosine, f.d
 _UNION = """pairs AS (SELECT normalized_text, fdc_id, bool_or(from_embed_search) AS from_embed_search, bool_or(from_embed_desc) AS from_embed_desc, bool_or(from_token_head) AS from_token_head, max(CASE WHEN NOT isnan(cosine_search) THEN cosine_search END) AS cosine FROM ingredient_candidates GROUP BY 1, 2),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY normalized_text ORDER BY cosine DESC NULLS LAST, fdc_id) - 1 AS INTEGER) AS rank FROM pairs)"""
 _TERM = "regexp_matches(coalesce(normalized_text, ''), '(^|[^A-Za-z0-9_]){}s?($|[^A-Za-z0-9_])')"
-_META = f"""meta AS (SELECT recipe_no, m.title AS title, m.directions AS directions FROM (SELECT {_R} AS recipe_no, max({{'ingested_at': ingested_at, 'title': title, 'source_url': source_url, 'directions': directions}}) AS m FROM recipe_meta WHERE {_R} IS NOT NULL GROUP BY 1))"""
+_META = f"""meta AS (SELECT recipe_no, m.title AS title, m.directions AS directions FROM (SELECT {_R} AS recipe_no, max({{'ingested_at': ingested_at, 'title': title, 'source_url': source_url, 'directions': directions, 'deleted_at': deleted_at}}) AS m FROM recipe_meta WHERE {_R} IS NOT NULL GROUP BY 1) WHERE m.deleted_at IS NULL)"""
 _FACETS = "list_filter(list_transform(string_split(regexp_replace(description_raw, '\\s*\\([Ii]ncludes foods for [^)]*\\)', ''), ','), lambda x: trim(x)), lambda x: x <> '')"
 
 SQL = {
@@ -368,7 +382,7 @@ SQL = {
     "error_bands": f"WITH {_TOP1}, e AS (SELECT normalized_text, max(kcal_per_100g) AS a FROM ingredient_entity_map WHERE normalized_text IS NOT NULL GROUP BY 1), x AS (SELECT CASE WHEN abs(a - kcal_per_100g) <= 5 THEN 0 ELSE abs(a - kcal_per_100g) / greatest(abs(a), abs(kcal_per_100g)) END AS err FROM e JOIN joined USING (normalized_text) WHERE a IS NOT NULL AND kcal_per_100g IS NOT NULL) SELECT CASE WHEN err < 0.1 THEN 'under 0.10' WHEN err < 0.25 THEN 'under 0.25' WHEN err < 0.5 THEN 'under 0.50' ELSE 'beyond' END AS band, count(*) AS n FROM x GROUP BY 1",
     "ambiguity": "SELECT category, count(*) AS n, round((max(kcal_per_100g) - min(kcal_per_100g)) / max(kcal_per_100g), 6) AS spread FROM usda_foods WHERE kcal_per_100g IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
     "abstain_sweep": "WITH m AS (SELECT round(cosine, 2) AS score, fdc_id IS NULL AS empty FROM ingredient_entity_map WHERE cosine IS NOT NULL), b AS (SELECT score AS threshold, count(*) AS n, count(*) FILTER (WHERE empty) AS neg FROM m GROUP BY 1), c AS (SELECT threshold, coalesce(sum(n) OVER w, 0)::DOUBLE AS declined, coalesce(sum(neg) OVER w, 0)::DOUBLE AS right_, (SELECT count(*) FROM m WHERE empty)::DOUBLE AS every FROM b WINDOW w AS (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), p AS (SELECT threshold, right_ / declined AS p, right_ / nullif(every, 0) AS r FROM c WHERE declined > 0) SELECT threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(5 * p * r / nullif(4 * p + r, 0), 0), 6) AS f FROM p",
-    "retrieval_ranked": _NUTRITION + f", {_META}, hits AS (SELECT recipe_no, array_to_string(list_sort(list(DISTINCT t)), ',') AS matched, count(DISTINCT t) AS n_matched, array_to_string(list_sort(list_filter(['salt', 'butter', 'garlic'], lambda x: NOT list_contains(list(DISTINCT t), x))), ',') AS missing FROM (SELECT recipe_no, unnest(list_filter([CASE WHEN {_TERM.format('salt')} THEN 'salt' END, CASE WHEN {_TERM.format('butter')} THEN 'butter' END, CASE WHEN {_TERM.format('garlic')} THEN 'garlic' END], lambda x: x IS NOT NULL)) AS t FROM resolved) GROUP BY 1) SELECT recipe_no, nullif(trim(title), '') AS title, matched, missing, n_matched, coverage, trust FROM rolled JOIN hits USING (recipe_no) LEFT JOIN meta USING (recipe_no) WHERE coverage >= 0.2 AND recipe_no NOT IN (SELECT recipe_no FROM resolved WHERE {_TERM.format('onion')}) ORDER BY n_matched DESC, trust DESC, recipe_no LIMIT 20",
+    "retrieval_ranked": _NUTRITION + f", {_META}, hits AS (SELECT recipe_no, array_to_string(list_sort(list(DISTINCT t)), ',') AS matched, count(DISTINCT t) AS n_matched, array_to_string(list_sort(list_filter(['salt', 'butter', 'garlic'], lambda x: NOT list_contains(list(DISTINCT t), x))), ',') AS missing FROM (SELECT recipe_no, unnest(list_filter([CASE WHEN {_TERM.format('salt')} THEN 'salt' END, CASE WHEN {_TERM.format('butter')} THEN 'butter' END, CASE WHEN {_TERM.format('garlic')} THEN 'garlic' END], lambda x: x IS NOT NULL)) AS t FROM resolved) GROUP BY 1) SELECT recipe_no, nullif(trim(title), '') AS title, matched, missing, n_matched, coverage, trust FROM rolled JOIN hits USING (recipe_no) JOIN meta USING (recipe_no) WHERE coverage >= 0.2 AND recipe_no NOT IN (SELECT recipe_no FROM resolved WHERE {_TERM.format('onion')}) ORDER BY n_matched DESC, trust DESC, recipe_no LIMIT 20",
     "dq_not_null": "SELECT line_index, line_raw FROM recipe_ingredient_lines WHERE recipe_id IS NULL",
     "dq_unique": "SELECT recipe_id, count(*) AS n FROM recipe_meta WHERE recipe_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "dq_unique_line": "SELECT recipe_id, line_index, count(*) AS n FROM recipe_ingredient_lines GROUP BY 1, 2 HAVING count(*) > 1",
@@ -384,7 +398,7 @@ SQL = {
     "twin_groups": "SELECT min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "fingerprint": "SELECT count(*) AS n, CAST(sum(('0x' || substr(sha256(coalesce(text, '')), 1, 12))::BIGINT) AS BIGINT) AS fingerprint FROM eval_items WHERE split = 'holdout'",
     "portions_median": "SELECT normalized_text, method, round(median(grams), 4) AS grams FROM (SELECT DISTINCT recipe_id, line_index, normalized_text FROM recipe_ingredient_lines WHERE recipe_id IS NOT NULL) JOIN (SELECT DISTINCT * FROM recipe_ingredient_grams) USING (recipe_id, line_index) GROUP BY 1, 2",
-    "planner_greedy": "WITH RECURSIVE p AS (SELECT o_orderkey AS recipe_no, o_custkey::DOUBLE AS kcal, o_totalprice AS cost, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS k FROM orders WHERE o_custkey <= 1200 AND o_totalprice <= 300000), g AS (SELECT 0::BIGINT AS k, 0 AS day, NULL::BIGINT AS recipe_no, NULL::DOUBLE AS cost, 300000.0::DOUBLE AS budget, false AS taken UNION ALL SELECT p.k, g.day + CASE WHEN p.cost <= g.budget THEN 1 ELSE 0 END, p.recipe_no, p.cost, g.budget - CASE WHEN p.cost <= g.budget THEN p.cost ELSE 0 END, p.cost <= g.budget FROM g JOIN p ON p.k = g.k + 1 WHERE g.day < 7 AND g.k < 400) SELECT CAST(day AS INTEGER) AS day, recipe_no, round(cost, 2) AS cost FROM g WHERE taken",
+    "planner_greedy": _NUTRITION.replace("WITH lines", "WITH RECURSIVE lines", 1) + ", p AS (SELECT recipe_no, round_even(total_kcal, 0) AS kcal, round_even(total_grams, 0) AS cost FROM rolled WHERE coverage >= 0.5), q AS (SELECT *, row_number() OVER (ORDER BY kcal DESC, recipe_no) AS k FROM p WHERE kcal <= 2000 AND kcal > 0 AND cost <= 9000), g AS (SELECT 0::BIGINT AS k, 0 AS day, NULL::BIGINT AS recipe_no, NULL::DOUBLE AS kcal, NULL::DOUBLE AS cost, 9000.0::DOUBLE AS budget, false AS taken UNION ALL SELECT q.k, g.day + CASE WHEN q.cost <= g.budget THEN 1 ELSE 0 END, q.recipe_no, q.kcal, q.cost, g.budget - CASE WHEN q.cost <= g.budget THEN q.cost ELSE 0 END, q.cost <= g.budget FROM g JOIN q ON q.k = g.k + 1 WHERE g.day < 7) SELECT CAST(day AS INTEGER) AS day, recipe_no, kcal AS total_kcal, cost FROM g WHERE taken",
     "events_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "region_rollup": "SELECT r_name, n_name, round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))))::DOUBLE, 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
 }
