@@ -74,10 +74,10 @@ def _portions(s, d):
 
 
 def grams_by_line(s: SparkSession, d: str) -> DataFrame:
-    """What every line weighs, and by which way it was found."""
+    """What every line weighs in whole milligrams (halves go down), and by which way it was found."""
     lines = T(s, d, "recipe_ingredient_lines").select(number_in("recipe_id").alias("recipe_no"), "line_index", F.lower(F.trim("normalized_text")).alias("thing"), "line_raw", F.inline(F.array(amounts.parsed_line(F.col("line_raw"), text.SIZE_WORDS))))
     got = weights.by_path(lines, _portions(s, d), ["recipe_no", "line_index"])
-    return got.select("recipe_no", "line_index", F.round("grams", 11).alias("grams"), "method")
+    return got.select("recipe_no", "line_index", F.floor(F.col("grams") * 1000 + 0.4999).alias("milligrams"), "method")
 
 
 def portions_parsed(s: SparkSession, d: str) -> DataFrame:
@@ -175,7 +175,7 @@ _GRAMS = "WITH " + PARSED_SQL.replace("SOURCE", "recipe_ingredient_lines") + f""
   SELECT k.*, ml, one, o.grams AS own, CASE WHEN regexp_matches(line_raw, '{weights.PACK_AFTER}') THEN coalesce(q, 1) ELSE 1 END * CASE WHEN n <> '' THEN {number_sql("n")} END * coalesce({_map(_G)}[pu], {_map(_ML)}[pu] * ml) AS pack, coalesce(u IN {_list(amounts.PACK_FORMS)}, false) AS is_pack
   FROM packed k LEFT JOIN per ON per.thing = k.thing LEFT JOIN portions o ON o.thing = k.thing AND o.measure = k.u AND {_map(_ML)}[k.u] IS NOT NULL
 ), found AS (SELECT recipe_no, line_index, list_filter([{{'g': q * {_map(_G)}[u], 'm': 'mass'}}, {{'g': CASE WHEN is_pack THEN pack END, 'm': 'pack_size'}}, {{'g': q * own, 'm': 'volumetric'}}, {{'g': q * {_map(_ML)}[u] * ml, 'm': 'volumetric_derived'}}, {{'g': CASE WHEN NOT is_pack THEN pack END, 'm': 'pack_size'}}, {{'g': CASE WHEN u IS NULL THEN q * one END, 'm': 'count'}}], lambda x: x.g > 0)[1] AS b FROM sized)
-SELECT recipe_no, line_index, round(b.g, 11) AS grams, b.m AS method FROM found"""
+SELECT recipe_no, line_index, CAST(floor(b.g * 1000 + 0.4999) AS BIGINT) AS milligrams, b.m AS method FROM found"""
 _LONG = "|".join(k.replace(".", "[.]") for k in sorted(weights.LONG_MEASURES, key=len, reverse=True))
 _MEASURES = _NESTED + rf""", said AS (
   SELECT fdc_id, child_id AS portion_id, coalesce(CASE WHEN lower(trim(o ->> '$.modifier')) NOT IN {_list(weights.NO_MEASURE)} THEN lower(trim(o ->> '$.modifier')) END, CASE WHEN lower(trim(o ->> '$.measureUnit.name')) NOT IN {_list(weights.NO_MEASURE)} THEN lower(trim(o ->> '$.measureUnit.name')) END) AS source,
