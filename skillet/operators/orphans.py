@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillet.functions.ids import number_in
+from skillet.session import durable
 
 
 @dataclass(frozen=True)
@@ -35,25 +36,33 @@ def _parents(r: Reference) -> DataFrame:
     return rows.where("ref_id is not null").groupBy("ref_id").agg(F.min("_t").alias("first_at"), F.max("_d").alias("deleted_at"))
 
 
-def orphan_rows(r: Reference) -> DataFrame:
+def orphan_rows(r: Reference, broadcast_limit: int = 1_000_000, salts: int = 16) -> DataFrame:
     """(table_name, ref_id, ref_month, kind, n): orphan references with the number of rows that hold them.
 
-    Rows are first counted per key and time, so that a key held by any share of
-    all rows is spread and shrunk before it is shuffled by key alone. The
-    distinct keys then meet the parents in a left anti-join; what is known of
-    the keys is joined back to the counts. A null key, or one without a number,
+    The referring rows are first brought down to one row per distinct key with its first and last time, which shrinks
+    a key of any number of rows where it lies. The distinct keys meet the parents in a left anti-join, and what they
+    know of the other keys' times tells which of these can hold late or deleted references at all. Only these suspect keys are joined
+    back to the rows: broadcast if a count shows no more than ``broadcast_limit`` of them, so that no row is
+    shuffled, else over ``salts`` parts per key. A null key, or one without a number,
     is no reference. A null time gives a null month and can be only "missing".
     """
-    refs = r.child.select(r.key.alias("ref_id"), F.col(r.at).alias("at")).where("ref_id is not null").groupBy("ref_id", "at").agg(F.count("*").alias("n"))
+    refs = r.child.select(r.key.alias("ref_id"), F.col(r.at).alias("at")).where("ref_id is not null")
+    keys = refs.groupBy("ref_id").agg(F.min("at").alias("_from"), F.max("at").alias("_to"))
     parents = _parents(r)
-    missing = refs.select("ref_id").distinct().join(parents, "ref_id", "left_anti").withColumn("kind", F.lit("missing"))
-    rows = refs.join(missing, "ref_id").select("ref_id", "at", "n", "kind")
+    none = F.lit(None).cast("timestamp")
+    suspects = keys.join(parents, "ref_id", "left_anti").select("ref_id", F.lit(True).alias("missing"), none.alias("first_at"), none.alias("deleted_at"))
     if r.first or r.deleted:
-        late = F.col("first_at") > F.col("at")
-        gone = F.col("deleted_at") <= F.col("at")
-        rest = refs.join(parents.where("first_at is not null or deleted_at is not null"), "ref_id")
-        rows = rows.unionByName(rest.withColumn("kind", F.when(late, "late").when(gone, "deleted")).where("kind is not null").select("ref_id", "at", "n", "kind"))
-    return rows.groupBy(F.lit(r.name).alias("table_name"), "ref_id", F.date_format("at", "yyyy-MM").alias("ref_month"), "kind").agg(F.sum("n").alias("n"))
+        known = keys.join(parents, "ref_id").where((F.col("first_at") > F.col("_from")) | (F.col("deleted_at") <= F.col("_to")))
+        suspects = suspects.unionByName(known.select("ref_id", F.lit(False).alias("missing"), "first_at", "deleted_at"))
+    suspects = durable(suspects)
+    if suspects.limit(broadcast_limit + 1).count() <= broadcast_limit:
+        rows = refs.join(F.broadcast(suspects), "ref_id")
+    else:
+        spread = suspects.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = refs.withColumn("_salt", F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["ref_id", "_salt"])
+    kind = F.when(F.col("missing"), "missing").when(F.col("first_at") > F.col("at"), "late").when(F.col("deleted_at") <= F.col("at"), "deleted")
+    rows = rows.select("ref_id", F.date_format("at", "yyyy-MM").alias("ref_month"), kind.alias("kind")).where("kind is not null")
+    return rows.groupBy(F.lit(r.name).alias("table_name"), "ref_id", "ref_month", "kind").agg(F.count("*").alias("n"))
 
 
 def orphans(references: list[Reference]) -> DataFrame:
