@@ -130,6 +130,11 @@ scored AS (SELECT {group} threshold, p, r, coalesce((1 + {b2}) * p * r / nullif(
 def pair_features(s: SparkSession, d: str) -> DataFrame:
     """The features of every candidate pair, its distance from the string's best score, and whether it is the majority's food or has its description."""
     c = T(s, d, "ingredient_candidates").where("normalized_text is not null").select(F.col("normalized_text").alias("item"), number_in("fdc_id").cast("string").alias("label"), F.nanvl("cosine_search", F.lit(None).cast("double")).alias("cosine"))
+    return features_of(s, d, c)
+
+
+def features_of(s: SparkSession, d: str, c: DataFrame) -> DataFrame:
+    """``pair_features`` of any candidates (item, label, cosine)."""
     c = c.groupBy("item", "label").agg(F.max("cosine").alias("cosine"))
     best = c.groupBy("item").agg(F.max("cosine").alias("best"))
     f = _foods(s, d)

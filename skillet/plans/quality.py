@@ -57,3 +57,36 @@ def fingerprint(df: DataFrame) -> tuple[int, int]:
     """(rows, content hash) without regard to order; equal tables have equal fingerprints."""
     r = df.select(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).alias("h")).agg(F.count("*"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0))).first()
     return int(r[0]), int(r[1])
+
+
+def prove(build, expectations, inject, remove, state) -> list[str]:
+    """What is wrong with a gate; empty if it holds.
+
+    ``build()`` writes the tables behind the gate, ``expectations()`` gives its tests, ``inject()`` plants a violation in the
+    source and ``remove()`` takes it out again; ``state()`` is the fingerprint of what readers see. A clean build must pass, a build with
+    the violation must stop and leave readers with what they had, and the next clean one must pass again.
+    """
+    faults = []
+
+    def run() -> bool:
+        try:
+            gate(expectations())
+        except GateFailure:
+            return False
+        build()
+        return True
+
+    if not run():
+        faults.append("a clean source is refused")
+    before = state()
+    inject()
+    try:
+        if run():
+            faults.append("a violation passes")
+        if state() != before:
+            faults.append("a refused build changed what readers see")
+    finally:
+        remove()
+    if not run():
+        faults.append("the source stays refused after the violation is gone")
+    return faults

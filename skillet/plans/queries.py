@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skillet.functions import text
 from skillet.functions.answers import last_answers, majority
 from skillet.functions.ids import number_in
+from skillet.operators.candidates import head_noun_index
 from skillet.plans import gold, quality, serving, stats
 from skillet.plans.evaluation import ANSWERS_SQL
 from skillet.session import durable
@@ -115,10 +116,7 @@ def candidate_union(s: SparkSession, d: str) -> DataFrame:
 
 
 def head_noun_block(s: SparkSession, d: str) -> DataFrame:
-    names = T(s, d, "usda_foods").select("fdc_id", F.split("canonical_name", " ").alias("w"))
-    tokens = names.select("fdc_id", F.size("w").alias("n"), F.explode(F.array_distinct("w")).alias("token"))
-    order = Window.partitionBy("token").orderBy("n", "fdc_id")
-    return tokens.withColumn("place", F.row_number().over(order)).where("place <= 50").select("token", "fdc_id", "place")
+    return head_noun_index(T(s, d, "usda_foods"), "fdc_id", "canonical_name")
 
 
 def topk_cosine(s: SparkSession, d: str, block: int = 20_000) -> DataFrame:
@@ -373,7 +371,7 @@ SQL = {
     "resolve_top1": f"WITH {_TOP1} SELECT normalized_text, fdc_id, cosine, cosine < 0.40 AS flagged, cosine < 0.644 AS abstained FROM best",
     "entity_map_join": f"WITH {_TOP1} SELECT normalized_text, occurrence_count, fdc_id, cosine, cosine < 0.40 AS flagged, cosine < 0.644 AS abstained, description_raw, kcal_per_100g FROM joined",
     "candidate_union": f"WITH {_UNION} SELECT * FROM ranked",
-    "head_noun_block": "WITH t AS (SELECT DISTINCT fdc_id, len(string_split(canonical_name, ' ')) AS n, unnest(string_split(canonical_name, ' ')) AS token FROM usda_foods), r AS (SELECT token, fdc_id, CAST(row_number() OVER (PARTITION BY token ORDER BY n, fdc_id) AS INTEGER) AS place FROM t) SELECT token, fdc_id, place FROM r WHERE place <= 50",
+    "head_noun_block": r"WITH w AS (SELECT fdc_id, list_distinct(list_filter(regexp_split_to_array(lower(canonical_name), '[-,\s]+'), lambda x: x <> '')) AS w FROM usda_foods), t AS (SELECT fdc_id, len(w) AS n, unnest(w) AS token FROM w), r AS (SELECT token, fdc_id, CAST(row_number() OVER (PARTITION BY token ORDER BY n, fdc_id) AS INTEGER) AS place FROM t) SELECT token, fdc_id, place FROM r WHERE place <= 50",
     "topk_cosine": "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, vec_id) AS INTEGER) AS place, round(c, 5) AS cosine FROM n) SELECT * FROM r WHERE place <= 5",
     "majority_vote": f"WITH {ANSWERS_SQL} SELECT item AS normalized_text, label AS winner, CAST(votes AS BIGINT) AS votes FROM winners",
     "recall_at_k": f"WITH {ANSWERS_SQL}, {_UNION}, best AS (SELECT normalized_text, CAST({_F} AS VARCHAR) AS fdc_id, min(rank) AS rank FROM ranked GROUP BY 1, 2) SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN rank < k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM winners LEFT JOIN best ON best.normalized_text = winners.item AND best.fdc_id = winners.label, (VALUES (5), (10), (25), (50)) AS ks(k) WHERE label IS NOT NULL AND label <> 'none' GROUP BY 1",

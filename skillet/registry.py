@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from skillet.operators import queries as data
-from skillet.plans import evaluation, guardrail, lines
+from skillet.plans import evaluation, guardrail, lines, scoring
 from skillet.plans import queries as plans
 
 
 def queries() -> dict:
-    return {**data.QUERIES, **plans.QUERIES, **lines.QUERIES, **evaluation.QUERIES, **guardrail.QUERIES}
+    return {**data.QUERIES, **plans.QUERIES, **lines.QUERIES, **evaluation.QUERIES, **guardrail.QUERIES, **scoring.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**data.SQL, **plans.SQL, **lines.SQL, **evaluation.SQL, **guardrail.sql(plans._NUTRITION, plans._META)}
+    return {**data.SQL, **plans.SQL, **lines.SQL, **evaluation.SQL, **guardrail.sql(plans._NUTRITION, plans._META), **scoring.SQL}
