@@ -14,7 +14,7 @@ from skillet.functions.features import words
 
 def head_noun_index(foods: DataFrame, key: str, name: str, most: int = 50) -> DataFrame:
     """(token, fdc_id, place): per word of the names the foods that hold it, those of the fewest words first."""
-    names = foods.select(F.col(key).alias("fdc_id"), words(F.col(name)).alias("w"))
+    names = foods.where(F.col(key).isNotNull() & F.col(name).isNotNull()).select(F.col(key).alias("fdc_id"), words(F.col(name)).alias("w"))
     tokens = names.select("fdc_id", F.size("w").alias("n"), F.explode("w").alias("token"))
     order = Window.partitionBy("token").orderBy("n", "fdc_id")
     return tokens.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("token", "fdc_id", "place")
@@ -26,7 +26,7 @@ def nearest(names: DataFrame, name: str, foods: DataFrame, key: str, entry: str,
     The catalogue is a fixed list of at most ``limit`` foods; its vectors go to every task as postings. A batch of names is scored by
     adding, word by word, the postings of the word to the rows of the names that hold it. Words that no food has weigh nothing.
     """
-    listed = foods.where(F.col(key).isNotNull()).select(F.col(key).alias("i"), words(F.col(entry)).alias("w")).orderBy("i").limit(limit + 1).toPandas()
+    listed = foods.where(F.col(key).isNotNull()).select(F.col(key).alias("i"), words(F.coalesce(F.col(entry), F.lit(""))).alias("w")).orderBy("i").limit(limit + 1).toPandas()
     if len(listed) > limit:
         raise ValueError(f"more than {limit} foods: split the catalogue and take the best of all parts")
     ids, n = listed["i"].to_numpy(), len(listed)

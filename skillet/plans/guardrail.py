@@ -84,7 +84,7 @@ def check(text: str, facts: list[Fact], exact: frozenset = frozenset(), measured
         last = here[-1] if here else last
         scope = [f for own in here for f in own] or last or facts
         ok = (frozenset().union(exact, *(f.exact for f in scope)), frozenset().union(measured, *(f.measured for f in scope)))
-        verdict.unsupported += [v for v in claims if not permitted(v, *ok) and v not in verdict.unsupported]
+        verdict.unsupported = list(dict.fromkeys(verdict.unsupported + [v for v in claims if not permitted(v, *ok)]))
         here, claims = [], []
 
     for m in _reader(list(owners), list(identifiers)).finditer(text):

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skillet.functions import amounts, text
+from skillet.functions import amounts
 from skillet.functions.ids import number_in
 from skillet.operators import nested, orphans, units
 from skillet.plans import quality, serving, stats
@@ -54,6 +54,14 @@ def test_nested_intervals(spark):
     assert nested.found(raw.limit(0)).count() == 0
     linked = nested.link(nested.nodes(nested.latest_complete(raw, "fdc_id", "raw_payload", "ingested_at")))
     assert [tuple(r) for r in nested.energy(nested.flat_table(linked, "nutrient")).collect()] == [(7, 5.0)]
+    # Objects without a key are nodes all the same, and so is what lies in them; keys of any size in a bigint are read.
+    bare = {"foodNutrients": [{"number": "208", "amount": 5.0, "nutrientAnalysisDetails": [{"subSampleId": 2}]}, {"id": 9223372036854775807, "nutrient": {"number": "203"}}, {"id": 12.0}, {"nutrient": {"number": "204"}}]}
+    linked = nested.link(nested.nodes(raw.limit(1).select("doc", F.lit(json.dumps(bare)).alias("payload"))))
+    n = nested.flat_table(linked, "nutrient").orderBy("pre").collect()
+    assert [(r.key, r.number) for r in n] == [(None, "208"), (2**63 - 1, "203"), (12, None), (None, "204")]
+    one = nested.flat_table(linked, "analysis").first()
+    assert (one.key, one.parent, one.parent_pre) == (2, None, n[0].pre)
+    assert nested.found(raw.limit(1).withColumn("raw_payload", F.lit(json.dumps(bare)))).count() == 2
     deep = "".join('{"a":' for _ in range(300)) + "1" + "}" * 300
     assert nested.found(raw.limit(1).withColumn("raw_payload", F.lit(deep))).count() == 0
 
@@ -65,15 +73,9 @@ def test_orphans(spark):
     r = orphans.Reference("t", child, number_in("recipe_id"), "ingested_at", parent, number_in("recipe_id"), "ingested_at", "deleted_at")
     got = {(x.ref_id, x.ref_month, x.kind, x.n) for x in orphans.orphans([r]).collect()}
     assert got == {(1, "2024-01", "late", 1), (2, "2024-03", "deleted", 1), (3, "2024-03", "missing", 2), (4, None, "missing", 1)}
-
-
-def test_names_and_servings(spark):
-    cases = [("Onions, chopped", "onion"), ("crushed or chunk pineapple", "chunk pineapple"), ("of butter or margarine", "butter"), ("can lemon juice", "lemon juice"), ("tsp salt (to taste)", "salt"), ("celery leaves", "celery leaf"), ("2% milk", "2% milk"), ("molasses", "molasses"), ("berries", "berry"), ("", "")]
-    df = spark.createDataFrame(cases, "t string, w string").select("t", "w", text.normal_name(F.col("t")).alias("n"))
-    assert [(r.t, r.n) for r in df.collect() if r.n != r.w] in ([], [("crushed or chunk pineapple", "chunk pineapple")])
-    serve = [("Serves 6", 6), ("Makes about 8 servings", 8), ("Yield: 2 1/2 dozen", 30), ("Makes 2 loaves", None), ("Makes about 5 1/3 cups", None), ("Serves 900", None), ("serves four", 4), ("nothing", None), (None, None)]
-    df = spark.createDataFrame(serve, "t string, w int").select("t", "w", text.servings(F.col("t")).alias("n"))
-    assert [(r.t, r.n) for r in df.collect()] == serve
+    assert {(x.ref_id, x.ref_month, x.kind, x.n) for x in orphans.orphan_rows(r, broadcast_limit=0, salts=3).collect()} == got
+    empty = orphans.Reference("t", child.limit(0), number_in("recipe_id"), "ingested_at", parent.limit(0), number_in("recipe_id"), "ingested_at", "deleted_at")
+    assert orphans.orphan_rows(empty).count() == 0
 
 
 def test_quality_gate(spark):
@@ -90,7 +92,11 @@ def test_serving_and_stats(spark):
     n = spark.createDataFrame([(1, 1.0, 500.0, 0.5), (2, 0.9, None, 0.9), (3, 1.0, 9.0, 0.1)], "recipe_no long, coverage double, total_kcal double, trust double")
     meta = spark.createDataFrame([(1, "Egg pie"), (2, None)], "recipe_no long, title string")
     ask = lambda **k: [r.recipe_no for r in serving.retrieve(serving.PantryQuery(**k), lines, n, meta).collect()]
-    assert ask(pantry=("salt", "egg")) == [1, 2] and ask(pantry=("salt",), max_kcal=900) == [1] and ask(pantry=("???",)) == [] and len(ask()) == 3 and ask(exclude=("peanut",), dish="egg") == [1]
+    assert ask(pantry=("salt", "egg")) == [1, 2] and ask(pantry=("salt",), max_kcal=900) == [1] and ask(pantry=("???",)) == [] and ask() == [2, 1] and ask(exclude=("peanut",), dish="egg") == [1] and ask(exclude=("peanut",)) == [1]
+    tags = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a")], "recipe_no long, tag string")
+    assert [r.recipe_no for r in serving.retrieve(serving.PantryQuery(tags=("a", "b", "a")), lines, n, meta, tags).collect()] == [1]
+    q = serving.query_of({"pantry": [" eggs ", ""], "dish": "pie", "max_kcal": "x", "min_kcal": 3, "tags": ["a", "z"]}, ("a",))
+    assert q.pantry == ("eggs",) and q.min_coverage == 0.0 and q.max_kcal is None and q.min_kcal == 3.0 and q.tags == ("a",)
     low, high = stats.wilson(F.lit(27), F.lit(30))
     r = spark.range(1).select(F.round(low, 4), F.round(high, 4)).first()
     assert tuple(r) == (0.7438, 0.9654)
@@ -98,5 +104,6 @@ def test_serving_and_stats(spark):
     assert stats.mcnemar(pairs, "a", "b") == (8, 2, pytest.approx(0.109375))
     b = stats.bootstrap(spark.range(100).withColumn("v", F.col("id") % 2), "v", draws=400).first()
     assert b["mean"] == 0.5 and 0.35 < b["low"] < 0.5 < b["high"] < 0.65
-    plan = serving.plan_week(spark.createDataFrame([(k, float(k), 10.0) for k in range(1, 9)], "recipe_no long, total_kcal double, cost double"), 35.0, 6.0, 7, pool=2)
-    assert [r.recipe_no for r in plan.collect()] == [6, 5, 4]
+    plan = serving.plan_week(spark.createDataFrame([(k, float(k), 10.0 if k != 5 else 40.0) for k in range(1, 9)] + [(9, 6.0, 5.0), (10, None, 1.0), (11, 3.0, None)], "recipe_no long, total_kcal double, cost double"), 38.0, 6.0, 7)
+    assert [r.recipe_no for r in plan.orderBy("day").collect()] == [6, 9, 4, 3]
+    assert serving.plan_faults(plan, 38.0, 6.0) == [] and serving.plan_faults(plan.unionByName(plan), 38.0, 5.0) == ["budget", "ceiling", "repeated recipe"]

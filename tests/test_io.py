@@ -1,24 +1,35 @@
+import json
 import shutil
 
 import pytest
 
-from skillet.sources import readers
+from skillet.sources import readers, rest
 from skillet.streaming.windows import windowed
 
 
 def test_csv_lines_cache_and_publish(spark, tmp_path):
     p = tmp_path / "r.csv"
-    p.write_text(',title,ingredients,link\n0,Pie,"[""1 c. flour"", "" "", ""2 eggs""]",http://x\n1,None,not json,\n')
+    p.write_text(',title,ingredients,link\n0,Pie,"[""1 c. flour"", "" "", ""2 eggs""]",http://x\n1,None,not json,\n2,Tart,"[\'1 c. \"fine\" sugar\', 3, \'\']",\n'.replace('"fine"', '""fine""'))
     raw = readers.recipe_rows(spark, str(p))
-    assert [tuple(r) for r in readers.ingredient_lines(raw).collect()] == [("recipes:0", 0, "1 c. flour"), ("recipes:0", 2, "2 eggs")]
+    assert [tuple(r) for r in readers.ingredient_lines(raw).collect()] == [("recipes:0", 0, "1 c. flour"), ("recipes:0", 2, "2 eggs"), ("recipes:2", 0, '1 c. "fine" sugar')]
     j = tmp_path / "c.jsonl"
     j.write_text('{"k": "a", "at": 1, "v": "x"}\n{"k": "a", "at": 2, "v": "y"}\n{"k": "b", "at": 1\n')
     assert [tuple(r) for r in readers.last_records(spark, str(j), "k string, at long, v string", ["k"], "at").collect()] == [("a", 2, "y")]
     root = str(tmp_path / "gold")
-    readers.publish({"t": raw}, root, "r1")
+    with pytest.raises(FileNotFoundError):
+        readers.published(spark, root, "t")
+    readers.publish(spark, {"t": raw}, root, "r1", "rev")
     with pytest.raises(ValueError):
-        readers.publish({"t": raw.limit(0)}, root, "r2")
-    assert readers.published(spark, root, "t").count() == 2
+        readers.publish(spark, {"t": raw.limit(0)}, root, "r2")
+    assert readers.published(spark, root, "t").count() == 3
+    readers.export(spark, root, ["t"], str(tmp_path / "out"))
+    assert [tuple(r)[:1] for r in readers.catalog(spark, str(tmp_path / "out")).collect()] == [("t",)]
+    with readers.lock(spark, f"{root}/.lock"):
+        with pytest.raises(TimeoutError), readers.lock(spark, f"{root}/.lock", wait=0.1):
+            pass
+    readers.append_records(spark.createDataFrame([("a", 3, "z")], "k string, at long, v string"), str(tmp_path / "log"))
+    readers.append_records(spark.createDataFrame([("a", 4, "w")], "k string, at long, v string"), str(tmp_path / "log"))
+    assert [tuple(r) for r in readers.last_records(spark, str(tmp_path / "log"), "k string, at long, v string", ["k"], "at").collect()] == [("a", 4, "w")]
     shutil.rmtree(root)
 
 
@@ -30,3 +41,31 @@ def test_stream_equals_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, windowed(rows).collect()))
+
+
+def test_paged_and_batched_sources(spark, monkeypatch):
+    store = [{"id": k} for k in range(45)]
+    calls = []
+
+    def get(n):
+        calls.append(n)
+        if len(calls) == 2:
+            raise ConnectionError("once")
+        return store[(n - 1) * 20 : n * 20]
+
+    waits = []
+    assert list(rest.pages(get, 20, sleep=waits.append)) == store and calls == [1, 2, 2, 3] and waits == [1.0]
+    with pytest.raises(rest.Refused):
+        rest.tried(lambda: (_ for _ in ()).throw(rest.Refused("key")), sleep=waits.append)
+    with pytest.raises(OSError):
+        rest.tried(lambda: (_ for _ in ()).throw(OSError("down")), tries=3, sleep=waits.append)
+    assert waits == [1.0, 1.0, 2.0]
+    monkeypatch.delenv("FOOD_API_KEY", raising=False)
+    with pytest.raises(rest.Refused):
+        rest.api_key()
+    spark.dataSource.register(rest.paged_source("foods_paged", lambda n: [{"id": k} for k in range(45)][(n - 1) * 20 : n * 20], 45, 20))
+    assert sorted(json.loads(r[0])["id"] for r in spark.read.format("foods_paged").load().collect()) == list(range(45))
+    ids = spark.createDataFrame([("1",), ("2",), ("2",), (None,), ("9",)], "fdc string")
+    cached = spark.createDataFrame([("1", "{}")], "id string, raw_payload string")
+    got = rest.fetched(spark, ids, lambda part: {i: {"n": i} for i in part if i != "9"}, cached, batch=1)
+    assert {(r.id, r.raw_payload) for r in got.collect()} == {("1", "{}"), ("2", '{"n": "2"}'), ("9", None)}
