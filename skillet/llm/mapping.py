@@ -201,7 +201,7 @@ def map_names(names: DataFrame, name: str, reference: DataFrame, key: str, entry
     listed = listed.select("_key", "_w", "_e", "_norm", F.explode("_w").alias("word"))
     fits = listed.limit(200_001).count() <= 200_000
     # An entry that says a word which no token can stand for isn't complete.
-    pairs = asked.join(F.broadcast(listed) if fits else listed.hint("merge"), "word").where(F.size(F.array_except("_w", "_every")) == 0)
+    pairs = asked.join(F.broadcast(listed) if fits else listed.hint("merge"), "word").where((F.size("_w") <= F.size("_every")) & (F.size(F.array_except("_w", "_every")) == 0))
     said = F.transform("_t", lambda t: F.struct(t["free"].alias("free"), t["weight"].alias("weight"), F.array_max(F.transform(F.filter(t["choices"], lambda c: F.size(F.array_except(c["words"], F.col("_w"))) == 0), lambda c: F.struct(c["sim"].alias("sim"), c["words"].alias("words")))).alias("as")))
     # The array keeps the optimizer from working it out again for every use.
     pairs = pairs.select("_name", "_key", "_w", "_e", "_norm", F.explode(F.array(said)).alias("_s"))

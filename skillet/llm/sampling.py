@@ -197,13 +197,10 @@ def unmet(sample: DataFrame, residuals: list[dict], strings: DataFrame, manifest
     return short.join(gaps(strings, manifest, strata), ["manifest_id", "stratum"], "left_semi")
 
 
-def manifest_rows(manifest: DataFrame, strata: tuple[str, ...], others: list[dict] = (), limit: int = 10_000) -> list[dict]:
-    """The manifests as ``draw`` takes them; ``others`` are the targets of further margins. At most ``limit`` manifests."""
-    rows = demands(manifest, strata).limit(limit * len(strata) + 1).collect()
-    if len(rows) > limit * len(strata):
-        raise ValueError(f"more than {limit} manifests")
+def manifest_rows(manifest: DataFrame, strata: tuple[str, ...], others: list[dict] = ()) -> list[dict]:
+    """The manifests as ``draw`` takes them; ``others`` are the targets of further margins. The table of manifests is fixed and read whole."""
     by: dict = {}
-    for r in rows:
+    for r in demands(manifest, strata).collect():
         m = by.setdefault(r["manifest_id"], {"id": r["manifest_id"], "seed": r["seed"] or 0, "total": int(r["total"] or 0), "minimum": int(r["min_per_stratum"] or 0), "targets": [{}, *others]})
         m["targets"][0][r["stratum"]] = r["share"]
     return list(by.values())
