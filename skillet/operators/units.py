@@ -32,15 +32,12 @@ def _then(f: tuple[float, float], g: tuple[float, float]) -> tuple[float, float]
     return f[0] * g[0], f[1] * g[0] + g[1]
 
 
-def compose(edges: list[Edge], limit: int = 2_000) -> dict[tuple[str, str], tuple[float, float, int]]:
+def compose(edges: list[Edge]) -> dict[tuple[str, str], tuple[float, float, int]]:
     """(source, target) -> (scale, offset, steps) along a shortest path; edges also count backwards.
 
-    The graph is walked on the driver: it holds units, not data, and more than
-    ``limit`` edges are refused. Among equally short paths the one that comes
+    The graph is walked on the driver: it holds units, not data. Among equally short paths the one that comes
     first by name is taken. An edge of scale 0 can't be turned back and raises.
     """
-    if len(edges) > limit:
-        raise ValueError(f"{len(edges)} edges; at most {limit} units conversions are walked on the driver")
     out: dict[str, dict[str, tuple[float, float]]] = defaultdict(dict)
     for e in edges:
         if e.scale == 0:

@@ -1,7 +1,7 @@
 """Numbers in written answers held against the facts that they may quote.
 
-An answer is read once from left to right. Names of recipes, list markers, numbers and ends of sentences come out
-of one pattern; each sentence is judged when it ends, against the recipes that it names, else against the
+An answer is read once from left to right. Names of recipes are found first and blotted out, so that no figure in them
+counts; list markers, numbers and ends of sentences then come out of one pattern. Each sentence is judged when it ends, against the recipes that it names, else against the
 last one named before, else against all of them.
 """
 
@@ -58,16 +58,43 @@ def permitted(value: float, exact: frozenset, measured: frozenset) -> bool:
     return value in exact or any(abs(value - m) <= TOLERANCE * max(abs(m), 1.0) for m in measured)
 
 
-def _reader(names: list[str], identifiers: list[str]) -> re.Pattern:
-    either = lambda words: "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w))) or r"(?!)"
-    # Purely numeric identifiers hide nothing: the figure could be a claim.
-    hidden = [i for i in identifiers if i and not i.isdigit()]
-    return re.compile(rf"(?P<name>(?i:{either(names)}))|(?P<hidden>{either(hidden)})|(?m:^)[\s>*-]*(?P<marker>\d{{1,2}})[.)]\s|(?P<number>\d[\d,]*(?:\.\d+)?|\.\d+)|(?P<end>(?<=[.!?;:])\s+|\n+)")
+_SIGNS = re.compile(r"(?m:^)[\s>*-]*(?P<marker>\d{1,2})[.)]\s|(?P<number>\d[\d,]*(?:\.\d+)?|\.\d+)|(?P<end>(?<=[.!?;:])\s+|\n+)")
+
+
+def _lower(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _blotted(text: str, names: list[str], identifiers: tuple[str, ...]) -> tuple[str, list[tuple[int, str]]]:
+    """(text without the figures in names and identifiers, (place, name) of each name): from the left, the longest first, none within another.
+
+    Names count in any case. What consists of digits only hides nothing: the figure could be a claim.
+    """
+    low, spans = _lower(text), []
+    for where, word, is_name in [(low, n, True) for n in names] + [(text, i, False) for i in identifiers if not i.isdigit()]:
+        at = where.find(word) if word else -1
+        while at >= 0:
+            spans.append((at, -len(word), word if is_name else None))
+            at = where.find(word, at + 1)
+    out, named, end = list(text), [], 0
+    for at, size, word in sorted(spans, key=lambda x: x[:2]):
+        if at < end:
+            continue
+        end = at - size
+        if word is not None:
+            named.append((at, word))
+        if word is None or not word.isdigit():
+            for k in range(at, end):
+                if out[k].isalnum():
+                    out[k] = "x"
+    return "".join(out), named
 
 
 def numbers(text: str, identifiers: tuple[str, ...] = ()) -> list[float]:
     """All figures of a text in order, but for those inside identifiers."""
-    found = ((m.group("number") or m.group("marker")) for m in _reader([], list(identifiers)).finditer(text))
+    found = ((m.group("number") or m.group("marker")) for m in _SIGNS.finditer(_blotted(text, [], identifiers)[0]))
     return [float(n.replace(",", "")) for n in found if n]
 
 
@@ -76,30 +103,31 @@ def check(text: str, facts: list[Fact], exact: frozenset = frozenset(), measured
     owners: dict[str, list[Fact]] = {}
     for f in facts:
         for n in f.names:
-            owners.setdefault(n.lower(), []).append(f)
-    verdict, here, claims, last = Verdict(), [], [], []
-
-    def judge() -> None:
-        nonlocal here, claims, last
+            owners.setdefault(_lower(n), []).append(f)
+    plain, named = _blotted(text, list(owners), identifiers)
+    verdict, claims, last, k = Verdict(), [], [], 0
+
+    def judge(end: int) -> None:
+        """The sentence that ends here, with the names that begin in it."""
+        nonlocal claims, last, k
+        here = []
+        while k < len(named) and named[k][0] < end:
+            here.append(owners[named[k][1]])
+            k += 1
         last = here[-1] if here else last
         scope = [f for own in here for f in own] or last or facts
         ok = (frozenset().union(exact, *(f.exact for f in scope)), frozenset().union(measured, *(f.measured for f in scope)))
         verdict.unsupported = list(dict.fromkeys(verdict.unsupported + [v for v in claims if not permitted(v, *ok)]))
-        here, claims = [], []
-
-    for m in _reader(list(owners), list(identifiers)).finditer(text):
-        kind = m.lastgroup
-        if kind == "end":
-            judge()
-        elif kind == "marker":
-            verdict.checked += 1
-        else:
-            if kind == "name":
-                here.append(owners[m.group().lower()])
-            if kind == "number" or kind == "name" and m.group().isdigit():
-                verdict.checked += 1
-                claims.append(float(m.group().replace(",", "")))
-    judge()
+        claims = []
+
+    for m in _SIGNS.finditer(plain):
+        if m.lastgroup == "end":
+            judge(m.end())
+            continue
+        verdict.checked += 1
+        if m.lastgroup == "number":
+            claims.append(float(m.group("number").replace(",", "")))
+    judge(len(text) + 1)
     return verdict
 
 
