@@ -188,8 +188,28 @@ named AS (SELECT fdc_id, portion_id, CASE WHEN long THEN {_map(weights.LONG_MEAS
   nullif(array_to_string(list_filter([nullif(CASE WHEN long THEN regexp_extract(head, '^({_LONG})(?: +(.*))?$', 2) WHEN takes THEN more END, ''), tail, remark], lambda x: x IS NOT NULL), ', '), '') AS qualifier, CASE WHEN a > 0 AND g > 0 THEN round(g / a, 4) END AS grams FROM taken),
 usable AS (SELECT * FROM named WHERE measure IS NOT NULL AND grams IS NOT NULL)"""
 
+# Problem 2. RE2 has no look-around, so what may stand before and after an amount is matched with it.
+_AMOUNT = "(?:^|[^a-z0-9/.,])" + amounts.AMOUNT.removeprefix("(?<![a-z0-9/.,])").removesuffix("(?![a-z])") + "(?:$|[^a-z])"
+_WEIGHED = rf"""
+WITH {_PORTIONS}, per_unit AS (
+  SELECT thing, base, unit, median(g / coalesce(CASE WHEN lead <> '' THEN {number_sql("lead")} END, 1) / scale) AS own FROM formed JOIN {_UNITS} USING (form) WHERE base <> 'gram' GROUP BY 1, 2, 3
+), per_base AS (SELECT thing, base, median(own) AS other FROM per_unit GROUP BY 1, 2),
+texts AS (
+  SELECT recipe_id, line_index, lower(trim(normalized_text)) AS thing, quantity, unit AS u, CASE WHEN length(coalesce(ingredient_text, normalized_text)) > 0 THEN replace(lower(line_raw), lower(coalesce(ingredient_text, normalized_text)), ' ') ELSE lower(line_raw) END AS rest FROM recipe_ingredient_lines
+), read AS (
+  SELECT *, nullif(regexp_extract(rest, '{_AMOUNT}', 1), '') AS n, nullif(regexp_extract(rest, '{_AMOUNT}', 2), '') AS size, {_form_sql(f"nullif(regexp_extract(rest, '{_AMOUNT}', 3), '')")} AS written FROM texts
+), amounts AS (
+  SELECT recipe_id, line_index, thing, coalesce({number_sql("n")}, CASE WHEN written IS NULL THEN quantity END) * CASE WHEN size IS NULL THEN 1 ELSE {number_sql("size")} END AS n, coalesce(written, {_form_sql("u")}) AS form FROM read WHERE written IS NOT NULL OR u IS NOT NULL
+), weighed_lines AS (
+  SELECT recipe_id, line_index, units.unit, units.base, CASE WHEN units.base = 'gram' THEN n * scale ELSE n * scale * coalesce(own, other) END AS grams
+  FROM amounts JOIN {_UNITS} USING (form) LEFT JOIN per_unit ON per_unit.thing = amounts.thing AND per_unit.base = units.base AND per_unit.unit = units.unit LEFT JOIN per_base ON per_base.thing = amounts.thing AND per_base.base = units.base
+  WHERE n IS NOT NULL
+)"""
+
 QUERIES = {f.__name__: f for f in (parsed_lines, normal_names, recipe_servings, grams_by_line, portions_parsed, portion_medians, gram_accuracy)}
 SQL = {
+    "p2_coverage": _WEIGHED + " SELECT unit, base, count(*) AS n_lines, count(grams) AS n_weighed FROM weighed_lines GROUP BY 1, 2",
+    "p2_found": _WEIGHED + f", noted AS (SELECT {_R} AS recipe_no, line_index, grams AS recorded FROM recipe_ingredient_grams WHERE grams IS NOT NULL AND NOT isnan(grams)), lines AS (SELECT {_R} AS recipe_no, line_index, grams FROM weighed_lines WHERE grams IS NOT NULL) SELECT DISTINCT recipe_no, line_index FROM lines JOIN noted USING (recipe_no, line_index) WHERE recorded > 2 * grams OR recorded < grams / 2",
     "parsed_lines": "WITH " + PARSED_SQL.replace("SOURCE", "recipe_ingredient_lines") + f" SELECT {_R} AS recipe_no, line_index, quantity, unit, ingredient_text FROM parsed",
     "normal_names": _NAMES,
     "grams_by_line": _GRAMS,
