@@ -107,6 +107,22 @@ QUERIES = {
     )
 }
 
+_ALLOTTED = """
+WITH have AS (
+  SELECT lower(trim(frequency_stratum)) AS stratum, count(DISTINCT normalized_text) AS n FROM distinct_ingredient_strings WHERE lower(trim(frequency_stratum)) IN ('head', 'mid', 'tail') GROUP BY 1
+), parts AS (
+  SELECT manifest_id, coalesce(total, 0) AS total, coalesce(min_per_stratum, 0) AS least, s.stratum, coalesce(s.part, 0) AS part, sum(coalesce(s.part, 0)) OVER (PARTITION BY manifest_id) AS whole
+  FROM manifest, LATERAL (VALUES ('head', per_stratum.head), ('mid', per_stratum.mid), ('tail', per_stratum.tail)) AS s(stratum, part)
+  WHERE manifest_id IS NOT NULL
+), wish AS (
+  SELECT manifest_id, parts.stratum, total * coalesce(part / nullif(whole, 0), 0) AS goal, least, coalesce(n, 0) AS holds, n IS NOT NULL AS known FROM parts LEFT JOIN have USING (stratum)
+), whole AS (
+  SELECT *, least(floor(least(goal, holds) + 1e-9), holds) AS base, least(goal, holds) AS capped FROM wish
+), spare AS (
+  SELECT *, floor(sum(capped) OVER (PARTITION BY manifest_id) + 0.5) - sum(base) OVER (PARTITION BY manifest_id) AS spare,
+    row_number() OVER (PARTITION BY manifest_id, base < holds ORDER BY base - capped, stratum) AS place FROM whole
+), allotted AS (SELECT manifest_id, stratum AS category, greatest(goal, least::DOUBLE) AS asked, CAST(greatest(base + CASE WHEN base < holds AND place <= spare THEN 1 ELSE 0 END, least(least, holds)) AS BIGINT) AS drawn FROM spare)
+"""
 _TOP = """
 WITH best AS (
   SELECT normalized_text, fdc_id, max(cosine_search) AS cosine_search FROM ingredient_candidates
@@ -125,22 +141,21 @@ WITH have AS (
 )
 SELECT manifest_id, wish.stratum FROM wish LEFT JOIN have ON have.stratum = wish.stratum WHERE coalesce(n, 0) < asked - 1e-9
 """,
-    "p4_residuals": """
-WITH have AS (
-  SELECT lower(trim(frequency_stratum)) AS stratum, count(DISTINCT normalized_text) AS n FROM distinct_ingredient_strings WHERE lower(trim(frequency_stratum)) IN ('head', 'mid', 'tail') GROUP BY 1
-), parts AS (
-  SELECT manifest_id, coalesce(total, 0) AS total, coalesce(min_per_stratum, 0) AS least, s.stratum, coalesce(s.part, 0) AS part, sum(coalesce(s.part, 0)) OVER (PARTITION BY manifest_id) AS whole
-  FROM manifest, LATERAL (VALUES ('head', per_stratum.head), ('mid', per_stratum.mid), ('tail', per_stratum.tail)) AS s(stratum, part)
-  WHERE manifest_id IS NOT NULL
-), wish AS (
-  SELECT manifest_id, parts.stratum, total * coalesce(part / nullif(whole, 0), 0) AS goal, least, coalesce(n, 0) AS holds, n IS NOT NULL AS known FROM parts LEFT JOIN have USING (stratum)
-), whole AS (
-  SELECT *, least(floor(least(goal, holds) + 1e-9), holds) AS base, least(goal, holds) AS capped FROM wish
-), spare AS (
-  SELECT *, floor(sum(capped) OVER (PARTITION BY manifest_id) + 0.5) - sum(base) OVER (PARTITION BY manifest_id) AS spare,
-    row_number() OVER (PARTITION BY manifest_id, base < holds ORDER BY base - capped, stratum) AS place FROM whole
+    "p4_residuals": _ALLOTTED + "SELECT manifest_id, category, asked, drawn FROM allotted",
+    "p4_sample": _ALLOTTED + """, strings AS (SELECT DISTINCT normalized_text, lower(trim(frequency_stratum)) AS stratum FROM distinct_ingredient_strings WHERE normalized_text IS NOT NULL),
+placed AS (
+  SELECT manifest_id, normalized_text, stratum, drawn, row_number() OVER (PARTITION BY manifest_id, stratum ORDER BY -ln((('0x' || substr(md5(coalesce(seed, 0) || '|' || normalized_text), 1, 13))::BIGINT + 0.5) / 4503599627370496.0), normalized_text) AS place
+  FROM allotted JOIN strings ON strings.stratum = allotted.category JOIN manifest USING (manifest_id)
 )
-SELECT manifest_id, stratum AS category, greatest(goal, least::DOUBLE) AS asked, CAST(greatest(base + CASE WHEN base < holds AND place <= spare THEN 1 ELSE 0 END, least(least, holds)) AS BIGINT) AS drawn FROM spare
+SELECT manifest_id, normalized_text, stratum FROM placed WHERE place <= drawn
+""",
+    "p9_found": r"""
+WITH texts AS (SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'i', item_id, coalesce(text, '') FROM eval_items),
+bare AS (SELECT kind, id, regexp_replace(regexp_replace(t, '(?i)</?(?:a|b|i|u|em|strong|span|mark|small|sub|sup|font|code)(?:\s[^<>]*)?>', '', 'g'), '</?[A-Za-z!][^<>]*>|&(?:[a-zA-Z]+|#\d+);', ' ', 'g') AS t FROM texts),
+plain AS (SELECT kind, id, replace(replace(strip_accents(regexp_replace(lower(t), '[\p{Mn}\p{Cf}]', '', 'g')), 'ß', 'ss'), 'æ', 'ae') AS t FROM bare),
+words AS (SELECT kind, id, list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM plain WHERE id IS NOT NULL),
+runs AS (SELECT kind, id, unnest(list_transform(range(1, greatest(len(w) - 8, 1)), lambda k: array_to_string(w[k : k + 9], ' '))) AS run FROM words)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM runs d JOIN runs i ON d.kind = 'd' AND i.kind = 'i' AND d.run = i.run
 """,
     "p6_found": _TOP + "SELECT normalized_text, fdc_id FROM ranked WHERE place <= 5",
     "p6_top": _TOP + "SELECT normalized_text, fdc_id, cosine_search, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 5",

@@ -164,8 +164,9 @@ def draw(items: DataFrame, key: str, margins: list[Column], manifest_rows: list[
     schema = "manifest_id string, seed bigint, " + ", ".join(f"{n} string" for n in names) + ", n bigint, w double, low double, high double"
     # One row per manifest and cell, so broadcast.
     wanted = spark.createDataFrame(plan, schema)
-    # 53 bits of hash make u, which lies strictly between 0 and 1.
-    u = (F.shiftrightunsigned(F.xxhash64("seed", "item"), 11).cast("double") + 0.5) / F.lit(float(2**53))
+    # 52 bits of hash make u, which lies strictly between 0 and 1.
+    digits = F.substring(F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), F.col("item"))), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
     keyed = base.join(F.broadcast(wanted), names).withColumn("_key", -F.log(u) / F.col("w"))
     cell, columns = ["manifest_id", *names], ["manifest_id", "item", *names]
     held = keyed.groupBy(*cell, "n").agg(F.count_if(F.col("_key") < F.col("low")).alias("_sure"), F.count_if(F.col("_key") < F.col("high")).alias("_near"))
