@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skillet.session import durable
+
 
 def rake(cells: dict[tuple, float], targets: list[dict], rounds: int = 200, tolerance: float = 1e-9) -> dict[tuple, float]:
     """Weights of cells whose margins are ``targets``, by iterative proportional fitting.
@@ -169,14 +171,22 @@ def draw(items: DataFrame, key: str, margins: list[Column], manifest_rows: list[
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
     keyed = base.join(F.broadcast(wanted), names).withColumn("_key", -F.log(u) / F.col("w"))
     cell, columns = ["manifest_id", *names], ["manifest_id", "item", *names]
-    held = keyed.groupBy(*cell, "n").agg(F.count_if(F.col("_key") < F.col("low")).alias("_sure"), F.count_if(F.col("_key") < F.col("high")).alias("_near"))
-    held = held.withColumn("_missed", (F.col("_sure") > F.col("n")) | (F.col("_near") < F.col("n"))).drop("n")
-    rows = keyed.join(F.broadcast(held), cell)
-    sure = rows.where(~F.col("_missed") & (F.col("_key") < F.col("low")))
-    between = rows.where(F.col("_missed") | (F.col("_key") >= F.col("low")) & (F.col("_key") < F.col("high")))
+    # About as many rows as are drawn; the others go where they are read.
+    near = durable(keyed.where(F.col("_key") < F.col("high")).select(*columns, "n", "low", "_key"))
+    held = near.groupBy(*cell).agg(F.count_if(F.col("_key") < F.col("low")).alias("_sure"), F.count("*").alias("_near"))
+    # One row per manifest and cell at most, and hardly ever any.
+    missed = wanted.join(held, cell, "left").where((F.coalesce("_sure", F.lit(0)) > F.col("n")) | (F.coalesce("_near", F.lit(0)) < F.col("n"))).select(*cell).collect()
     place = F.row_number().over(Window.partitionBy(*cell).orderBy("_key", "item"))
-    edge = between.withColumn("_r", place).where(F.col("_r") <= F.col("n") - F.when(F.col("_missed"), 0).otherwise(F.col("_sure")))
-    return sure.select(*columns).unionByName(edge.select(*columns)), residuals
+    failed = spark.createDataFrame(missed, wanted.select(*cell).schema)
+    rest = near.join(F.broadcast(failed), cell, "left_anti") if missed else near
+    sure = rest.where(F.col("_key") < F.col("low"))
+    between = rest.where(F.col("_key") >= F.col("low")).join(F.broadcast(held), cell)
+    edge = between.withColumn("_r", place).where(F.col("_r") <= F.col("n") - F.col("_sure"))
+    drawn = sure.select(*columns).unionByName(edge.select(*columns))
+    if missed:
+        whole = keyed.join(F.broadcast(failed), cell).withColumn("_r", place).where(F.col("_r") <= F.col("n"))
+        drawn = drawn.unionByName(whole.select(*columns))
+    return drawn, residuals
 
 
 def _key_below(n: float, of: float, w: float) -> float:
