@@ -83,12 +83,23 @@ class Runs:
         return (n > 0) & (2 * n >= sizes)
 
 
-def solve(xh: np.ndarray, hh: np.ndarray, steps: int) -> np.ndarray:
-    """Mixtures W >= 0 for which W H comes closest to the rows, by multiplicative updates; ``xh`` is X H^T, ``hh`` H H^T."""
-    w = np.full_like(xh, 1.0 / max(1, xh.shape[1]))
-    for _ in range(steps):
-        w *= xh / (w @ hh + 1e-9)
-    return w
+def solve(xh: np.ndarray, hh: np.ndarray, steps: int, block: int = 2_048) -> np.ndarray:
+    """Mixtures W >= 0 for which W H comes closest to the rows, by multiplicative updates; ``xh`` is X H^T, ``hh`` H H^T.
+
+    Rows don't hang on one another; they are taken in blocks that stay in the cache through all steps, one column after another.
+    """
+    n, k = xh.shape
+    w = np.full((k, n), 1.0 / max(1, k))
+    for at in range(0, n, block):
+        x, part = np.ascontiguousarray(xh[at : at + block].T), w[:, at : at + block].copy()
+        below = np.empty_like(part)
+        for _ in range(steps):
+            np.matmul(hh, part, out=below)
+            below += 1e-9
+            np.divide(x, below, out=below)
+            part *= below
+        w[:, at : at + block] = part
+    return np.ascontiguousarray(w.T)
 
 
 def _rows(row: np.ndarray, term: np.ndarray, idf: np.ndarray, size: int, n: int, weight: np.ndarray | None = None):
