@@ -68,10 +68,14 @@ class Runs:
         codes = Codes()
         found = [_mix(tokens([t], codes)[0]) for t in texts]
         self.hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        self.some = np.zeros(1 << 20, bool)
+        self.some[self.hashes >> np.uint64(44)] = True
 
     def made_of(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Per sentence whether at least half of its words lie in runs; ``words`` of all sentences one after another."""
-        hit = np.flatnonzero(np.isin(_mix(words), self.hashes))
+        mixed = _mix(words)
+        hit = np.flatnonzero(self.some[mixed >> np.uint64(44)])
+        hit = hit[np.isin(mixed[hit], self.hashes)]
         if not len(hit):
             return np.zeros(len(sizes), bool)
         sentence = np.repeat(np.arange(len(sizes)), sizes)
@@ -147,11 +151,21 @@ class Columns:
     def __init__(self, often: np.ndarray, buckets: int, evidence: np.ndarray | None = None):
         self.often, self.buckets, self.evidence = np.sort(often), buckets, evidence
         self.size = len(often) + buckets
+        # Most terms are found by the low bits of their hash; what another term hides there is looked for in order.
+        self.mask = (1 << min(22, max(12, (8 * len(often)).bit_length()))) - 1
+        self.slot = np.zeros(self.mask + 1, np.int32)
+        self.slot[self.often & self.mask] = np.arange(len(often))
 
     def of(self, terms: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.often, terms)
-        own = self.often[np.minimum(at, max(0, len(self.often) - 1))] == terms if len(self.often) else np.zeros(len(terms), bool)
-        return np.where(own, at, len(self.often) + terms % self.buckets)
+        if not len(self.often):
+            return terms % self.buckets
+        at = self.slot[terms & self.mask].astype(np.int64)
+        lost = np.flatnonzero(self.often[at] != terms)
+        if len(lost):
+            t = terms[lost]
+            near = np.minimum(np.searchsorted(self.often, t), len(self.often) - 1)
+            at[lost] = np.where(self.often[near] == t, near, len(self.often) + t % self.buckets)
+        return at
 
     def languages(self, b: pa.RecordBatch, terms: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The language of each document of a batch; where none is known, the one whose documents hold its terms most often."""
