@@ -42,6 +42,11 @@ def agreement_by_description(s: SparkSession, d: str) -> DataFrame:
     return stats.krippendorff(same).withColumn("alpha", F.round("alpha", 6))
 
 
+def agreement_interval(s: SparkSession, d: str) -> DataFrame:
+    """The interval of Krippendorff's alpha."""
+    return stats.krippendorff_interval(_answers(s, d)).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 def annotator_agreement(s: SparkSession, d: str) -> DataFrame:
     """How often each annotator gives the majority's answer, by id and by description, with the interval of the latter."""
     won = majority(_answers(s, d)).where("label is not null").select("item", F.col("label").alias("won"))
@@ -256,7 +261,7 @@ def band_distribution(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        agreement_by_description, annotator_agreement, top1_accuracy, score_reliability, resolvers_compared, threshold_fit, nomatch_floor, threshold_cross_validated,
+        agreement_by_description, agreement_interval, annotator_agreement, top1_accuracy, score_reliability, resolvers_compared, threshold_fit, nomatch_floor, threshold_cross_validated,
         coverage_curve, accuracy_at_target, pair_features, same_food_spread, gold_sample, relabel_draw, pending_disagreements, label_targets, shuffled_candidates,
         food_search, example_lines, undecided_top, grams_summary, top_units, recipe_steps, band_distribution,
     )
@@ -267,6 +272,11 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[-,\\s]+')
 _PLAIN = "[" + ", ".join(f"'{w}'" for w in features.PLAIN_MODIFIERS) + "]"
 _TAIL = "list_filter(regexp_split_to_array(CASE WHEN contains(description_raw, ',') THEN regexp_replace(lower(description_raw), '^[^,]*,', '') ELSE '' END, '[-,\\s]+'), lambda w: w <> '')"
 SQL = {
+    "agreement_interval": f"""WITH {ANSWERS_SQL}, counts AS (SELECT item, label, count(*) AS c FROM answers GROUP BY 1, 2), per AS (SELECT item, sum(c) AS n, sum(c * c) AS sq FROM counts GROUP BY 1 HAVING sum(c) > 1),
+u AS (SELECT item, n, sq, d, ('0x' || substr(md5(item || '|' || d), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM per, range(200) AS r(d)),
+w AS (SELECT *, len(list_filter({list(stats.POISSON)}::DOUBLE[], lambda p: u >= p)) AS w FROM u), i AS (SELECT d, sum(w * (n * n - sq)::DOUBLE / (n - 1)) AS differ, sum(w * n)::DOUBLE AS n FROM w GROUP BY 1),
+l AS (SELECT d, sum(c * c)::DOUBLE AS sq FROM (SELECT d, label, sum(w * c)::DOUBLE AS c FROM w JOIN counts USING (item) GROUP BY 1, 2) GROUP BY 1), a AS (SELECT 1 - differ / ((n * n - sq) / (n - 1)) AS alpha FROM i JOIN l USING (d))
+SELECT round(quantile_cont(alpha, 0.025), 6) AS low, round(quantile_cont(alpha, 0.975), 6) AS high FROM a""",
     "agreement_by_description": f"""WITH {ANSWERS_SQL}, {_FOODS_SQL}, named AS (SELECT item, coalesce(description_raw, a.label) AS label FROM answers a LEFT JOIN foods USING (label)),
 counts AS (SELECT item, label, count(*) AS c FROM named GROUP BY 1, 2), per AS (SELECT item, sum(c) AS n, sum(c * c) AS sq FROM counts GROUP BY 1 HAVING sum(c) > 1),
 obs AS (SELECT sum((n * n - sq)::DOUBLE / (n - 1)) AS differ, sum(n)::DOUBLE AS n, count(*) AS n_items FROM per), lab AS (SELECT sum(c * c)::DOUBLE AS sq FROM (SELECT label, sum(c) AS c FROM counts JOIN per USING (item) GROUP BY 1))

@@ -272,6 +272,7 @@ known AS (SELECT *, list_filter([total_kcal, kcal_per_100g, total_grams, total_p
   FROM pairs WHERE len(list_filter(figures, lambda x: x IS NULL)) = 0
 )"""
     return {
+        "_judged": judged,
         "recipe_facts": facts + " SELECT recipe_no, name, n_lines, n_counted, total_kcal, kcal_per_100g, total_grams, total_protein_g, coverage, len(measured)::BIGINT AS n_measured FROM known",
         "guardrail_check": judged + " SELECT recipe_no, kind, checked::BIGINT AS checked, len(bad)::BIGINT AS n_unsupported, round(coalesce(list_sum(bad), 0), 2) AS total FROM judged",
         "guardrail_rates": judged + ", c AS (SELECT kind, count(*) AS n, count(*) FILTER (WHERE len(bad) > 0) AS n_caught FROM judged GROUP BY 1), p AS (SELECT *, n::DOUBLE AS m, n_caught / n::DOUBLE AS p FROM c) SELECT kind, n, n_caught, round(greatest(((p + 3.8416 / (2 * m)) - 1.96 * sqrt(p * (1 - p) / m + 3.8416 / (4 * m * m))) / (1 + 3.8416 / m), 0), 6) AS low, round(least(((p + 3.8416 / (2 * m)) + 1.96 * sqrt(p * (1 - p) / m + 3.8416 / (4 * m * m))) / (1 + 3.8416 / m), 1), 6) AS high FROM p",

@@ -199,3 +199,31 @@ def krippendorff(answers: DataFrame) -> DataFrame:
     n, differ = F.col("n_answers").cast("double"), F.col("differ")
     chance = (n * n - F.col("sq")) / (n - 1)
     return observed.crossJoin(labels).select(F.when(n.isNull(), None).when(chance == 0, 1.0).otherwise(1 - differ / F.nullif(chance, F.lit(0.0))).alias("alpha"), "n_items", F.coalesce("n_answers", F.lit(0)).alias("n_answers"))
+
+
+#: P(X <= k) of the Poisson distribution of mean 1, for k from 0.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
+
+def krippendorff_interval(answers: DataFrame, draws: int = 200) -> DataFrame:
+    """One row (low, high): the percentile interval of Krippendorff's alpha over resampled items.
+
+    An item enters a draw a Poisson(1) number of times, told by the hash of item and draw, so draws can be repeated and
+    the items are resampled where they lie: only sums per draw and label are shuffled.
+    """
+    counts = answers.groupBy("item", "label").agg(F.count("*").alias("c"))
+    per = counts.groupBy("item").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("n > 1")
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        u = F.conv(F.substring(F.md5(F.concat_ws("|", "item", F.col("d").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+        times = F.lit(0)
+        for p in POISSON:
+            times = times + F.when(u >= p, 1).otherwise(0)
+        return rows.withColumn("w", times).where("w > 0")
+
+    items = drawn(per).groupBy("d").agg(F.sum(F.col("w") * (F.col("n") * F.col("n") - F.col("sq")) / (F.col("n") - 1)).alias("differ"), F.sum(F.col("w") * F.col("n")).cast("double").alias("n"))
+    labels = drawn(counts.join(per.select("item"), "item")).groupBy("d", "label").agg(F.sum(F.col("w") * F.col("c")).alias("c")).groupBy("d").agg(F.sum(F.col("c") * F.col("c")).alias("sq"))
+    chance = (F.col("n") * F.col("n") - F.col("sq")) / (F.col("n") - 1)
+    alpha = items.join(labels, "d").select(F.when(chance == 0, 1.0).otherwise(1 - F.col("differ") / F.nullif(chance, F.lit(0.0))).alias("alpha"))
+    return alpha.agg(F.percentile("alpha", 0.025).alias("low"), F.percentile("alpha", 0.975).alias("high"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from skillet.operators import queries as data
-from skillet.plans import evaluation, guardrail, lines, scoring
+from skillet.plans import answers, evaluation, guardrail, lines, scoring
 from skillet.plans import queries as plans
 
+MODULES = (data, plans, lines, evaluation, guardrail, scoring, answers)
+
 
 def queries() -> dict:
-    return {**data.QUERIES, **plans.QUERIES, **lines.QUERIES, **evaluation.QUERIES, **guardrail.QUERIES, **scoring.QUERIES}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**data.SQL, **plans.SQL, **lines.SQL, **evaluation.SQL, **guardrail.sql(plans._NUTRITION, plans._META), **scoring.SQL}
+    held = guardrail.sql(plans._NUTRITION, plans._META)
+    judged = held.pop("_judged")
+    return {**data.SQL, **plans.SQL, **lines.SQL, **evaluation.SQL, **held, **scoring.SQL, **answers.sql(judged)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from skillet.functions.answers import last_answers, majority
 from skillet.operators import candidates
-from skillet.plans import quality, scoring, stats
+from skillet.plans import answers, quality, scoring, stats
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -118,3 +118,23 @@ def test_queries_answer_their_sql_on_small_tables(spark):
         assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want), name
         key = lambda r: tuple("" if pd.isna(v) else f"{v:.6f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v) for v in r)
         assert sorted(map(key, got[sorted(got.columns)].itertuples(index=False))) == sorted(map(key, want[sorted(want.columns)].itertuples(index=False))), name
+
+
+def test_alpha_and_its_interval(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"i{k}", str(k % 5) if rng.random() < 0.8 else str(rng.integers(0, 5))) for k in range(200) for _ in range(3)]
+    df = spark.createDataFrame(rows, "item string, label string")
+    a, i = stats.krippendorff(df).first(), stats.krippendorff_interval(df).first()
+    assert i.low < a.alpha < i.high and i.high - i.low < 0.25
+    assert tuple(stats.krippendorff_interval(df.limit(0)).first()) == (None, None)
+
+
+def test_shown_texts_and_findings(spark):
+    pairs = [("egg", 0.5, "Egg, whole, raw", False, True), ("egg", 0.6, "Eggnog", False, True), ("dream whip", 0.7, "Taro, raw", False, True), ("flour", 0.5, "Wheat flour, white", True, False), ("", 0.1, "Egg, raw", False, True)]
+    df = spark.createDataFrame(pairs, "n string, c double, d string, low boolean, has boolean")
+    got = [round(r[0], 6) for r in df.select(answers.display_score(*[F.col(x) for x in ("n", "c", "d", "low", "has")])).collect()]
+    assert got == [pytest.approx(x) for x in (1.29, 0.6, 0.7, 0.71, 0.1)]
+    assert spark.range(1).select(answers.safe(F.lit("a <b> & 'c'"))).first()[0] == "a &lt;b&gt; &amp; 'c'"
+    rows = spark.createDataFrame([("not_null", "t.c", "error", 3), ("unique", "t.d", "error", 9)], "trigger string, subject string, severity string, n long")
+    first, second = answers.findings_of(rows)
+    assert first.plain() == "unique on t.d (error): rows 9." and second.checked("not_null on t.c holds for all but 3 rows.").passed and not second.checked("4 rows").passed
