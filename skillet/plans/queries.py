@@ -13,6 +13,7 @@ from skillet.plans import gold, quality, serving, stats
 from skillet.plans.evaluation import ANSWERS_SQL
 from skillet.session import durable
 from skillet.session import table as T
+from skillet.sources import ingest, readers
 
 _NO = "try_cast(nullif(regexp_replace({}, '[^0-9]', '', 'g'), '') AS BIGINT)"
 _R, _F = _NO.format("recipe_id"), _NO.format("fdc_id")
@@ -309,8 +310,18 @@ def median_of_shares(s: SparkSession, d: str) -> DataFrame:
 
 
 def jsonl_last_wins(s: SparkSession, d: str) -> DataFrame:
-    last = T(s, d, "ensemble").groupBy("normalized_text", "annotator").agg(F.max(F.struct("judged_at", F.coalesce("fdc_id", F.lit("")).alias("fdc_id"))).alias("m"))
-    return last.select("normalized_text", "annotator", F.col("m.fdc_id").alias("fdc_id"))
+    """A journal of answers, one JSON line each and every eleventh torn off, read back: the last one of each annotator per string."""
+    e = T(s, d, "ensemble").select("normalized_text", "annotator", F.coalesce("fdc_id", F.lit("")).alias("fdc_id"), F.unix_micros(F.col("judged_at").cast("timestamp")).alias("at"))
+    torn = F.conv(F.substring(F.md5(F.concat_ws("|", "normalized_text", "annotator", "fdc_id")), 1, 4), 16, 10).cast("int") % 11 == 0
+    line = F.to_json(F.struct("normalized_text", "annotator", "fdc_id", "at"))
+    lines = e.select(F.when(torn, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line).alias("value"))
+    return readers.records_of(lines, "normalized_text string, annotator string, fdc_id string, at bigint", ["normalized_text", "annotator"], "at").select("normalized_text", "annotator", "fdc_id")
+
+
+def categories_extracted(s: SparkSession, d: str) -> DataFrame:
+    """The category in each complete payload of the raw foods."""
+    raw = T(s, d, "raw_usda_foods").where(F.try_parse_json("raw_payload").isNotNull())
+    return raw.select("fdc_id", ingest.category_of(F.col("raw_payload")).alias("food_category")).distinct()
 
 
 def hash_sample(s: SparkSession, d: str) -> DataFrame:
@@ -391,7 +402,8 @@ SQL = {
     "drift_expectations": _NUTRITION + ", a AS (SELECT avg(kcal_per_100g) AS a1, median(total_grams) FILTER (WHERE total_grams > 0) AS a2, quantile_cont(total_grams, 0.99) FILTER (WHERE total_grams > 0) AS a3, avg(coverage) AS a4, count(*) FILTER (WHERE coverage > 0)::DOUBLE / count(*) AS a5, avg(trust) AS a6, count(*) FILTER (WHERE coverage = 1)::DOUBLE / count(*) AS a7 FROM rolled), w AS (SELECT count(grams)::DOUBLE / count(*) AS a8 FROM resolved), t AS (SELECT floor(epoch(greatest((SELECT max(ingested_at) FROM recipe_ingredient_lines), (SELECT max(ingested_at) FROM recipe_meta))) / 3600) - floor(epoch((SELECT max(ingested_at) FROM recipe_ingredient_lines)) / 3600) AS a9), v AS (SELECT * FROM a, w, t, LATERAL (VALUES " + ", ".join(f"('{k}', a{n}, {lo}, {hi})" for n, (k, (lo, hi)) in enumerate(DRIFT.items(), 1)) + ") AS x(expectation, value, low, high)) SELECT expectation, round(value, 4) AS value, coalesce(value BETWEEN low AND high, false) AS ok FROM v",
     "coverage_by_class": "SELECT coalesce(method, 'none') AS method, count(*) AS n, count(*) FILTER (WHERE converted) AS n_converted FROM recipe_ingredient_grams GROUP BY 1",
     "median_of_shares": "SELECT round(median(share), 6) AS median_share, count(*) AS n_recipes FROM (SELECT recipe_id, avg(converted::INT) AS share FROM recipe_ingredient_grams GROUP BY 1)",
-    "jsonl_last_wins": "SELECT normalized_text, annotator, m.f AS fdc_id FROM (SELECT normalized_text, annotator, max({'t': judged_at, 'f': coalesce(fdc_id, '')}) AS m FROM ensemble GROUP BY 1, 2)",
+    "jsonl_last_wins": "WITH e AS (SELECT normalized_text, annotator, coalesce(fdc_id, '') AS f, epoch_us(CAST(judged_at AS TIMESTAMPTZ)) AS t FROM ensemble WHERE normalized_text IS NOT NULL AND annotator IS NOT NULL), whole AS (SELECT * FROM e WHERE ('0x' || substr(md5(concat_ws('|', normalized_text, annotator, f)), 1, 4))::INTEGER % 11 <> 0) SELECT normalized_text, annotator, arg_max(f, (coalesce(t, -9000000000000000), f)) AS fdc_id FROM whole GROUP BY 1, 2",
+    "categories_extracted": "WITH o AS (SELECT fdc_id, CAST(raw_payload AS JSON) AS o FROM raw_usda_foods WHERE json_valid(raw_payload)) SELECT DISTINCT fdc_id, coalesce(nullif(trim(CASE json_type(o -> '$.foodCategory') WHEN 'OBJECT' THEN coalesce(o ->> '$.foodCategory.description', '') WHEN 'NULL' THEN NULL ELSE o ->> '$.foodCategory' END), ''), CASE WHEN coalesce(json_type(o -> '$.foodCategory'), '') <> 'OBJECT' THEN trim(o ->> '$.brandedFoodCategory') END, '') AS food_category FROM o",
     "hash_sample": "SELECT DISTINCT normalized_text FROM distinct_ingredient_strings WHERE normalized_text IS NOT NULL AND ('0x' || substr(sha256('control:' || normalized_text), 1, 8))::BIGINT % 100 < 15",
     "twin_groups": "SELECT min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "fingerprint": "SELECT count(*) AS n, CAST(sum(('0x' || substr(sha256(coalesce(text, '')), 1, 12))::BIGINT) AS BIGINT) AS fingerprint FROM eval_items WHERE split = 'holdout'",
@@ -406,7 +418,7 @@ QUERIES = {
         lines_resolved, nutrition_rollup, canonical_dim, recipe_meta_clean, category_nullif, distinct_strings_strata, facets_search_text, deprioritized,
         resolve_top1, entity_map_join, candidate_union, head_noun_block, topk_cosine, majority_vote, recall_at_k, wilson_ci, stratified_rate, error_bands,
         ambiguity, abstain_sweep, retrieval_ranked, planner_greedy, dq_not_null, dq_unique, dq_unique_line,
-        dq_relationships, dq_unknown_foods, dq_accepted_values, dq_accepted_range, drift_expectations, coverage_by_class, median_of_shares, jsonl_last_wins, hash_sample,
+        dq_relationships, dq_unknown_foods, dq_accepted_values, dq_accepted_range, drift_expectations, coverage_by_class, median_of_shares, jsonl_last_wins, categories_extracted, hash_sample,
         twin_groups, fingerprint, portions_median, events_windows, region_rollup,
     )
 }

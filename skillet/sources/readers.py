@@ -46,11 +46,16 @@ def ingredient_lines(raw: DataFrame, field: str = "ingredients") -> DataFrame:
     return raw.select("recipe_id", F.posexplode(lines).alias("line_index", "line_raw")).where(F.trim("line_raw") != "")
 
 
+def records_of(lines: DataFrame, schema: str, key: list[str], at: str) -> DataFrame:
+    """JSON ``lines`` (value) with torn ones dropped; of each key the last record by ``at``. Records without a key are no records."""
+    whole = lines.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*").dropna(subset=key)
+    rest = [c for c in whole.columns if c not in key and c != at]
+    return whole.groupBy(*key).agg(F.max(F.struct(at, *rest)).alias("_r")).select(*key, "_r.*")
+
+
 def last_records(spark: SparkSession, path: str, schema: str, key: list[str], at: str) -> DataFrame:
-    """JSON lines with torn ones dropped; of each key the last record by ``at``."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).dropna(subset=key)
-    rest = [c for c in rows.columns if c not in key and c != at]
-    return rows.groupBy(*key).agg(F.max(F.struct(at, *rest)).alias("_r")).select(*key, "_r.*")
+    """``records_of`` the JSON-lines files at ``path``."""
+    return records_of(spark.read.text(path), schema, key, at)
 
 
 def overwrite(df: DataFrame, path: str) -> None:

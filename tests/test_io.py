@@ -3,7 +3,7 @@ import shutil
 
 import pytest
 
-from skillet.sources import readers, rest
+from skillet.sources import ingest, readers, rest
 from skillet.streaming.windows import windowed
 
 
@@ -69,3 +69,25 @@ def test_paged_and_batched_sources(spark, monkeypatch):
     cached = spark.createDataFrame([("1", "{}")], "id string, raw_payload string")
     got = rest.fetched(spark, ids, lambda part: {i: {"n": i} for i in part if i != "9"}, cached, batch=1)
     assert {(r.id, r.raw_payload) for r in got.collect()} == {("1", "{}"), ("2", '{"n": "2"}'), ("9", None)}
+
+
+def test_raw_tables_from_web_answers(spark, tmp_path):
+    foods = [
+        {"fdcId": 7, "dataType": "SR", "description": "Egg", "foodCategory": {"description": " Dairy "}}, {"fdcId": "008", "foodCategory": "Nuts"}, {"fdcId": 9, "foodCategory": " ", "brandedFoodCategory": "Snacks"},
+        {"fdcId": 10}, {"fdcId": 11, "foodCategory": {"id": 1}, "brandedFoodCategory": "Snacks"}, {"description": "no id", "foodCategory": None},
+    ]
+    raw = spark.createDataFrame([(json.dumps(f),) for f in foods] + [(None,)], "raw_payload string")
+    assert [tuple(r) for r in ingest.category_rows(raw, "web").select("fdc_id", "food_category").collect()] == [("7", "Dairy"), ("008", "Nuts"), ("9", "Snacks"), ("10", ""), ("11", ""), ("", "")]
+    rows = ingest.food_rows(raw, "web")
+    assert [tuple(r) for r in rows.select("fdc_id", "data_type", "description").limit(2).collect()] == [("7", "SR", "Egg"), ("008", "", "")]
+    assert sorted(r[0] for r in ingest.food_ids(rows).collect()) == ["10", "11", "7", "8", "9"]
+    got = spark.createDataFrame([("7", '{"foodPortions": [{"id": 1}]}'), ("8", "{}"), ("9", None)], "id string, raw_payload string")
+    assert [tuple(r) for r in ingest.portion_rows(got, "web").select("fdc_id", "raw_payload").collect()] == [("7", '[{"id":1}]'), ("8", "[]"), ("9", "[]")]
+    path = str(tmp_path / "raw")
+    assert ingest.ingest(rows, path, 5) == 6 and spark.read.parquet(path).count() == 6
+    with pytest.raises(ValueError):
+        ingest.ingest(rows.limit(2), path, 5)
+    assert spark.read.parquet(path).count() == 6
+    csv = tmp_path / "r.csv"
+    csv.write_text(",title,ingredients,link\n0,Pie,[],\n")
+    assert ingest.raw_recipes(spark, str(csv), str(tmp_path / "recipes")) == 1
