@@ -2,8 +2,8 @@
 
 Tokens are repaired first: each distinct token of the names meets the tokens
 of the reference list by edit distance, through an equi-join on shared
-deletion variants. The reference entries that hold a reading of a name's rarest
-token are then ranked by soft TF-IDF over all of the name's repaired tokens.
+deletion variants. The reference entries whose rarest word a token of the name may
+stand for are then ranked by soft TF-IDF over all of the name's repaired tokens.
 """
 
 from __future__ import annotations
@@ -158,8 +158,8 @@ def map_names(names: DataFrame, name: str, reference: DataFrame, key: str, entry
 
     Each token of a name is repaired to words of the reference list. An entry's score is the cosine of the idf-weighted
     word vectors of entry and name, each shared word counting by the similarity of the token that stands for it (soft
-    TF-IDF). Candidates are the entries that hold a reading of the name's rarest token; an entry that says all that the
-    name says is among them. They are ranked by score, the smaller key as text first on a tie, and the first that
+    TF-IDF). Candidates are the entries whose rarest word some token may stand for; an entry of which all words are
+    said is among them, and each entry meets a name once. They are ranked by score, the smaller key as text first on a tie, and the first that
     is complete is taken: all of its words are said, and all known tokens say one of them. The first token may stay out if its best repair is
     below ``vague``: it may be a brand that only resembles a word.
 
@@ -191,14 +191,11 @@ def map_names(names: DataFrame, name: str, reference: DataFrame, key: str, entry
     placed = strings.groupBy("_name", "token").agg(F.min("_pos").alias("_pos")).join(choices.hint("merge"), "token")
     heads = F.min("_pos").over(Window.partitionBy("_name"))
     placed = placed.withColumn("free", (F.col("_pos") == heads) & (F.col("top") < vague))
-    per_name = placed.groupBy("_name").agg(
-        F.collect_list(F.struct("choices", "free", "weight")).alias("_t"),
-        F.max(F.struct(~F.col("free"), "weight", "token", "choices")).alias("_rarest"),
-    )
+    per_name = placed.groupBy("_name").agg(F.collect_list(F.struct("choices", "free", "weight")).alias("_t"))
     every = F.array_distinct(F.flatten(F.flatten(F.transform("_t", lambda t: F.transform(t["choices"], lambda c: c["words"])))))
-    asked = per_name.select("_name", "_t", every.alias("_every"), F.explode(F.array_distinct(F.transform(F.col("_rarest.choices"), lambda c: F.element_at(c["words"], 1)))).alias("word"))
-    listed = entries.join(entries.select("_key", F.explode("_w").alias("word")).join(vocabulary, "word").groupBy("_key").agg(F.collect_list(F.struct("word", "idf")).alias("_e"), F.sum(F.col("idf") * F.col("idf")).alias("_norm")), "_key")
-    listed = listed.select("_key", "_w", "_e", "_norm", F.explode("_w").alias("word"))
+    asked = per_name.select("_name", "_t", F.explode(F.array(every)).alias("_every")).select("_name", "_t", "_every", F.explode("_every").alias("word"))
+    listed = entries.select("_key", "_w", F.explode("_w").alias("word")).join(vocabulary, "word").groupBy("_key", "_w")
+    listed = listed.agg(F.collect_list(F.struct("word", "idf")).alias("_e"), F.sum(F.col("idf") * F.col("idf")).alias("_norm"), F.max(F.struct("idf", "word")).alias("_rarest")).withColumn("word", F.col("_rarest.word")).drop("_rarest")
     fits = listed.limit(200_001).count() <= 200_000
     # An entry that says a word which no token can stand for isn't complete.
     pairs = asked.join(F.broadcast(listed) if fits else listed.hint("merge"), "word").where((F.size("_w") <= F.size("_every")) & (F.size(F.array_except("_w", "_every")) == 0))
