@@ -188,7 +188,12 @@ def map_names(names: DataFrame, name: str, reference: DataFrame, key: str, entry
     weighed = weighed.join(vocabulary.select(F.col("word").alias("_b"), F.col("idf").alias("_ib")).hint("merge"), second == F.col("_b"), "left")
     choices = weighed.groupBy("token").agg(F.max("sim").alias("top"), F.collect_list(F.struct("words", "sim", F.greatest("_ia", F.coalesce("_ib", F.lit(0.0))).alias("idf"))).alias("choices"))
     choices = choices.withColumn("weight", F.array_min(F.transform("choices", lambda c: c["idf"])))
-    placed = strings.groupBy("_name", "token").agg(F.min("_pos").alias("_pos")).join(choices.hint("merge"), "token")
+    spread = strings.groupBy("_name", "token").agg(F.min("_pos").alias("_pos"))
+    # A token may stand in any share of the names: the at most hundred that make up a hundredth of all tokens each are broadcast, so that none gathers in one task.
+    every_token = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col("df") * 100 >= every_token).select("token"))
+    placed = spread.join(F.broadcast(choices.join(hot, "token", "left_semi")), "token")
+    placed = placed.unionByName(spread.join(hot, "token", "left_anti").join(choices.join(hot, "token", "left_anti").hint("merge"), "token"))
     heads = F.min("_pos").over(Window.partitionBy("_name"))
     placed = placed.withColumn("free", (F.col("_pos") == heads) & (F.col("top") < vague))
     per_name = placed.groupBy("_name").agg(F.collect_list(F.struct("choices", "free", "weight")).alias("_t"))
