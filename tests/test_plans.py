@@ -130,7 +130,7 @@ def test_alpha_and_its_interval(spark):
 
 
 def test_shown_texts_and_findings(spark):
-    pairs = [("egg", 0.5, "Egg, whole, raw", False, True), ("egg", 0.6, "Eggnog", False, True), ("dream whip", 0.7, "Taro, raw", False, True), ("flour", 0.5, "Wheat flour, white", True, False), ("", 0.1, "Egg, raw", False, True)]
+    pairs = [("leek", 0.5, "Leek, whole, raw", False, True), ("leek", 0.6, "Leekwort", False, True), ("moon dust", 0.7, "Taro, raw", False, True), ("flour", 0.5, "Rye flour, dark", True, False), ("", 0.1, "Leek, raw", False, True)]
     df = spark.createDataFrame(pairs, "n string, c double, d string, low boolean, has boolean")
     got = [round(r[0], 6) for r in df.select(answers.display_score(*[F.col(x) for x in ("n", "c", "d", "low", "has")])).collect()]
     assert got == [pytest.approx(x) for x in (1.29, 0.6, 0.7, 0.71, 0.1)]
